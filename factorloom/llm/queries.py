@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import gif, packing, pieces, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -18,6 +18,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_digests(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = token_counts.token_counts(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return table.withColumn("quantile", F.round("quantile", 9))
@@ -25,6 +33,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_gif": op7_gif,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
