@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, packing, pieces, token_counts
+from . import gif, packing, pieces, suffix_dedup, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -26,6 +26,10 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = token_counts.token_counts(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return table.withColumn("quantile", F.round("quantile", 9))
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_gif": op7_gif,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
