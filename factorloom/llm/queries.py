@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, minhash, packing, pieces, suffix_dedup, token_counts
+from . import fingerprints, gif, minhash, packing, pieces, suffix_dedup, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -30,6 +30,10 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(_documents(spark, sf_dir))
 
 
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_prints(_documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(_documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_gif": op7_gif,
+    "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
