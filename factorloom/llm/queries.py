@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, gif, minhash, packing, pieces, suffix_dedup, token_counts
+from . import fingerprints, gif, minhash, packing, pieces, secrets, suffix_dedup, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -26,6 +26,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(_documents(spark, sf_dir))
+
+
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(_documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_secrets": op6_secrets,
     "op7_gif": op7_gif,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
