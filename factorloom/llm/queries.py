@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, gif, minhash, packing, pieces, secrets, suffix_dedup, token_counts
+from . import fingerprints, gif, minhash, packing, pieces, pii, quality, secrets, suffix_dedup, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -22,10 +22,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(_documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_document", "p_host", "p_path", "p_posterior")], "keep")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_documents(spark, sf_dir))
 
@@ -50,7 +59,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_gif": op7_gif,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
