@@ -140,8 +140,7 @@ def fit_document_model(rows: DataFrame, labels: DataFrame, most: int = TRAINING_
     if len(y) < 20 or y.min() == y.max():
         return None
     x = np.stack(sample["numbers"].to_numpy()).astype(np.float64)
-    part = np.arange(len(y)) % 4
-    return boosting.calibrate(boosting.fit(x[part > 0], y[part > 0], trees=40), x[part == 0], y[part == 0])
+    return boosting.fit_calibrated(x, y, trees=40, least=0.2)
 
 
 def _probability(model: boosting.Model | None, x: np.ndarray) -> np.ndarray:
