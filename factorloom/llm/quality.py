@@ -120,7 +120,7 @@ def described(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 3, 4 << 20):
+        for batch in small_batches(batches, 3, 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _vectors(batch.column(3))], ["doc_id", "host", "path", "numbers"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -255,7 +255,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     names = {"host": "__host", "path": "__path", "p": "__p"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 4 << 20):
+        for batch in small_batches(batches, text, 2 << 20):
             x = surface(*text_bytes(batch.column(text))).astype(np.float32).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_probability(model, x))], [*batch.schema.names, "__p"])
 
