@@ -2,5 +2,312 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import Params
+from ..operators import consensus, factorize, genesets, manova, markers, matrix, subsets
+from . import inputs
+from .inputs import SQL as _INPUTS
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = _INPUTS + sql
+        return f
+
+    return register
+
+
+def _r(column: str, digits: int = 6, name: str | None = None):
+    return F.round(column, digits).alias(name or column)
+
+
+@_query("SELECT g.i, g.j, round((coalesce(d.value, 0) - g.m) / greatest(0.1 * coalesce(d.value, 0), 0.1), 5) AS residual FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j")
+def residuals(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.residuals(inputs.d(spark, sf), inputs.a(spark, sf), inputs.p(spark, sf)).select("i", "j", _r("residual", 5))
+
+
+@_query("SELECT g.i, g.j, round(g.m, 6) AS m FROM grid g JOIN (SELECT DISTINCT i, name FROM a) n ON g.i = n.i WHERE n.name IN ('Brand#1', 'Brand#4', 'Brand#9')")
+def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.reconstruct(inputs.a(spark, sf), inputs.p(spark, sf), ["Brand#1", "Brand#4", "Brand#9"]).select("i", "j", _r("m"))
+
+
+@_query("SELECT round(sum(pow((coalesce(d.value, 0) - g.m) / greatest(0.1 * coalesce(d.value, 0), 0.1), 2)), 3) AS chisq FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j")
+def chi_square(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.chi_square(inputs.d(spark, sf), inputs.a(spark, sf), inputs.p(spark, sf)).select(_r("chisq", 3))
+
+
+@_query(
+    "SELECT round(sum(pow((coalesce(d.value, 0) - g.m) / (0.05 + 0.02 * coalesce(d.value, 0)), 2)), 3) AS chisq FROM grid g JOIN d ON g.i = d.i AND g.j = d.j"
+)
+def chi_square_given_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    d = inputs.d(spark, sf)
+    sigma = d.select("i", "j", (0.05 + 0.02 * F.col("value")).alias("value"))
+    return matrix.chi_square(d, inputs.a(spark, sf), inputs.p(spark, sf), sigma).select(_r("chisq", 3))
+
+
+@_query("SELECT round(100 * sum(CASE WHEN coalesce(d.value, 0) > 0 THEN pow((d.value - g.m) / d.value, 2) ELSE g.m * g.m END), 2) AS chisq FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j")
+def chi_square_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.chi_square_sparse(inputs.d(spark, sf), inputs.a(spark, sf), inputs.p(spark, sf)).select(_r("chisq", 2))
+
+
+@_query("SELECT i, j, round(greatest(0.1 * value, 0.1), 6) AS sigma FROM d")
+def default_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.with_sigma(inputs.d(spark, sf)).select("i", "j", _r("sigma"))
+
+
+@_query("SELECT j AS i, i AS j, round(value, 6) AS value FROM d")
+def transpose(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.transpose(inputs.d(spark, sf)).select("i", "j", _r("value"))
+
+
+@_query("SELECT x.pos AS i, d.j, round(d.value, 6) AS value FROM (VALUES (CAST(0 AS BIGINT), 7), (1, 2), (2, 7), (3, 24)) x(pos, idx) JOIN d ON d.i = x.idx")
+def subset_rows(spark: SparkSession, sf: str) -> DataFrame:
+    index = spark.createDataFrame([(0, 7), (1, 2), (2, 7), (3, 24)], "pos long, idx long")
+    return matrix.subset(inputs.d(spark, sf), index, 1).select("i", "j", _r("value"))
+
+
+@_query(
+    """SELECT round(least(min(value), 0), 6) AS min, round(greatest(max(value), 0), 6) AS max, round(sum(value), 4) AS total, round(sum(value) / (count(DISTINCT i) * count(DISTINCT j)), 6) AS mean,
+       round(sum(value) / count(*) FILTER (WHERE value > 0), 6) AS nonzero_mean, round(1 - count(*) FILTER (WHERE value > 0) / (count(DISTINCT i) * count(DISTINCT j)), 6) AS sparsity FROM d"""
+)
+def moments(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.moments(inputs.d(spark, sf)).select(_r("min"), _r("max"), _r("total", 4), _r("mean"), _r("nonzero_mean"), _r("sparsity"))
+
+
+@_query(
+    """SELECT CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE value < 0) AS BIGINT) AS n_negative, count(*) FILTER (WHERE value > 0) AS n_positive,
+       count(DISTINCT i) AS n_rows, count(DISTINCT j) AS n_cols, round(max(value), 6) AS largest, max(value) > 50 AS maybe_not_logged FROM d"""
+)
+def validation(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.validation(inputs.d(spark, sf)).select("n_missing", "n_negative", "n_positive", "n_rows", "n_cols", _r("largest"), "maybe_not_logged")
+
+
+@_query("SELECT i, j, round(ln(1 + value / sum(value) OVER (PARTITION BY j) * 10000), 5) AS value FROM d")
+def log_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.log_normalize(inputs.d(spark, sf)).select("i", "j", _r("value", 5))
+
+
+@_query("SELECT i AS idx, k, round(mean / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END, 6) AS z FROM a")
+def z_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.z_scores(inputs.a(spark, sf)).select("idx", "k", _r("z"))
+
+
+@_query("SELECT i AS idx, k, CASE WHEN mean / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END > 1.765 THEN 1 ELSE 0 END AS on_ FROM a")
+def binary_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.binarized(inputs.a(spark, sf), 1.765).select("idx", "k", F.col("on").alias("on_"))
+
+
+@_query("SELECT a.i AS idx, a.k, round(a.mean * n.top, 6) AS mean FROM a JOIN (SELECT k, max(mean) AS top FROM p GROUP BY k) n ON a.k = n.k")
+def normalized_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.normalized(inputs.a(spark, sf), inputs.p(spark, sf))[0].select("idx", "k", _r("mean"))
+
+
+@_query("SELECT p.j AS idx, p.k, round(p.mean / n.top, 6) AS mean FROM p JOIN (SELECT k, max(mean) AS top FROM p GROUP BY k) n ON p.k = n.k")
+def normalized_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.normalized(inputs.a(spark, sf), inputs.p(spark, sf))[1].select("idx", "k", _r("mean"))
+
+
+@_query("SELECT idx, k FROM (SELECT i AS idx, k, row_number() OVER (PARTITION BY i ORDER BY mean DESC, k) AS n FROM a) WHERE n = 1")
+def top_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.top_pattern(inputs.a(spark, sf)).select("idx", "k")
+
+
+@_query("SELECT idx, k, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY iter, idx ORDER BY mean DESC, k) AS n FROM samples) WHERE n = 1 GROUP BY idx, k")
+def pump_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.pump(inputs.samples(spark, sf))
+
+
+@_query("SELECT idx, k, round(avg(mean), 5) AS mean, round(stddev_samp(mean), 5) AS sd FROM samples GROUP BY idx, k")
+def posterior_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.posterior(inputs.samples(spark, sf)).select("idx", "k", _r("mean", 5), _r("sd", 5))
+
+
+@_query("SELECT x.k, y.k AS l, round(corr(x.mean, y.mean), 6) AS r FROM p x JOIN p y ON x.j = y.j GROUP BY x.k, y.k")
+def pattern_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.correlations(inputs.p(spark, sf)).select("k", "l", _r("r"))
+
+
+@_query("SELECT gene_set, k, round(avg(mean), 6) AS mean FROM a JOIN sets USING (name) GROUP BY gene_set, k")
+def set_means(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.set_means(inputs.a(spark, sf), inputs.sets(spark, sf)).select("gene_set", "k", _r("mean"))
+
+
+@_query("SELECT i AS idx, name, k FROM a WHERE name NOT IN (SELECT name FROM sets WHERE gene_set = 'SMALL')")
+def set_complement(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.others(inputs.a(spark, sf), inputs.sets(spark, sf).where("gene_set = 'SMALL'")).select("idx", "name", "k")
+
+
+@_query("SELECT min(n) AS min, round(avg(n), 6) AS mean, max(n) AS max FROM (SELECT gene_set, count(*) AS n FROM sets GROUP BY gene_set)")
+def set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.set_sizes(inputs.sets(spark, sf)).select("min", _r("mean"), "max")
+
+
+@_query("SELECT gene_set, count(*) AS n FROM sets GROUP BY gene_set")
+def set_table(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.tabulate(inputs.sets(spark, sf), "gene_set")
+
+
+def _marker_sql(rows: str, other: str, key: str, name: str, targets: str, tail: str) -> str:
+    return f"""SELECT * FROM (
+WITH top AS (SELECT k, max(mean) AS top FROM {other} GROUP BY k),
+scaled AS (SELECT x.{key} AS idx, {name} AS name, x.k, x.mean * top.top AS v FROM {rows} x JOIN top ON x.k = top.k),
+unit AS (SELECT idx, name, k, v / max(v) OVER (PARTITION BY idx) AS v FROM scaled),
+lp AS (SELECT * FROM (VALUES {targets}) t(lp, target, k, x)),
+scored AS (SELECT idx, name, lp, target, round(sqrt(sum((v - x) * (v - x))), 9) AS score FROM unit JOIN lp USING (k) GROUP BY idx, name, lp, target),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lp ORDER BY score, idx) AS BIGINT) AS rank FROM scored),
+best AS (SELECT *, min(rank) OVER (PARTITION BY idx) AS least, row_number() OVER (PARTITION BY idx ORDER BY rank, target) AS first FROM ranked),
+cuts AS (SELECT *, min(CASE WHEN rank > least THEN rank END) OVER (PARTITION BY lp) AS cut FROM best)
+SELECT idx, name, lp, round(score, 6) AS score, rank, {tail} AS is_marker FROM cuts)"""
+
+
+_ONE_HOT = ", ".join(f"('Pattern_{t + 1}', {t}, {k}, {float(t == k)})" for t in range(3) for k in range(3))
+_TWO = "('flat', 0, 0, 1.0), ('flat', 0, 1, 1.0), ('flat', 0, 2, 1.0), ('edge', 1, 0, 1.0), ('edge', 1, 1, 0.0), ('edge', 1, 2, 0.5)"
+
+
+def _markers(frame: DataFrame) -> DataFrame:
+    return frame.select("idx", "name", "lp", _r("score"), "rank", "is_marker")
+
+
+@_query(_marker_sql("a", "p", "i", "x.name", _ONE_HOT, "first = 1"))
+def pattern_markers_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _markers(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf)))
+
+
+@_query(_marker_sql("a", "p", "i", "x.name", _ONE_HOT, "cut IS NULL OR rank < cut"))
+def pattern_markers_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return _markers(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf), "cut"))
+
+
+@_query(_marker_sql("p", "a", "j", "'S' || CAST(x.j AS VARCHAR)", _ONE_HOT, "first = 1"))
+def pattern_markers_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _markers(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf), axis=2))
+
+
+@_query(_marker_sql("a", "p", "i", "x.name", _TWO, "first = 1"))
+def pattern_markers_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return _markers(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf), lp={"flat": [1, 1, 1], "edge": [1, 0, 0.5]}))
+
+
+def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    p = inputs.p(spark, sf)
+    return p.select(F.when(F.col("k") == 2, 1).otherwise(0).alias("cluster"), F.concat(F.lit("1."), (F.col("k") + 1).cast("string")).alias("pattern"), "idx", F.col("mean").alias("value"))
+
+
+_CLUSTERED = """, c AS (SELECT CASE WHEN k = 2 THEN 1 ELSE 0 END AS cluster, '1.' || CAST(k + 1 AS VARCHAR) AS pattern, j AS idx, mean AS value FROM p),
+m AS (SELECT *, avg(value) OVER (PARTITION BY cluster, idx) AS mean FROM c),
+r AS (SELECT cluster, pattern, round(corr(value, mean), 3) AS r FROM m GROUP BY cluster, pattern)
+"""
+
+
+@_query(_CLUSTERED + "SELECT cluster, pattern, r FROM r")
+def correlation_to_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.correlation_to_mean(_clustered(spark, sf))
+
+
+@_query(
+    _CLUSTERED
+    + """, w AS (SELECT c.cluster, c.idx, sum(r * r * r * value) / sum(r * r * r) AS value FROM c JOIN r ON c.cluster = r.cluster AND c.pattern = r.pattern GROUP BY c.cluster, c.idx)
+SELECT cluster, idx, round(value / max(value) OVER (PARTITION BY cluster), 5) AS value FROM w"""
+)
+def consensus_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.consensus_patterns(_clustered(spark, sf)).select("cluster", "idx", _r("value", 5))
+
+
+@_query(
+    """SELECT CAST(least(floor((n - 1) / (t // 4)), 3) AS INTEGER) AS set_id, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY i) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT i FROM d)) GROUP BY 1"""
+)
+def uniform_set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    ids = inputs.d(spark, sf).select(F.col("i").alias("idx")).distinct()
+    return subsets.uniform_sets(ids, 4, 1).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ORA = _marker_sql("a", "p", "i", "x.name", _ONE_HOT, "first = 1")
+
+
+@_query(
+    f""", mk AS ({_ORA}),
+n AS (SELECT lp, count(*) AS n_markers FROM mk WHERE is_marker GROUP BY lp),
+s AS (SELECT gene_set, count(*) AS size FROM sets GROUP BY gene_set),
+u AS (SELECT count(DISTINCT name) AS total FROM mk),
+o AS (SELECT lp, gene_set, count(*) AS overlap FROM mk JOIN sets USING (name) WHERE is_marker GROUP BY lp, gene_set),
+t AS (SELECT n.lp, s.gene_set, coalesce(o.overlap, 0) AS overlap, s.size, n.n_markers, u.total FROM n CROSS JOIN s CROSS JOIN u LEFT JOIN o ON o.lp = n.lp AND o.gene_set = s.gene_set),
+x AS (SELECT *, unnest(generate_series(greatest(overlap, n_markers + size - total, 0), least(n_markers, size))) AS h FROM t),
+pr AS (SELECT lp, gene_set, overlap, size, n_markers, least(1.0, sum(exp(lgamma(size + 1) - lgamma(h + 1) - lgamma(size - h + 1) + lgamma(total - size + 1) - lgamma(n_markers - h + 1) - lgamma(total - size - n_markers + h + 1)
+       - lgamma(total + 1) + lgamma(n_markers + 1) + lgamma(total - n_markers + 1)))) AS p FROM x GROUP BY ALL),
+b AS (SELECT *, p * count(*) OVER (PARTITION BY lp) / count(*) OVER (PARTITION BY lp ORDER BY p RANGE UNBOUNDED PRECEDING) AS scaled FROM (SELECT lp, gene_set, overlap, size, n_markers, round(p, 9) AS p FROM pr))
+SELECT lp, gene_set, overlap, size, n_markers, round(p, 6) AS p, round(least(1.0, min(scaled) OVER (PARTITION BY lp ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS padj, round(overlap / size, 6) AS ratio FROM b"""
+)
+def overrepresentation(spark: SparkSession, sf: str) -> DataFrame:
+    found = markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf))
+    return genesets.overrepresentation(found, inputs.sets(spark, sf)).select("lp", "gene_set", "overlap", "size", "n_markers", _r("p"), _r("padj"), _r("ratio"))
+
+
+@_query(
+    """, r AS (SELECT k, g.gene_set, a.name, round(a.mean, 9) AS score, CASE WHEN s.name IS NULL THEN 0 ELSE 1 END AS hit FROM a CROSS JOIN (SELECT DISTINCT gene_set FROM sets) g LEFT JOIN sets s ON s.gene_set = g.gene_set AND s.name = a.name),
+st AS (SELECT *, CASE WHEN hit = 1 THEN abs(score) / sum(hit * abs(score)) OVER w ELSE -1.0 / greatest(count(*) OVER w - sum(hit) OVER w, 1) END AS step FROM r WINDOW w AS (PARTITION BY k, gene_set)),
+ru AS (SELECT *, sum(step) OVER (PARTITION BY k, gene_set ORDER BY score DESC, name ROWS UNBOUNDED PRECEDING) AS run FROM st)
+SELECT k, gene_set, CAST(sum(hit) AS BIGINT) AS size, round(greatest(max(run), 0), 6) AS es FROM ru GROUP BY k, gene_set"""
+)
+def enrichment_scores(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = inputs.a(spark, sf).withColumn("mean", F.round("mean", 9))
+    return genesets.enrichment_scores(ranked, inputs.sets(spark, sf)).select("k", "gene_set", "size", _r("es"))
+
+
+_PILLAI = """, x AS (SELECT p.j AS idx, p.k, p.mean, s.s_nationkey AS first, floor(s.s_acctbal / 1000) AS second FROM p JOIN supplier s ON s.s_suppkey = p.j),
+y AS (SELECT idx, k, mean, dense_rank() OVER (ORDER BY first) AS first, dense_rank() OVER (ORDER BY second) AS second FROM x),
+s AS (SELECT k, count(*) AS n, corr(mean, first) AS r1, corr(mean, second) AS r2, corr(first, second) AS r12 FROM y GROUP BY k)
+SELECT k, n, round((r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12), 6) AS pillai FROM s"""
+
+
+@_query(_PILLAI)
+def manova_pillai(spark: SparkSession, sf: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").alias("first"), F.floor(F.col("s_acctbal") / 1000).alias("second"))
+    sold = supplier.join(inputs.p(spark, sf).select("idx").distinct(), "idx", "left_semi")
+    return manova.manova(sold, inputs.p(spark, sf), "first", "second").select("k", "n", _r("pillai"))
+
+
+# --- without an SQL twin: chains and permutations ------------------------------
+
+
+def _zero_based(cell: DataFrame) -> DataFrame:
+    return cell.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "value")
+
+
+@_query()
+def factorization(spark: SparkSession, sf: str) -> DataFrame:
+    cell = _zero_based(inputs.d(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, output_frequency=10)).factors
+
+
+@_query()
+def factorization_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    cell = _zero_based(inputs.d(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, sparse=True)).factors
+
+
+@_query()
+def two_stage_factorization(spark: SparkSession, sf: str) -> DataFrame:
+    cell = _zero_based(inputs.d(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, distributed="genome-wide", n_sets=3, min_ns=1)).factors
+
+
+@_query()
+def set_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.set_statistics(inputs.a(spark, sf), inputs.sets(spark, sf), 200)
+
+
+@_query()
+def enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.enrichment(inputs.a(spark, sf), inputs.sets(spark, sf), 100)
+
+
+@_query()
+def gene_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.gene_probabilities(inputs.a(spark, sf), inputs.sets(spark, sf).where("gene_set = 'SMALL'"), 100)

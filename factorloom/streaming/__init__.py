@@ -1,0 +1 @@
+"""Following a run while it writes: the engine's only stream."""
