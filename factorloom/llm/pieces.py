@@ -23,7 +23,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +196,9 @@ def read_model(path: str) -> bytes:
     return raw
 
 
+_NO_IDS = np.zeros(0, "<i4")
+
+
 class Encoder:
     """Batch encoding that asks the library once for each distinct word.
 
@@ -213,35 +215,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = build_tokenizer(model)
-        self.by_word = model.add_prefix and not model.character_map and not has_inner_marks(model) and USER_DEFINED not in model.kinds
-        self.word = Tokenizer(self.whole.model)
-        self.ids: dict[str, list[int]] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        self.by_word = model.add_prefix and not model.character_map and not has_inner_marks(model) and USER_DEFINED not in model.kinds and MARK in model.pieces
+        #: The same pipeline for text whose markers are in place.
+        self.marked = Tokenizer(self.whole.model)
+        if self.by_word:
+            self.marked.pre_tokenizer = self.whole.pre_tokenizer
+        self.begins = np.array([p.startswith(MARK) for p in model.pieces])
+        self.ids: dict[str, bytes] = {}  # little-endian 32-bit
+        self.surface = [p.replace(MARK, " ") for p in model.pieces]
+        #: Pieces whose text doesn't depend on their neighbours, once the prefix is stripped:
+        #: normal ones, and ASCII bytes where no other bytes are about.
+        free = {i for i, k in enumerate(model.kinds) if k == NORMAL}
+        for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)):
+            if k == BYTE and int(p[1:-1], 16) < 128:
+                self.surface[i] = chr(int(p[1:-1], 16))
+                free.add(i)
+        self.free = frozenset(free) if model.add_prefix else frozenset()
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
-        out: list[list[int] | None] = [None] * len(texts)
+        out: list[np.ndarray] = [_NO_IDS] * len(texts)
         odd = [i for i, p in enumerate(plain) if not p]
         for i, x in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = x.ids
+            out[i] = np.array(x.ids, "<i4")
         if len(self.ids) > self.KEPT:
             self.ids.clear()
         known = self.ids
         words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(set().union(*words).difference(known))
-        for w, x in zip(new, self.word.encode_batch_fast([MARK + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = x.ids
+        for w, x in zip(new, self._new_words(new), strict=True):
+            known[w] = x
         for i, row in enumerate(words):
             if plain[i]:
-                out[i] = list(chain.from_iterable(map(known.__getitem__, row)))
+                out[i] = np.frombuffer(b"".join([known[w] for w in row]), "<i4")
         return out
 
 
+    def _new_words(self, words: list[str], at_once: int = 256) -> Iterator[bytes]:
+        """The ids of each word; words travel in rows, whose ids part where markers begin."""
+        rows = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for row, x in zip(rows, self.marked.encode_batch_fast(["".join([MARK + w for w in row]) for row in rows], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<i4")
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) != len(row):
+                raise AssertionError("a word without a marker of its own")
+            raw = ids.tobytes()
+            ends = (4 * cuts).tolist() + [len(raw)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield raw[a:b]
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        """The texts of ids; rows with other than normal pieces go to the library."""
+        surface, free = self.surface, self.free
+        out = ["".join([surface[i] for i in row]) if free.issuperset(row) else None for row in ids]
+        odd = [k for k, t in enumerate(out) if t is None]
+        for k, t in zip(odd, self.whole.decode_batch([ids[k] for k in odd], skip_special_tokens=False), strict=True):
+            out[k] = t
+        rest = set(odd)
+        return [t if k in rest or t[:1] != " " else t[1:] for k, t in enumerate(out)]
+
+
 ENCODED = "doc_id long, ids array<int>, parity boolean, decoded string"
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, whether the model's own library gives the same ids and text, and the text that the ids decode to."""
-    return _run(docs, model_path, id_col, text_col, ENCODED, lambda ids, same, back: (ids, same, back), [pa.list_(pa.int32()), pa.bool_(), pa.string()])
+    return _run(docs, model_path, id_col, text_col, ENCODED, lambda ids, same, back, _: (ids, same, back), [pa.list_(pa.int32()), pa.bool_(), pa.string()])
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, n_byte_pieces long, decoded_sha256 string, parity boolean"
@@ -250,14 +289,13 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, n_byte_pieces long, dec
 def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What :func:`encode` gives, as counts and digests of the ids (little-endian 32-bit) and the decoded text."""
 
-    def describe(ids: list[int], same: bool, back: str) -> tuple:
-        array = np.array(ids, "<i4")
-        return len(ids), hashlib.sha256(array.tobytes()).hexdigest(), ids, hashlib.sha256(back.encode()).hexdigest(), same
+    def describe(ids: np.ndarray, same: bool, back: str, is_byte: np.ndarray) -> tuple:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), int(is_byte[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), same
 
-    return _run(docs, model_path, id_col, text_col, DIGEST, describe, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()], byte_pieces=2)
+    return _run(docs, model_path, id_col, text_col, DIGEST, describe, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()])
 
 
-def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, describe, types: list, byte_pieces: int | None = None) -> DataFrame:
+def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, describe, types: list) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     raw = spark.sparkContext.broadcast(read_model(model_path))
@@ -269,12 +307,11 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: s
         for batch in small_batches(batches, 1, 4 << 20):
             texts = batch.column(1).to_pylist()
             ids = encoder.encode_batch(texts)
-            decoded = encoder.whole.decode_batch(ids, skip_special_tokens=False)
-            same = [a == b for a, b in zip(ids, own.encode(texts, num_threads=1), strict=True)]
-            same = [s and a == b for s, a, b in zip(same, decoded, own.decode(ids, num_threads=1), strict=True)]
-            columns = list(zip(*map(describe, ids, same, decoded), strict=True))
-            if byte_pieces is not None:
-                columns[byte_pieces] = [int(is_byte[x].sum()) for x in ids]
+            lists = [x.tolist() for x in ids]
+            decoded = encoder.decode_batch(lists)
+            same = [a == b for a, b in zip(lists, own.encode(texts, num_threads=1), strict=True)]
+            same = [s and a == b for s, a, b in zip(same, decoded, own.decode(lists, num_threads=1), strict=True)]
+            columns = zip(*(describe(*row, is_byte) for row in zip(ids, same, decoded, strict=True)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, types)], names)
 
     return documents(docs, id_col, text_col).mapInArrow(run, schema)
