@@ -194,7 +194,9 @@ def factorize(
     if params.distributed:
         # The matched side is the same in every set; the other side's sets don't overlap,
         # unless rows were drawn with replacement, when their means are averaged.
-        parts = parts.groupBy("axis", "idx", "k").agg(F.avg("mean").alias("mean"), F.avg("sd").alias("sd"))
+        parts = parts.groupBy("axis", "idx", "k").agg(
+            F.when(F.first("axis") == params.fixed, F.max("mean")).otherwise(F.avg("mean")).alias("mean"), F.avg("sd").alias("sd")
+        )
     factors = parts.join(named, ["axis", "idx"]).select(*[c.split()[0] for c in FACTOR.split(", ")])
     trace = rows.where("kind = 'trace'").select("set_id", F.lit(2 if params.distributed else 1).alias("stage"), "phase", "iter", "chisq", "atoms_a", "atoms_p")
     chisq = matrix.chi_square(cell, factors.where("axis = 'A'"), factors.where("axis = 'P'"), uncertainty).first()[0]
