@@ -23,8 +23,8 @@ Defined results
 * an empty table gives no rows; extra columns are never read.
 
 Scale: signatures are map-only, and copies go no further than their digest.  Texts
-cross the network once, in the join that verifies; pairs are at most one per node and
-band, and the blocks of step 4 hold a bounded number of nodes.
+of candidate pairs cross the network, once in each of two verifying joins; pairs are at
+most one per node and band before step 4, whose blocks hold a bounded number of nodes.
 """
 
 from __future__ import annotations
@@ -46,10 +46,14 @@ BANDS, ROWS = 40, 6
 #: Pairs whose share of equal signature bytes is this much under the threshold are no links:
 #: four standard deviations of the estimate from 240 registers at 0.8.
 MARGIN = 0.105
+#: Text bytes worked on at once, unless one text has more; the working arrays are 30 times that.
+BATCH_BYTES = 2 << 20
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 100_000
 #: Nodes per side of a block of a large bucket.
 BLOCK = 4096
 
-SKETCH = "doc_id long, digest binary, bands array<long>, sketch binary"
+SKETCH = "doc_id long, digest string, bands array<long>, sketch binary"
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -58,7 +62,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     names = [x.split()[0] for x in SKETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in small_batches(batches, 1):
+        for big in small_batches(batches, 1, BATCH_BYTES):
             for at in range(0, big.num_rows, TEXTS_AT_ONCE):
                 batch = big.slice(at, TEXTS_AT_ONCE)
                 data, offsets = text_bytes(batch.column(1))
@@ -73,7 +77,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(offsets, offsets[1:], strict=False)], pa.binary()),
+                        pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(offsets, offsets[1:], strict=False)], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1), pa.int64())),
                         pa.array([x.tobytes() for x in byte], pa.binary()),
                     ],
@@ -98,7 +102,7 @@ def _plausible(least: float):
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in small_batches(batches, 2, 4 << 20):
+        for big in small_batches(batches, 2, BATCH_BYTES):
             for at in range(0, big.num_rows, TEXTS_AT_ONCE):
                 batch = big.slice(at, TEXTS_AT_ONCE)
                 sides = []
@@ -116,7 +120,14 @@ def _verified(threshold: float):
 
 
 def verified_links(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity of the pairs whose texts' probability Jaccard is the threshold or more."""
+    """a, b, similarity of the pairs whose texts' probability Jaccard is the threshold or more.
+
+    The pairs are read three times, so they should be stored.  If they name few documents,
+    by count, the other texts are left out before the exchange.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(named), "doc_id", "left_semi")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -181,55 +192,51 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """doc_id, copy_of, class_id: the least id with an equal text, and the least id of the class."""
     docs = documents(docs, id_col, text_col)
-    drawn = checkpointed(sketches(docs, bands, rows))
     least = threshold - margin
-
-    node_of = drawn.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = drawn.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
-    # One text per id gives the id its keys; other texts of a repeated id add theirs.
-    nodes = checkpointed(named.select(F.col("x.doc_id").alias("node"), "x.bands", "x.sketch"))
     texts = docs.where("doc_id is not null")
+    copies = texts.select("doc_id", F.sha2("text", 256).alias("digest"))
 
+    # One row per distinct text; of a repeated id's texts each has a row under that id.
+    drawn = sketches(texts, bands, rows).groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
+    nodes = checkpointed(drawn.select(F.col("x.doc_id").alias("node"), "x.bands", "x.sketch"))
+
+    # Only keys of two or more nodes go further than this aggregate and its join.
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    pivot = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).getField("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = (
-        keyed.join(pivot, "key")
-        .where("node != pivot")
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .distinct()
-    )
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1")
+    buckets = checkpointed(keyed.join(shared, "key").select("key", "node", "n", "pivot"))
+    pairs = buckets.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     of_b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     close = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_plausible(least), "a long, b long")
-    links = checkpointed(verified_links(close, texts, threshold))
+    links = checkpointed(verified_links(checkpointed(close), texts, threshold))
     first = connected_components(links)
 
-    labelled = nodes.join(first, "node", "left").select("node", "sketch", "bands", F.coalesce("component", "node").alias("component"))
-    members = labelled.select("node", "sketch", "component", F.explode("bands").alias("key"))
     # A bucket of two has had its only pair compared.
-    mixed_keys = (
+    named = first.withColumnRenamed("node", "m")
+    members = buckets.where("n > 2").join(named, F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = (
         members.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("n > 2 and low < high")
+        .where("low < high")
         .select("key", F.ceil(F.col("n") / block).alias("blocks"))
     )
-    cells = _bucket_blocks(members.join(mixed_keys, "key"), block)
+    cells = _bucket_blocks(members.join(several, "key").join(nodes.select("node", "sketch"), "node"), block)
     across = cells.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
-    late = checkpointed(verified_links(across, texts, threshold))
+    late = checkpointed(verified_links(checkpointed(across), texts, threshold))
     named_a, named_b = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     bridges = late.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
 
     classes = (
-        node_of.join(first, "node", "left")
+        copies.groupBy("digest")
+        .agg(F.min("doc_id").alias("node"))
+        .join(first, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .join(second, "component", "left")
         .select("digest", F.col("node").alias("copy_of"), F.coalesce("joined", "component").alias("class_id"))
     )
-    return (
-        drawn.where("doc_id is not null").select("doc_id", "digest").join(classes, "digest").select("doc_id", "copy_of", "class_id")
-        .unionByName(drawn.where("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id")))
-    )
+    nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
+    return copies.join(classes, "digest").select("doc_id", "copy_of", "class_id").unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
