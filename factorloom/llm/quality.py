@@ -52,9 +52,8 @@ def surface(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     some = np.maximum(size, 1).astype(np.float64)
     kind = _KINDS[data]
     counts = np.zeros((n, 8))
-    edges = np.concatenate([np.zeros((1, 8), np.int64), np.cumsum(kind[:, None] == np.arange(8), axis=0)]) if len(data) < 1 << 16 else None
     for k in range(8):
-        total = edges[:, k] if edges is not None else np.concatenate([[0], np.cumsum(kind == k)])
+        total = np.concatenate([[0], np.cumsum(kind == k)])
         counts[:, k] = total[offsets[1:]] - total[offsets[:-1]]
     word, first = word_hashes(data, offsets)
     words = np.diff(first)
