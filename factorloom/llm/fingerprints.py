@@ -40,6 +40,7 @@ BLOCK = 512
 #: Hex digits of a branch or leaf in a fingerprint.
 LEAF = 12
 LEAF_CHARS = 160
+_LOWEST = -(1 << 62)
 
 _SECTIONS = r"(?<=\n)(?=\n|#)"
 _PARAGRAPHS = r"(?<=\n)"
@@ -118,26 +119,25 @@ def differing(a: Column, b: Column, level: str = "paragraph") -> Column:
 
 
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, text, the other columns, and ``next``: a struct of the next row in descending order of doc_id.
+    """doc_id, text, next_text: each document beside the next in descending order of doc_id.
 
     Neighbours are found within blocks of ids; the last document of a block is followed
     by the head of the next lower block that has any, and the lowest block by the highest.
     """
-    blocked = docs.withColumn("block", F.floor(F.col("doc_id") / block))
-    # Null ids make the last block, so they follow every other document.
+    # Null ids make the lowest block, so they follow every other document.  No block is null,
+    # so the join below keeps the window's partitioning.
+    number = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LOWEST))
     by_block = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    row = F.struct(*docs.columns)
-    inside = blocked.select(*docs.columns, "block", F.lead(row).over(by_block).alias("after"), F.row_number().over(by_block).alias("place"))
-    heads = inside.where("place = 1").select("block", F.struct(*docs.columns).alias("head"))
+    blocked = docs.withColumn("block", number)
+    inside = blocked.withColumn("after", F.lead(F.struct("text")).over(by_block))
+    heads = blocked.withColumn("place", F.row_number().over(by_block)).where("place = 1").select("block", F.col("text").alias("head"))
     # One row per block, without texts.
-    around = Window.orderBy(F.col("block").desc_nulls_last())
+    around = Window.orderBy(F.col("block").desc())
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = docs.select(F.floor(F.col("doc_id") / block).alias("block")).distinct()
-    followed = blocks.select("block", F.lead(F.struct("block")).over(around).alias("lower"), F.first(F.struct("block")).over(whole).alias("highest"))
-    following = followed.select(F.col("block").alias("at"), F.coalesce("lower", "highest").getField("block").alias("block"))
-    heads = following.join(heads, following.block.eqNullSafe(heads.block)).select("at", "head")
-    joined = inside.join(heads, F.col("block").eqNullSafe(F.col("at")) & F.col("after").isNull(), "left")
-    return joined.select(*docs.columns, F.coalesce("after", "head").alias("next"))
+    followed = docs.select(number.alias("block")).distinct().select(F.col("block").alias("at"), F.coalesce(F.lead("block").over(around), F.max("block").over(whole)).alias("block"))
+    after = followed.join(heads, "block").select(F.col("at").alias("block"), "head")
+    joined = inside.join(after, "block", "left")
+    return joined.select("doc_id", "text", F.when(F.col("after").isNull(), F.col("head")).otherwise(F.col("after.text")).alias("next_text"))
 
 
 def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -146,16 +146,18 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The edited text has the last floor(n / 2) code points replaced by as many, or all, of
     the next document's first.
     """
-    printed = documents(docs, id_col, text_col).withColumn("fingerprint", fingerprint(F.col("text")))
     half = "cast(floor(char_length(text) / 2) as int)"
-    rows = with_next(printed, block).select(
+    rows = with_next(documents(docs, id_col, text_col), block).withColumn(
+        "edited", F.concat(F.expr(f"substring(text, 1, char_length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
+    )
+    prints = rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
-        F.concat(F.expr(f"substring(text, 1, char_length(text) - {half})"), F.expr(f"substring(next.text, 1, {half})")).alias("edited"),
-        "fingerprint",
-        F.col("next.fingerprint").alias("next_fingerprint"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        fingerprint(F.col("next_text")).alias("next_fingerprint"),
     )
-    prints = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return prints.select(
         "doc_id",
         "n_chars",
