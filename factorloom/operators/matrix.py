@@ -29,6 +29,12 @@ def subset(cell: DataFrame, index: DataFrame, dim: int) -> DataFrame:
     return cell.join(chosen, axis).select(F.col("__pos").alias(axis), *rest).select(cell.columns)
 
 
+def subset_names(dims: DataFrame, index: DataFrame, axis: str) -> DataFrame:
+    """The names of a subset of one axis under their new places; the other axis as it was."""
+    moved = dims.where(F.col("axis") == axis).join(index, "idx").select("axis", F.col("pos").cast("long").alias("idx"), "name")
+    return moved.unionByName(dims.where(F.col("axis") != axis).select("axis", "idx", "name"))
+
+
 def positive(cell: DataFrame) -> DataFrame:
     return cell.where("value > 0")
 
