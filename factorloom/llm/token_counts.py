@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ship_package, small_batches
+from .common import checkpointed, documents, ship_package, small_batches
 
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,5 +138,8 @@ def quantiles(table: DataFrame, probabilities: Iterable[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table of :func:`limit_table` for the documents' encoded lengths."""
-    return limit_table(histogram(encoded_lengths(docs, vocabulary, id_col, text_col)))
+    """The table of :func:`limit_table` for the documents' encoded lengths.
+
+    The histogram is read twice, so it is stored; the texts are encoded once.
+    """
+    return limit_table(checkpointed(histogram(encoded_lengths(docs, vocabulary, id_col, text_col))))
