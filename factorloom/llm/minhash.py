@@ -9,9 +9,9 @@
    the threshold are set aside; the others are verified on the texts: a pair is a link
    if its probability Jaccard similarity is the threshold or more.
 4. Links make components.  In buckets that still hold several components, every pair
-   of nodes of different components is compared by signature bytes inside the task, in
-   blocks, and verified like the first pairs.  Pairs within one component would change
-   nothing.  The components that those links join are the classes.
+   of nodes of different components is compared inside the task, in blocks: by signature
+   bytes, then on the texts.  Pairs within one component would change nothing.  The
+   components that those links join are the classes.
 
 So every candidate pair of the banding is held against the threshold unless its ends
 are in one class anyway; no bucket is cut.
@@ -23,8 +23,8 @@ Defined results
 * an empty table gives no rows; extra columns are never read.
 
 Scale: signatures are map-only, and copies go no further than their digest.  Texts
-of candidate pairs cross the network, once in each of two verifying joins; pairs are at
-most one per node and band before step 4, whose blocks hold a bounded number of nodes.
+of candidate pairs cross the network, and once per node and bucket in step 4; pairs are at
+most one per node and band, and step 4 gives links alone and holds a bounded block.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ MARGIN = 0.105
 BATCH_BYTES = 2 << 20
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 100_000
-#: Nodes per side of a block of a large bucket.
+#: Nodes per block of a large bucket.
 BLOCK = 4096
 
 SKETCH = "doc_id long, digest string, bands array<long>, sketch binary"
@@ -119,48 +119,79 @@ def _verified(threshold: float):
     return run
 
 
+def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Without the texts that aren't named, where those named are few, by count; else unchanged."""
+    named = ids.distinct()
+    if named.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return docs
+    return docs.join(F.broadcast(named), "doc_id", "left_semi")
+
+
 def verified_links(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity of the pairs whose texts' probability Jaccard is the threshold or more.
 
-    The pairs are read three times, so they should be stored.  If they name few documents,
-    by count, the other texts are left out before the exchange.
+    The pairs are read three times, so they should be stored.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(named), "doc_id", "left_semi")
+    docs = _narrowed(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return texts.mapInArrow(_verified(threshold), "a long, b long, similarity double")
 
 
-def _across(least: float):
-    """Pairs of nodes of different components in one block of a bucket, by signature bytes."""
+def _across(least: float, threshold: float):
+    """Links between nodes of different components in one block of a bucket.
+
+    A pair is compared in the bucket of its first common band alone.  Signature bytes go
+    first; what they leave is verified on the texts at hand.  Components that a link
+    joins count as one from then on.
+    """
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     def run(table: pa.Table) -> pa.Table:
+        key = table.column("key")[0].as_py()
         node, component, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        first, second = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         need = int(np.ceil(least * sketch.shape[1]))
+        labels, label = np.unique(component, return_inverse=True)
+        root = np.arange(len(labels))
+        parts = _shingle_lists(table.column("text"))
+        second = np.flatnonzero(side >= 0)
         found = []
-        for i in first:
-            others = second[component[second] != component[i]]
+        for i in np.flatnonzero(side <= 0):
+            others = second[root[label[second]] != root[label[i]]]
             if side[i] == 0:
                 others = others[(side[others] == 1) | (node[others] > node[i])]
             for at in range(0, len(others), BLOCK):
                 part = others[at : at + BLOCK]
-                like = part[(sketch[part] == sketch[i]).sum(axis=1) >= need]
-                if len(like):
-                    found.append(np.stack([np.minimum(node[i], node[like]), np.maximum(node[i], node[like])]))
+                part = part[(sketch[part] == sketch[i]).sum(axis=1) >= need]
+                same = bands[part] == bands[i]
+                for j in part[same.any(axis=1) & (bands[i][same.argmax(axis=1)] == key)].tolist():
+                    one, two = root[label[i]], root[label[j]]
+                    if one != two and probability_jaccard(*parts[i], *parts[j]) >= threshold - 1e-9:
+                        found.append((min(node[i], node[j]), max(node[i], node[j])))
+                        root[root == two] = one
         if not found:
             return empty
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
 
+def _shingle_lists(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, weights) of each text, a bounded number of bytes at a time."""
+    out = []
+    batch = pa.RecordBatch.from_arrays([column.combine_chunks()], ["text"])
+    for big in small_batches(iter([batch]), 0, BATCH_BYTES):
+        for at in range(0, big.num_rows, TEXTS_AT_ONCE):
+            part = big.slice(at, TEXTS_AT_ONCE)
+            text, shingle, weight = weighted_shingles(*text_bytes(part.column(0)))
+            cut = np.searchsorted(text, np.arange(part.num_rows + 1))
+            out += [(shingle[i:j], weight[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+    return out
+
+
 def _bucket_blocks(members: DataFrame, block: int) -> DataFrame:
     """Give each bucket's rows to the cells of a triangle of blocks.
 
@@ -176,7 +207,6 @@ def _bucket_blocks(members: DataFrame, block: int) -> DataFrame:
         F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"),
         "node",
         "component",
-        "sketch",
     )
 
 
@@ -220,9 +250,10 @@ def near_duplicate_classes(
         .where("low < high")
         .select("key", F.ceil(F.col("n") / block).alias("blocks"))
     )
-    cells = _bucket_blocks(members.join(several, "key").join(nodes.select("node", "sketch"), "node"), block)
-    across = cells.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
-    late = checkpointed(verified_links(checkpointed(across), texts, threshold))
+    cells = checkpointed(_bucket_blocks(members.join(several, "key"), block))
+    wanted = _narrowed(texts, cells.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+    full = cells.join(nodes, "node").join(wanted, "node").select("key", "i", "j", "side", "node", "component", "sketch", "bands", "text")
+    late = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long"))
     named_a, named_b = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     bridges = late.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
