@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from ..model import FACTOR, TRACE, Params, Result
 from . import consensus, matrix, subsets
-from .kernel import Chain
+from .kernel import Cells, Chain
 
 ROWS = "set_id int, kind string, phase string, iter int, axis string, idx long, k int, mean double, sd double, chisq double, atoms_a int, atoms_p int, state binary"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
-#: Cells of one set's dense grid; a larger set belongs in more sets or in sparse mode.
+#: Cells of one set's dense grid; a larger set belongs in more sets or in sparse mode, which makes no grid.
 MOST_CELLS = 200_000_000
 
 
@@ -33,19 +33,23 @@ def _chain(params: Params, stage: int, other: int, transposed: bool, fixed: pd.D
     def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         set_id = int(key[0])
         own = np.sort(cells["idx"].unique())
-        if len(own) * other > MOST_CELLS:
-            raise ValueError("a set is too large for one task; use more sets")
+        if not params.sparse and len(own) * other > MOST_CELLS:
+            raise ValueError("a set is too large for one task; use more sets or sparse mode")
         place = np.searchsorted(own, cells["idx"].to_numpy())
         cross = cells["cross"].to_numpy()
         there = cross >= 0
-        grid = np.zeros((len(own), other))
-        grid[place[there], cross[there]] = cells["value"].to_numpy()[there]
-        sigma = None
-        if given_sigma:
-            sigma = np.full(grid.shape, 0.1)
-            sigma[place[there], cross[there]] = cells["sigma"].to_numpy()[there]
-        if transposed:  # the set holds columns
-            grid, sigma = grid.T.copy(), None if sigma is None else sigma.T.copy()
+        value, sigma = cells["value"].to_numpy()[there], None
+        if params.sparse:
+            grid = Cells(place[there], cross[there], value, (len(own), other))
+            grid = grid.transposed() if transposed else grid
+        else:
+            grid = np.zeros((len(own), other))
+            grid[place[there], cross[there]] = value
+            if given_sigma:
+                sigma = np.full(grid.shape, 0.1)
+                sigma[place[there], cross[there]] = cells["sigma"].to_numpy()[there]
+            if transposed:  # the set holds columns
+                grid, sigma = grid.T.copy(), None if sigma is None else sigma.T.copy()
         start = None
         if fixed is not None:
             start = np.zeros((grid.shape[0 if params.fixed == "A" else 1], params.n_patterns))
@@ -199,7 +203,8 @@ def factorize(
         )
     factors = parts.join(named, ["axis", "idx"]).select(*[c.split()[0] for c in FACTOR.split(", ")])
     trace = rows.where("kind = 'trace'").select("set_id", F.lit(2 if params.distributed else 1).alias("stage"), "phase", "iter", "chisq", "atoms_a", "atoms_p")
-    chisq = matrix.chi_square(cell, factors.where("axis = 'A'"), factors.where("axis = 'P'"), uncertainty).first()[0]
+    sides = factors.where("axis = 'A'"), factors.where("axis = 'P'")
+    chisq = (matrix.chi_square_cells(cell, *sides) if params.sparse else matrix.chi_square(cell, *sides, uncertainty)).first()[0]
     meta |= {
         "total_updates": int(rows.where("kind = 'updates'").agg(F.sum("iter")).first()[0] or 0),
         "snapshots": rows.where("kind = 'snapshot'").select("set_id", "phase", "iter", "axis", "idx", "k", F.col("mean").alias("value")),

@@ -137,6 +137,31 @@ class SparseModel:
         return self.BETA * total
 
 
+class Cells:
+    """A matrix by its positive cells, in the order of rows; of a repeated cell the last counts."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> None:
+        order = np.lexsort((cols, rows))
+        rows, cols, values = rows[order], cols[order], values[order]
+        last = np.ones(len(rows), bool)
+        last[:-1] = (rows[1:] != rows[:-1]) | (cols[1:] != cols[:-1])
+        keep = last & (values > 0)
+        self.rows, self.cols, self.values, self.shape = rows[keep], cols[keep], values[keep], shape
+
+    @staticmethod
+    def of(grid: np.ndarray) -> Cells:
+        rows, cols = np.nonzero(grid > 0)
+        return Cells(rows, cols, grid[rows, cols], grid.shape)
+
+    def transposed(self) -> Cells:
+        return Cells(self.cols, self.rows, self.values, self.shape[::-1])
+
+    def by_row(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each row's columns and values."""
+        ends = np.searchsorted(self.rows, np.arange(1, self.shape[0]))
+        return list(zip(np.split(self.cols, ends), np.split(self.values, ends), strict=True))
+
+
 class Atoms:
     """Atoms by place, with constant-time uniform choice."""
 
@@ -305,19 +330,25 @@ class ChainResult:
 
 
 class Chain:
-    """Alternating updates of both sides; its whole state can be pickled and resumed."""
+    """Alternating updates of both sides; its whole state can be pickled and resumed.
+
+    In sparse mode the data may be given as cells, and nothing of the grid's size is made.
+    """
 
-    def __init__(self, data: np.ndarray, params, seed: tuple[int, ...], sigma: np.ndarray | None = None, fixed: np.ndarray | None = None) -> None:
+    def __init__(self, data: np.ndarray | Cells, params, seed: tuple[int, ...], sigma: np.ndarray | None = None, fixed: np.ndarray | None = None) -> None:
         self.params = params
         k = params.n_patterns
-        positive = data[data > 0]
-        mean = float(data.sum() / len(positive)) if len(positive) else 1.0
+        if params.sparse and not isinstance(data, Cells):
+            data = Cells.of(data)
+        positive = data.values if params.sparse else data[data > 0]
+        total = positive.sum() if params.sparse else data.sum()
+        mean = float(total / len(positive)) if len(positive) else 1.0
         self.draws = Draws(np.random.default_rng(np.random.SeedSequence(list(seed))))
-        self.data = data
-        self.sigma = np.maximum(0.1 * data, 0.1) if sigma is None else sigma
         if params.sparse:
-            sides = [SparseModel([(np.flatnonzero(r > 0), r[r > 0]) for r in d], d.shape[1], k) for d in (data, data.T)]
+            sides = [SparseModel(d.by_row(), d.shape[1], k) for d in (data, data.transposed())]
         else:
+            self.data = data
+            self.sigma = np.maximum(0.1 * data, 0.1) if sigma is None else sigma
             self.ap = np.zeros(data.shape)
             weight = 1 / self.sigma**2
             sides = [DenseModel(data, weight, k, self.ap), DenseModel(data.T, weight.T, k, self.ap.T)]

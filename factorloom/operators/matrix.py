@@ -163,6 +163,14 @@ def gram(factor: DataFrame) -> DataFrame:
     return factor.join(other, "idx").groupBy("k", "l").agg(F.sum(F.col("mean") * F.col("other")).alias("g"))
 
 
+def chi_square_cells(cell: DataFrame, a: DataFrame, p: DataFrame) -> DataFrame:
+    """:func:`chi_square` under the default sigma without the grid: where there is no value, (m / 0.1)^2."""
+    whole = gram(a).join(gram(p).withColumnRenamed("g", "h"), ["k", "l"]).agg(F.sum(F.col("g") * F.col("h")).alias("whole"))
+    d, m, s = F.col("value"), F.col("m"), F.col("sigma")
+    there = product_at(with_sigma(positive(cell)), a, p).agg(F.coalesce(F.sum((d - m) * (d - m) / (s * s) - 100 * m * m), F.lit(0.0)).alias("there"))
+    return whole.join(F.broadcast(there)).select((100 * F.coalesce("whole", F.lit(0.0)) + F.col("there")).alias("chisq"))  # one row each
+
+
 def chi_square_sparse(cell: DataFrame, a: DataFrame, p: DataFrame, beta: float = 100.0) -> DataFrame:
     """The sparse model's statistic without the grid.
 

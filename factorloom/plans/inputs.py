@@ -1,6 +1,6 @@
 """Matrices derived from the star-schema tables.
 
-``d`` is brands x suppliers, ln(1 + quantity); ``a`` and ``p`` are surrogate factors (mean
+``d`` is brands x suppliers, ln(1 + quantity); ``d_sparse`` is parts x suppliers, quantity; ``a`` and ``p`` are surrogate factors (mean
 quantity and discount by return flag) that give the analytics deterministic inputs.
 They are not posterior factors.
 """
@@ -38,6 +38,11 @@ def d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("i", "j").agg(F.log(1 + F.sum("q")).alias("value"))
 
 
+def d_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return item.groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("value"))
+
+
 def a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy(F.col("i").alias("idx"), "name", "k").agg(F.avg("q").alias("mean"), F.stddev_samp("q").alias("sd"))
 

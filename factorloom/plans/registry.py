@@ -288,7 +288,7 @@ def factorization(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def factorization_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    cell = _zero_based(inputs.d(spark, sf))
+    cell = _zero_based(inputs.d_sparse(spark, sf))
     return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, sparse=True)).factors
 
 

@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,21 @@ def test_standard_run(spark, sparse):
     assert flipped.factors.orderBy("axis", "idx", "k").collect() == out.factors.orderBy("axis", "idx", "k").collect()
 
 
+def test_sparse_run_beyond_the_dense_limit(spark):
+    rng = np.random.default_rng(0)
+    rows, cols = 30_000, 10_000
+    assert rows * cols > factorize.MOST_CELLS
+    cell = spark.createDataFrame(pd.DataFrame({"i": np.arange(rows), "j": rng.integers(0, cols, rows), "value": rng.integers(1, 9, rows).astype(float)}))
+    params = Params(2, n_iterations=4, seed=3, sparse=True)
+    out = factorize.factorize(cell, params, shape=(rows, cols))
+    assert out.feature_loadings.count() == rows * 2 and out.sample_factors.count() == cols * 2 and out.mean_chisq > 0
+    small = factorize.from_numpy(spark, planted(4) * (rng.random((30, 16)) < 0.3))
+    a, p = (factor(spark, rng.random((n, 3)), "x") for n in (30, 16))
+    assert np.isclose(matrix.chi_square_cells(small, a, p).first()[0], matrix.chi_square(small, a, p).first()[0], rtol=1e-9)
+    with pytest.raises(Exception, match="too large"):
+        factorize.factorize(cell, params.with_(sparse=False), shape=(rows, cols)).factors.count()
+
+
 @pytest.mark.parametrize("mode", ["genome-wide", "single-cell"])
 def test_two_stage_run(spark, mode):
     cell = factorize.from_numpy(spark, planted(1))

@@ -6,7 +6,7 @@ import pytest
 
 from factorloom.functions import scalars
 from factorloom.model import Params
-from factorloom.operators.kernel import Atoms, Chain, Draws, SparseModel
+from factorloom.operators.kernel import Atoms, Cells, Chain, Draws, SparseModel
 
 
 def planted(seed=0, rows=25, cols=20, k=3):
@@ -161,3 +161,16 @@ def test_params():
             Params(**bad)
     with pytest.raises(TypeError):
         p.with_(nothing=1)
+
+
+def test_sparse_chain_from_cells_makes_no_grid():
+    data = planted(6)
+    data[3] = 0.0
+    params = Params(3, n_iterations=30, seed=5, sparse=True)
+    i, j = np.nonzero(data)
+    mixed = np.random.default_rng(1).permutation(len(i))
+    cells = Cells(i[mixed], j[mixed], data[i, j][mixed], data.shape)
+    one, two = Chain(data, params, (5,)).run().result(), Chain(cells, params, (5,)).run().result()
+    assert (one.a_mean == two.a_mean).all() and (one.p_mean == two.p_mean).all() and one.trace == two.trace
+    large = Cells(np.array([7, 2_999_999]), np.array([999_999, 0]), np.array([2.0, 3.0]), (3_000_000, 1_000_000))
+    assert Chain(large, params, (1,)).a.chisq() == 200
