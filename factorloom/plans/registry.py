@@ -38,6 +38,11 @@ def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.reconstruct(inputs.a(spark, sf), inputs.p(spark, sf), ["Brand#1", "Brand#4", "Brand#9"]).select("i", "j", _r("m"))
 
 
+@_query("SELECT g.i, g.j, round(g.m, 6) AS m FROM grid g")
+def reconstruction_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.reconstruct(inputs.a(spark, sf), inputs.p(spark, sf)).select("i", "j", _r("m"))
+
+
 @_query("SELECT round(sum(pow((coalesce(d.value, 0) - g.m) / greatest(0.1 * coalesce(d.value, 0), 0.1), 2)), 3) AS chisq FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j")
 def chi_square(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.chi_square(inputs.d(spark, sf), inputs.a(spark, sf), inputs.p(spark, sf)).select(_r("chisq", 3))

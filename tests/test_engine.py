@@ -46,6 +46,10 @@ def test_query_against_sql(spark, db, name):
     assert rows == sorted(map(str, db.sql(f"SELECT {', '.join(names)} FROM want").fetchall()))
 
 
+def test_a_query_returns_the_whole_reconstruction(spark):
+    assert registry.QUERIES["reconstruction_whole"](spark, SF).select("i").distinct().count() == 25
+
+
 def test_plans_push_filters_and_prune_columns(spark):
     plan = registry.QUERIES["reconstruction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "In(p_brand, [Brand#" in plan
