@@ -17,6 +17,8 @@ Defined results
 * null hosts and paths are sites of their own;
 * without labels of both classes nothing can be fitted: all probabilities are 0.5 and
   everything is kept;
+* fewer than ``FEW`` labelled rows are too few to calibrate on: the trees are fitted, and
+  only their ridge and least leaf shrink them;
 * repeated rows and ties stay; an empty table gives no rows; other columns are not read
   by the scoring and are carried through by the filter.
 
@@ -40,6 +42,7 @@ from .common import checkpointed, ship_package, small_batches, text_bytes
 from .shingles import word_hashes
 
 TRAINING_ROWS = 6000
+FEW = 20
 THRESHOLD = 0.5
 BROADCAST_SITES = 20_000
 N_FEATURES = 16
@@ -136,9 +139,11 @@ def fit_document_model(rows: DataFrame, labels: DataFrame, most: int = TRAINING_
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
     sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(most).select("numbers", "good").toPandas()
     y = sample["good"].to_numpy(np.float64)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = np.stack(sample["numbers"].to_numpy()).astype(np.float64)
+    if len(y) < FEW:
+        return boosting.fit(x, y, trees=40, least=0.2)
     return boosting.fit_calibrated(x, y, trees=40, least=0.2)
 
 

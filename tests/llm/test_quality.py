@@ -88,6 +88,15 @@ def test_held_out_accuracy_and_shrinkage(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "source", "lang", "p"} and kept[0].p == 7
 
 
+def test_few_labels_of_both_classes_are_fitted(spark):
+    docs, labels, rows = frames(spark)
+    few = labels.where("quality = 1").orderBy("doc_id").limit(2).unionByName(labels.where("quality = 0").orderBy("doc_id").limit(2))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = [(r.p_document, r.keep, truth[r.doc_id]) for r in quality.classify(docs, few).collect() if r.doc_id in truth]
+    assert np.mean([p for p, _, good in got if good]) > np.mean([p for p, _, good in got if not good]) + 0.1
+    assert np.mean([keep == bool(good) for _, keep, good in got]) > 0.8
+
+
 def test_nulls_no_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, None, None), (None, "a b", "h", None), (2, "", "h", "x"), (2, "", "h", "x")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
