@@ -18,7 +18,9 @@ are in one class anyway; no bucket is cut.
 
 Defined results
 * null texts are empty; texts without words only match texts equal to them;
-* rows with one doc_id are one document: they share a class; null ids have class null;
+* rows with one doc_id and one text share a class; different texts of one doc_id have the
+  classes of their texts, and those that occur under no lesser id share one; null ids have
+  class null;
 * one row for each row of the input, ties and repeated rows included;
 * an empty table gives no rows; extra columns are never read.
 
@@ -221,6 +223,20 @@ def near_duplicate_classes(
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, copy_of, class_id: the least id with an equal text, and the least id of the class."""
+    return _classes(docs, threshold, bands, rows, margin, block, id_col, text_col).drop("digest")
+
+
+def _classes(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    margin: float = MARGIN,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The near-duplicate classes with the digest of each row's text."""
     docs = documents(docs, id_col, text_col)
     least = threshold - margin
     texts = docs.where("doc_id is not null")
@@ -266,18 +282,21 @@ def near_duplicate_classes(
         .join(second, "component", "left")
         .select("digest", F.col("node").alias("copy_of"), F.coalesce("joined", "component").alias("class_id"))
     )
-    nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
-    return copies.join(classes, "digest").select("doc_id", "copy_of", "class_id").unionByName(nameless)
+    nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("digest"))
+    return copies.join(classes, "digest").select("doc_id", "copy_of", "class_id", "digest").unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents without all but the one with the least id of each class, all columns kept.
 
-    Of rows with one doc_id the one with the least text stays; rows without an id stay.
+    Of the texts of one doc_id, those that belong to the class of a lesser id go, and of the
+    others the least stays; rows without an id stay.
     """
     from pyspark.sql import Window
 
-    ids = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id = class_id").select(F.col("class_id").alias(id_col)).distinct()
+    own = _classes(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id = class_id")
+    ids = own.groupBy(F.col("class_id").alias(id_col)).agg(F.collect_set("digest").alias("__digests"))
     order = Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`")
-    kept = docs.where(F.col(f"`{id_col}`").isNotNull()).join(ids, id_col).withColumn("__place", F.row_number().over(order))
+    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    kept = docs.where(F.col(f"`{id_col}`").isNotNull()).join(ids, id_col).where(F.array_contains("__digests", digest)).withColumn("__place", F.row_number().over(order))
     return kept.where("__place = 1").drop("__place").select(docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -120,6 +120,12 @@ def test_classes_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in want}) and kept[0].bands == 0
 
 
+def test_repeated_id_keeps_the_text_that_no_lesser_id_has(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    docs = spark.createDataFrame([(3, one), (5, one), (5, two), (8, two), (9, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()) == [(3, one), (5, two), (9, None)]
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, None), (1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(str, minhash.near_duplicate_classes(docs).select("doc_id", "class_id").collect())) == sorted(map(str, docs.sparkSession.createDataFrame([(None, None), (None, None), (1, 1), (2, 1)], "doc_id long, class_id long").collect()))
