@@ -2,60 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sizes from Catalyst's statistics above this are defaults, not measurements.
-_UNKNOWN_BYTES = 1 << 50
+from ..runtime import checkpointed, shared_checkpoint_dir, ship_package
 
+__all__ = ["checkpointed", "documents", "input_bytes", "parts_for", "shared_checkpoint_dir", "ship_package", "small_batches", "text_bytes"]
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, unless PYTHONPATH already does."""
-    import factorloom
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(factorloom.__file__)))
-    sc = spark.sparkContext
-    if root in sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep):
-        return
-    if getattr(sc, "_factorloom_shipped", False):
-        return
-    import tempfile
-
-    path = os.path.join(tempfile.mkdtemp(prefix="factorloom"), "factorloom.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "factorloom")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)  # served by the driver, not read from a shared path
-    sc._factorloom_shipped = True
-
-
-def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if folder is None and current is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoints")
-    if current is None:
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder, which outlives any executor."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Sizes from Catalyst's statistics above this are defaults, not measurements.
+_UNKNOWN_BYTES = 1 << 50
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -4,16 +4,17 @@ The decoder reads LZW code streams of any legal code size, global and local pale
 interlacing, transparency, disposal and delays, and returns each frame as it is shown.
 The encoder writes true LZW streams.  :func:`store_payload` puts arbitrary bytes into
 the 8-bit samples of an image 64 wide, under the grey palette that maps each index to
-itself, and :func:`read_payload` gets them back from the shown frames.
+itself, and :func:`read_payload` gets them back from the shown frames.  A payload of
+over ``FRAME_ROWS`` rows becomes timed frames, each cleared before the next.
 
 Defined results
 * null or empty texts are one row of 64 zero samples;
-* a payload of more rows than an image may have goes to further frames;
-* damaged media gives an ``error`` and no frames from :func:`decode_media`;
+* damaged or null media, and media whose screen has over ``MAX_PIXELS`` pixels, give one
+  row with an ``error`` from :func:`decode_media`, after the frames shown before the damage;
 * equal texts give equal values; repeated rows stay repeated rows;
 * extra columns are never read.
 
-Scale: map-only.  A task holds one text at a time and its frames.
+Scale: map-only.  A task holds one text or one medium at a time, and one of its frames.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import documents, ship_package, small_batches
 
 WIDTH = 64
-#: Fixed value of the format: images have at most 65,535 rows.
-MAX_ROWS = 65535
+#: Rows of 64 samples in a frame of a stored payload; the format allows 65,535.
+FRAME_ROWS = 512
+#: Media with a larger screen give an error: a header of 13 bytes may claim 17 GB.
+MAX_PIXELS = 1 << 26
 #: Fixed value of the format: codes have at most 12 bits.
 TABLE = 4096
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
@@ -231,12 +234,14 @@ def _interlaced(rows: int) -> np.ndarray:
     return np.concatenate([np.arange(first, rows, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(media: bytes) -> Iterator[Frame]:
-    """The frames of an image as they are shown, in order."""
+def decode(media: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """The frames of an image as they are shown, in order; damage raises :class:`GifError`."""
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise GifError("no GIF header")
     view = memoryview(media)
     columns, rows = int.from_bytes(view[6:8], "little"), int.from_bytes(view[8:10], "little")
+    if columns * rows > max_pixels:
+        raise GifError(f"a screen of {columns} x {rows}")
     at = 13
 
     def colours(flags: int) -> np.ndarray | None:
@@ -260,6 +265,8 @@ def decode(media: bytes) -> Iterator[Frame]:
             if not n:
                 at += 1
                 return b"".join(parts)
+            if at + 1 + n > len(media):
+                raise GifError("blocks cut short")
             parts.append(view[at + 1 : at + 1 + n])
             at += 1 + n
 
@@ -274,6 +281,8 @@ def decode(media: bytes) -> Iterator[Frame]:
         if kind == 0x3B:
             return
         if kind == 0x21:
+            if at >= len(media):
+                raise GifError("extension cut short")
             label = view[at]
             at += 1
             body = blocks()
@@ -286,6 +295,8 @@ def decode(media: bytes) -> Iterator[Frame]:
         left, top, wide, high = (int.from_bytes(view[at + i : at + i + 2], "little") for i in (0, 2, 4, 6))
         flags = view[at + 8]
         at += 9
+        if left + wide > columns or top + high > rows:
+            raise GifError("frame outside the screen")
         palette = colours(flags)
         palette = shared if palette is None else palette
         if palette is None or at >= len(media):
@@ -300,8 +311,6 @@ def decode(media: bytes) -> Iterator[Frame]:
             straight = np.empty_like(samples)
             straight[_interlaced(high)] = samples
             samples = straight
-        if left + wide > columns or top + high > rows:
-            raise GifError("frame outside the screen")
         if int(samples.max(initial=0)) >= len(palette):
             raise GifError("sample outside the palette")
         before = canvas.copy() if disposal == 3 else None
@@ -332,14 +341,17 @@ def colour_histogram(pixels: np.ndarray, levels: int = 4) -> np.ndarray:
 def store_payload(payload: bytes, delay_ms: int = 100) -> bytes:
     """Media whose shown frames have the payload's bytes as grey samples, row by row."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    parts = [samples[i : i + MAX_ROWS] for i in range(0, len(samples), MAX_ROWS)]
+    parts = [samples[i : i + FRAME_ROWS] for i in range(0, len(samples), FRAME_ROWS)]
     return encode([{"indices": p, "delay_ms": delay_ms, "disposal": 2 if len(parts) > 1 else 0} for p in parts])
 
 
-def read_payload(media: bytes) -> tuple[bytes, list[Frame]]:
-    frames = list(decode(media))
-    # A cleared canvas is transparent, so the opaque rows are those of the frame itself.
-    return b"".join(f.pixels[f.pixels[:, 0, 3] > 0][..., 0].tobytes() for f in frames), frames
+def shown_rows(frame: Frame) -> np.ndarray:
+    """The samples of a stored payload's frame: a cleared canvas is transparent, so opaque rows are the frame's own."""
+    return frame.pixels[frame.pixels[:, 0, 3] > 0][..., 0]
+
+
+def read_payload(media: bytes) -> bytes:
+    return b"".join(shown_rows(f).tobytes() for f in decode(media))
 
 
 def padded(raw: bytes) -> bytes:
@@ -365,7 +377,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 FRAME_SCHEMA = "media_id long, frame int, delay_ms int, n_rows int, n_columns int, pixels binary, histogram array<long>, error string"
 
 
-def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row per shown frame: time, size, RGBA pixels and a 4 x 4 x 4 colour histogram.
 
     Media that can't be decoded, null included, gives one row with an error; frames shown
@@ -376,28 +388,40 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
                 try:
-                    for f in decode(raw or b""):
-                        rows.append((key, f.index, f.delay_ms, f.pixels.shape[0], f.pixels.shape[1], f.pixels.tobytes(), colour_histogram(f.pixels).tolist(), None))
+                    for f in decode(raw or b"", max_pixels):
+                        yield row(key, f.index, f.delay_ms, f.pixels.shape[0], f.pixels.shape[1], f.pixels.tobytes(), colour_histogram(f.pixels).tolist(), None)
                 except GifError as e:
-                    rows.append((key, None, None, None, None, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield row(key, None, None, None, None, None, None, str(e))
 
     return media.select(F.col(f"`{id_col}`").cast("long").alias("media_id"), F.col(f"`{media_col}`").alias("media")).mapInArrow(run, FRAME_SCHEMA)
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST_SCHEMA = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "n_frames long, duration_ms long, frames array<struct<frame:int,start_ms:int,delay_ms:int,n_rows:int,histogram:array<long>>>"
+)
+_FRAMES = pa.list_(pa.struct([("frame", pa.int32()), ("start_ms", pa.int32()), ("delay_ms", pa.int32()), ("n_rows", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
 
 
 def media_digest(raw: bytes) -> tuple:
+    """What :data:`DIGEST_SCHEMA` tells of a text's bytes, from the stored media read back.
+
+    The feature is the colour histogram of all frames: cell and count of those that occur.
+    """
     media = store_payload(padded(raw))
-    payload, frames = read_payload(media)
-    total = sum(colour_histogram(f.pixels) for f in frames)
-    feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};rows={sum(int((f.pixels[:, 0, 3] > 0).sum()) for f in frames)};grey=" + ",".join(str(int(x)) for x in total[:: (4 + 1) * 4 + 1])
+    parts, frames, time, total = [], [], 0, 0
+    for f in decode(media):
+        rows, cells = shown_rows(f), colour_histogram(f.pixels)
+        parts.append(rows.tobytes())
+        frames.append({"frame": f.index, "start_ms": time, "delay_ms": f.delay_ms, "n_rows": len(rows), "histogram": cells.tolist()})
+        time, total = time + f.delay_ms, total + cells
+    payload = b"".join(parts)
     return (
         len(raw),
         len(payload),
@@ -405,15 +429,18 @@ def media_digest(raw: bytes) -> tuple:
         zlib.crc32(payload[-64:]),
         len(media),
         hashlib.sha256(media).hexdigest(),
-        feature,
+        ",".join(f"{c}:{total[c]}" for c in np.flatnonzero(total)),
+        len(frames),
+        time,
+        frames,
     )
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every whole text as media, read the stored bytes back and describe both."""
     ship_package(docs.sparkSession)
-    names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), _FRAMES]
+    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature n_frames duration_ms frames".split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):

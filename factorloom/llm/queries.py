@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fingerprints, gif, minhash, packing, pieces, pii, quality, secrets, suffix_dedup, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(_documents(spark, sf_dir))
+    return packing.best_fit_packing(_documents(spark, sf_dir), VOCABULARY)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = token_counts.token_counts(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    table = token_counts.token_counts(_documents(spark, sf_dir), VOCABULARY)
     return table.withColumn("quantile", F.round("quantile", 9))
 
 

@@ -13,7 +13,8 @@ Defined results
 * repeated rows and ties count once per row;
 * an empty table gives an empty histogram, and every total is 0;
 * other columns are never read, so their names can't clash;
-* texts are encoded whole, however long.
+* texts are encoded whole, however long: a run of white space beyond ``LONG_RUN``, which
+  the pattern's engine can't hold, is given to the merges as the one piece it is.
 
 Scale: the encoding is map-only; one shuffle moves a row per task and distinct
 length.  A document of n tokens costs n tokens of input, so the number of distinct
@@ -24,6 +25,7 @@ blocks of lengths and then over the block totals.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,11 +37,16 @@ from .common import checkpointed, documents, ship_package, small_batches
 
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space characters in a row from which the pattern isn't asked for their piece.
+LONG_RUN = 4096
+#: Fixed value: Unicode's white space, which the pattern's \s means.
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 #: Lengths per block of the two-level suffix sums.
 BLOCK = 1024
 #: A vocabulary larger than this is refused, because it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         raw = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -49,27 +56,46 @@ def read_vocabulary(path: str) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def make_encoder(raw: bytes, pattern: str = PATTERN):
+def make_encoder(raw: bytes):
     """An encoder from the lines "base64 token, rank" of a vocabulary file."""
     import tiktoken
 
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
+def encode(encoder, text: str) -> list[int]:
+    """The ids of a text under :data:`PATTERN`.
 
-def encoded_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """One row per document: doc_id, n_tokens."""
+    A piece begins where a long run of white space does, since no other piece holds white
+    space after its first character.  The run up to its last character is one piece, and
+    the last one is left to what follows; at the end of the text the whole run is one.
+    """
+    if len(text) < LONG_RUN:
+        return encoder.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += encoder._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
+def encoded_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens and text_hash, a 64-bit hash of the text."""
     spark = docs.sparkSession
     ship_package(spark)
     raw = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = make_encoder(raw.value, pattern).encode_ordinary  # kept by the worker process between tasks
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make_encoder(raw.value)  # kept by the worker process between tasks
         for batch in small_batches(batches, 1):
-            lengths = [len(count(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["doc_id", "n_tokens"])
+            lengths = [len(encode(encoder, text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "text_hash"])
 
-    return documents(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long")
+    hashed = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(run, "doc_id long, n_tokens long, text_hash long")
 
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:

@@ -98,10 +98,31 @@ def test_damage_is_an_error(bad):
             list(gif.decode(good[:cut]))
 
 
-def test_more_rows_than_an_image_may_have():
-    payload = bytes(np.random.default_rng(0).integers(0, 3, 64 * 65540, dtype=np.uint8))
-    back, frames = gif.read_payload(gif.store_payload(payload))
-    assert back == payload and len(frames) == 2
+def test_every_kind_of_damage_is_a_gif_error():
+    rng = random.Random(3)
+    good = [gif.store_payload(bytes(rng.randrange(256) for _ in range(64 * 40))), gif.store_payload(b"abc " * 16 * 1100)]
+    good.append(gif.encode([{"indices": np.zeros((9, 4), np.uint8), "delay_ms": 50, "transparent": 1, "interlace": True}], gif.GREY[:4]) + b"")
+    for media in good:
+        cases = [media[:k] for k in range(0, min(len(media), 900))] + [media[:13], b"GIF89a\xff\xff\xff\xff\x00\x00\x00\x3b", media[:-1] + b"\x21"]
+        for _ in range(400):
+            x = bytearray(media)
+            for _ in range(rng.randrange(1, 6)):
+                x[rng.randrange(len(x))] = rng.randrange(256)
+            cases.append(bytes(x))
+        for case in cases:
+            try:
+                list(gif.decode(case, 1 << 20))
+            except gif.GifError:
+                pass
+
+
+def test_long_payloads_are_timed_frames():
+    payload = bytes(np.random.default_rng(0).integers(0, 3, 64 * (2 * gif.FRAME_ROWS + 5), dtype=np.uint8))
+    media = gif.store_payload(payload)
+    assert gif.read_payload(media) == payload
+    frames = list(gif.decode(media))
+    assert [(f.index, f.delay_ms, f.disposal, len(gif.shown_rows(f))) for f in frames] == [(0, 100, 2, 512), (1, 100, 2, 512), (2, 100, 2, 5)]
+    assert (frames[2].pixels[5:, :, 3] == 0).all()
 
 
 def test_columns(spark):
@@ -115,8 +136,18 @@ def test_columns(spark):
         r = by[key]
         assert (r.n_bytes, r.payload_bytes) == (len((text or "").encode()), len(raw))
         assert r.payload_sha256 == hashlib.sha256(raw).hexdigest() and r.tail_crc32 == zlib.crc32(raw[-64:])
+        samples = np.frombuffer(raw, np.uint8)
+        level = samples.astype(int) * 4 // 256
+        want = np.bincount(level * 21, minlength=64)  # a grey sample has one level in every colour
+        assert r.feature == ",".join(f"{c}:{n}" for c, n in enumerate(want) if n)
+        assert r.n_frames == -(-len(raw) // (64 * gif.FRAME_ROWS)) and r.duration_ms == 100 * r.n_frames
+        assert np.array([f.histogram for f in r.frames]).sum(axis=0).tolist() == want.tolist() and [f.start_ms for f in r.frames] == list(range(0, r.duration_ms, 100))
+        assert r.media_bytes == len(gif.store_payload(raw)) and r.media_sha256 == hashlib.sha256(gif.store_payload(raw)).hexdigest()
     assert by[2].media_sha256 == by[3].media_sha256
     frames = gif.decode_media(gif.encode_texts(docs)).collect()
-    assert len(frames) == 6 and all(f.error is None and sum(f.histogram) == f.n_rows * f.n_columns for f in frames)
+    assert len(frames) == sum(r.n_frames for r in rows) and all(f.error is None and 0 < sum(f.histogram) <= f.n_rows * f.n_columns for f in frames)
     assert gif.decode_media(spark.createDataFrame([(1, b"junk"), (2, None)], "doc_id long, media binary")).where("error is null").count() == 0
+    large = spark.createDataFrame([(1, bytearray(b"GIF89a\xff\xff\xff\xff\x00\x00\x00\x3b")), (2, bytearray(gif.store_payload(bytes(64))[:-1] + b"\x21"))], "doc_id long, media binary")
+    damaged = {r.media_id: r for r in gif.decode_media(large).where("error is not null").collect()}
+    assert "65535 x 65535" in damaged[1].error and "cut short" in damaged[2].error
     assert gif.media_digests(docs.limit(0)).count() == 0

@@ -1,4 +1,5 @@
 import random
+import re
 
 from factorloom.llm import token_counts
 
@@ -29,3 +30,21 @@ def test_every_limit_against_brute_force(spark):
     for r in token_counts.quantiles(table, [0.01, 0.5, 0.9, 1.0]).collect():
         assert r.n_tokens == next(x for x in ordered if sum(n <= x for n in lengths) / len(lengths) >= r.probability - 1e-12)
     assert token_counts.token_counts(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_long_runs_of_white_space(spark, monkeypatch):
+    encoder = token_counts.make_encoder(token_counts.read_vocabulary(VOCABULARY))
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + " b", "é " + "\t " * 700_000 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {r.doc_id: r.n_tokens for r in token_counts.encoded_lengths(docs, VOCABULARY).collect()}
+    for k, text in enumerate(texts):
+        ids = token_counts.encode(encoder, text)
+        assert encoder.decode(ids) == text and counts[k] == len(ids)
+    # the same ids as the library's, where a run is long from three characters on
+    monkeypatch.setattr(token_counts, "LONG_RUN", 3)
+    monkeypatch.setattr(token_counts, "_LONG_RUN", re.compile(token_counts._LONG_RUN.pattern.replace("{4096,}", "{3,}")))
+    rng = random.Random(2)
+    parts = [" ", "   ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\u200b", "a", "Bé", "1", "!", "'s", "😀", "\r\n", "\x85"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(16)))
+        assert token_counts.encode(encoder, text) == encoder.encode_ordinary(text)
