@@ -8,10 +8,18 @@ the columns of ``documents``.
 2. near duplicates: the document with the least id of each class stays;
 3. repeats: byte strings of 100 that occur earlier are cut out of the texts;
 4. personal data: selected spans are replaced by their kind;
-5. packing: texts are packed into sequences of permitted lengths.
+5. packing: texts are packed, by their tokens, into sequences of permitted lengths.
 
 A text that is cut or redacted gets its new length in ``n_chars``; a document whose text
 is cut to nothing stays, with the empty text.
+
+Defined results
+* null texts count as empty ones: they are judged as such, are near duplicates of each
+  other (those without an id stay), and become the empty text in stage 3;
+* rows with one doc_id and one text are one document, and one of them stays; of different
+  texts under one doc_id that no lesser id has, the least stays; rows without an id stay;
+* empty tables give empty results of the same columns; columns of other names are carried
+  through the stages, whatever they are called, and the last stage leaves them out.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import minhash, packing, pii, quality, suffix_dedup
 from factorloom.llm.common import shared_checkpoint_dir
+from factorloom.llm.queries import VOCABULARY
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, VOCABULARY)
 
 
 STAGES = [
