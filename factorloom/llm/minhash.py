@@ -1,20 +1,21 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
 1. Each text gets a digest, a ProbMinHash signature of its weighted shingles
-   (:mod:`shingles`), one key for each band of registers and one byte of each register.
+   (:mod:`shingles`) and one key for each band of registers.
 2. Texts with equal digests are one node, named by their least doc_id.
 3. Nodes that share a band key are candidates.  Every node is first held against one
    pivot of each of its buckets, drawn by a hash of key and node, so that a large bucket
-   meets many pivots over the bands.  Pairs that the signature bytes put clearly below
-   the threshold are set aside; the others are verified on the texts: a pair is a link
+   meets many pivots over the bands.  Each pair is verified on the texts: it is a link
    if its probability Jaccard similarity is the threshold or more.
 4. Links make components.  In buckets that still hold several components, every pair
-   of nodes of different components is compared inside the task, in blocks: by signature
-   bytes, then on the texts.  Pairs within one component would change nothing.  The
-   components that those links join are the classes.
+   of nodes of different components is compared inside the task, in blocks: the overlap
+   of their shingle distributions, which the similarity can't exceed, goes first, then the
+   similarity itself.  Pairs within one component would change nothing.  The components
+   that those links join are the classes.
 
-So every candidate pair of the banding is held against the threshold unless its ends
-are in one class anyway; no bucket is cut.
+So every candidate pair of the banding is held against the threshold on its texts unless
+its ends are in one class anyway; nothing is estimated there and no bucket is cut.  A pair
+at a similarity of exactly the threshold shares no band with probability 5e-6.
 
 Defined results
 * null texts are empty; texts without words only match texts equal to them;
@@ -26,7 +27,8 @@ Defined results
 
 Scale: signatures are map-only, and copies go no further than their digest.  Texts
 of candidate pairs cross the network, and once per node and bucket in step 4; pairs are at
-most one per node and band, and step 4 gives links alone and holds a bounded block.
+most one per node and band.  Step 4 gives links alone; a block holds at most ``BLOCK``
+expected nodes and ``BLOCK_BYTES`` expected bytes of text, or one longer text.
 """
 
 from __future__ import annotations
@@ -41,25 +43,23 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, ship_package, small_batches, text_bytes
 from .components import connected_components
-from .shingles import TEXTS_AT_ONCE, band_keys, mixed, prob_minhash, probability_jaccard, weighted_shingles
+from .shingles import TEXTS_AT_ONCE, band_keys, prob_minhash, probability_jaccard, weighted_shingles
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-#: Pairs whose share of equal signature bytes is this much under the threshold are no links:
-#: four standard deviations of the estimate from 240 registers at 0.8.
-MARGIN = 0.105
 #: Text bytes worked on at once, unless one text has more; the working arrays are 30 times that.
 BATCH_BYTES = 2 << 20
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 100_000
-#: Nodes per block of a large bucket.
+#: Nodes, and bytes of their texts, per block of a large bucket.
 BLOCK = 4096
+BLOCK_BYTES = 4 << 20
 
-SKETCH = "doc_id long, digest string, bands array<long>, sketch binary"
+SKETCH = "doc_id long, digest string, bands array<long>, n_bytes long"
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text, band keys (none without words) and a byte of each register."""
+    """doc_id, digest of the text, band keys (none without words) and bytes of the text."""
     ship_package(docs.sparkSession)
     names = [x.split()[0] for x in SKETCH.split(", ")]
 
@@ -74,14 +74,13 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 some = np.zeros(batch.num_rows, bool)
                 some[text] = True
                 ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
-                byte = (mixed(winner) >> np.uint64(56)).astype(np.uint8)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(offsets, offsets[1:], strict=False)], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1), pa.int64())),
-                        pa.array([x.tobytes() for x in byte], pa.binary()),
+                        pa.array(np.diff(offsets), pa.int64()),
                     ],
                     names,
                 )
@@ -89,19 +88,6 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _plausible(least: float):
-    """Keep pairs whose signature bytes agree often enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return run
-
-
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in small_batches(batches, 2, BATCH_BYTES):
@@ -141,39 +127,46 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHO
     return texts.mapInArrow(_verified(threshold), "a long, b long, similarity double")
 
 
-def _across(least: float, threshold: float):
+def _across(threshold: float):
     """Links between nodes of different components in one block of a bucket.
 
-    A pair is compared in the bucket of its first common band alone.  Signature bytes go
-    first; what they leave is verified on the texts at hand.  Components that a link
-    joins count as one from then on.
+    A pair is compared in the bucket of its first common band alone.  Components that a
+    link joins count as one from then on.
     """
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
         node, component, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        need = int(np.ceil(least * sketch.shape[1]))
         labels, label = np.unique(component, return_inverse=True)
         root = np.arange(len(labels))
         parts = _shingle_lists(table.column("text"))
+        size = np.array([len(p[0]) for p in parts])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        shingles, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        share = np.concatenate([p[1] / p[1].sum() for p in parts])
+        mine = np.zeros(len(shingles))
         second = np.flatnonzero(side >= 0)
         found = []
         for i in np.flatnonzero(side <= 0):
             others = second[root[label[second]] != root[label[i]]]
             if side[i] == 0:
                 others = others[(side[others] == 1) | (node[others] > node[i])]
-            for at in range(0, len(others), BLOCK):
-                part = others[at : at + BLOCK]
-                part = part[(sketch[part] == sketch[i]).sum(axis=1) >= need]
-                same = bands[part] == bands[i]
-                for j in part[same.any(axis=1) & (bands[i][same.argmax(axis=1)] == key)].tolist():
-                    one, two = root[label[i]], root[label[j]]
-                    if one != two and probability_jaccard(*parts[i], *parts[j]) >= threshold - 1e-9:
-                        found.append((min(node[i], node[j]), max(node[i], node[j])))
-                        root[root == two] = one
+            same = bands[others] == bands[i]
+            others = others[same.any(axis=1) & (bands[i][same.argmax(axis=1)] == key)]
+            if not len(others):
+                continue
+            own = slice(ends[i], ends[i + 1])
+            mine[place[own]] = share[own]
+            theirs = np.repeat(ends[others] - np.concatenate([[0], np.cumsum(size[others])[:-1]]), size[others]) + np.arange(size[others].sum())
+            overlap = np.add.reduceat(np.minimum(mine[place[theirs]], share[theirs]), np.concatenate([[0], np.cumsum(size[others])[:-1]]))
+            mine[place[own]] = 0
+            for j in others[overlap >= threshold - 1e-9].tolist():
+                one, two = root[label[i]], root[label[j]]
+                if one != two and probability_jaccard(*parts[i], *parts[j]) >= threshold - 1e-9:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    root[root == two] = one
         if not found:
             return empty
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -194,11 +187,11 @@ def _shingle_lists(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray
     return out
 
 
-def _bucket_blocks(members: DataFrame, block: int) -> DataFrame:
+def _bucket_blocks(members: DataFrame) -> DataFrame:
     """Give each bucket's rows to the cells of a triangle of blocks.
 
     ``side`` is 0 in cells on the diagonal, -1 for the cell's first block and 1 for its
-    second.  A bucket of up to ``block`` rows is one cell.
+    second.  A bucket of one block is one cell.
     """
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -217,13 +210,13 @@ def near_duplicate_classes(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    margin: float = MARGIN,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, copy_of, class_id: the least id with an equal text, and the least id of the class."""
-    return _classes(docs, threshold, bands, rows, margin, block, id_col, text_col).drop("digest")
+    return _classes(docs, threshold, bands, rows, block, block_bytes, id_col, text_col).drop("digest")
 
 
 def _classes(
@@ -231,45 +224,41 @@ def _classes(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    margin: float = MARGIN,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The near-duplicate classes with the digest of each row's text."""
     docs = documents(docs, id_col, text_col)
-    least = threshold - margin
     texts = docs.where("doc_id is not null")
     copies = texts.select("doc_id", F.sha2("text", 256).alias("digest"))
 
     # One row per distinct text; of a repeated id's texts each has a row under that id.
-    drawn = sketches(texts, bands, rows).groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
-    nodes = checkpointed(drawn.select(F.col("x.doc_id").alias("node"), "x.bands", "x.sketch"))
+    drawn = sketches(texts, bands, rows).groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "n_bytes")).alias("x"))
+    nodes = checkpointed(drawn.select(F.col("x.doc_id").alias("node"), "x.bands", "x.n_bytes"))
 
     # Only keys of two or more nodes go further than this aggregate and its join.
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n_bytes", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1")
-    buckets = checkpointed(keyed.join(shared, "key").select("key", "node", "n", "pivot"))
+    buckets = checkpointed(keyed.join(shared, "key").select("key", "node", "n_bytes", "n", "pivot"))
     pairs = buckets.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    of_b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    close = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_plausible(least), "a long, b long")
-    links = checkpointed(verified_links(checkpointed(close), texts, threshold))
+    links = checkpointed(verified_links(checkpointed(pairs), texts, threshold))
     first = connected_components(links)
 
     # A bucket of two has had its only pair compared.
     named = first.withColumnRenamed("node", "m")
-    members = buckets.where("n > 2").join(named, F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = buckets.where("n > 2").join(named, F.col("node") == F.col("m"), "left").select("key", "node", "n_bytes", F.coalesce("component", "node").alias("component"))
     several = (
         members.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("key", F.ceil(F.col("n") / block).alias("blocks"))
+        .select("key", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("blocks"))
     )
-    cells = checkpointed(_bucket_blocks(members.join(several, "key"), block))
+    cells = checkpointed(_bucket_blocks(members.join(several, "key")))
     wanted = _narrowed(texts, cells.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
-    full = cells.join(nodes, "node").join(wanted, "node").select("key", "i", "j", "side", "node", "component", "sketch", "bands", "text")
-    late = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long"))
+    full = cells.join(nodes, "node").join(wanted, "node").select("key", "i", "j", "side", "node", "component", "bands", "text")
+    late = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long"))
     named_a, named_b = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     bridges = late.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))

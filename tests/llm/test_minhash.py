@@ -110,12 +110,13 @@ def test_components(spark):
 
 def test_classes_against_brute_force(spark):
     rows = corpus(7)
-    docs = spark.createDataFrame([(d, t, 0, b"x") for d, t in rows], "doc_id long, text string, bands int, sketch binary").repartition(3)
+    docs = spark.createDataFrame([(d, t, 0, b"x") for d, t in rows], "doc_id long, text string, bands int, n_bytes binary").repartition(3)
     want = plain_classes(rows)
     got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicate_classes(docs).collect())
     assert got == want
     small_blocks = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicate_classes(docs, block=3).collect())
     assert small_blocks == want
+    assert sorted((r.doc_id, r.class_id) for r in minhash.near_duplicate_classes(docs, block_bytes=2000).collect()) == want
     kept = minhash.keep_one(docs).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in want}) and kept[0].bands == 0
 
@@ -131,3 +132,39 @@ def test_nulls_and_empty_tables(spark):
     assert sorted(map(str, minhash.near_duplicate_classes(docs).select("doc_id", "class_id").collect())) == sorted(map(str, docs.sparkSession.createDataFrame([(None, None), (None, None), (1, 1), (2, 1)], "doc_id long, class_id long").collect()))
     assert minhash.near_duplicate_classes(docs.limit(0)).count() == 0
     assert minhash.keep_one(docs).count() == 3
+
+
+def test_no_link_of_the_documents_is_lost(spark):
+    """Recall over all pairs at the threshold in the whole smallest table, held against plain code."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
+    assert sorted(got.items()) == plain_classes(rows)
+
+
+def test_planted_near_copies_are_caught(spark):
+    """Texts with some words replaced: those still at the threshold are caught, all of them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    rows, planted = [], []
+    for i in range(300):
+        words = [word() for _ in range(rng.randrange(60, 400))]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(max(1, len(words) // rng.choice([60, 90, 150]))):
+            words[rng.randrange(len(words))] = word()
+        rows.append((2 * i + 1, " ".join(words)))
+        if plain_similarity(plain_shingles(rows[-2][1]), plain_shingles(rows[-1][1])) >= 0.8:
+            planted.append(i)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(planted) > 200 and all(got[2 * i + 1] == 2 * i for i in planted)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) == len(planted)
+
+
+def test_very_long_and_empty_texts(spark):
+    rng = random.Random(12)
+    words = [str(rng.randrange(10**6)) for _ in range(300_000)]
+    long = " ".join(words)
+    words[1000] = "other"
+    rows = [(1, long), (2, " ".join(words)), (3, "x" * 3_000_000), (4, "\n" * 100_000), (5, ""), (6, None)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}

@@ -65,7 +65,7 @@ def test_several_lengths_cost_less_than_any_one_that_holds_the_longest_piece():
     total = sum(map(packing.cost, final))
     for smaller in (2048, 4096, 8192):
         assert total < sum(map(packing.cost, packing.pack(lengths, (smaller, 16384))[2]))
-    assert total < 0.9 * sum(map(packing.cost, packing.pack(lengths, (16384,))[2]))
+    assert total < 0.92 * sum(map(packing.cost, packing.pack(lengths, (16384,))[2]))
 
 
 def token_lengths(texts):
