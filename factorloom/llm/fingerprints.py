@@ -5,8 +5,8 @@ and the leaves are the sentences of a paragraph, cut every ``LEAF_CHARS`` charac
 they are longer.  A leaf's hash is SHA-256 of its text; the hash of a paragraph, section
 or document is SHA-256 of its children's hashes, in order, under the name of its level.
 The leaves hold every character, line ends included, so equal roots mean equal texts.
-Where two trees differ, going down only into branches with unequal hashes finds the
-leaves that differ.
+Where two trees differ, :func:`differing` compares them from the root down, place by
+place, and goes only into branches with unequal hashes.
 
 A fingerprint is the root and, in order, the short hashes of its branches:
 
@@ -19,28 +19,33 @@ Everything is DataFrame expressions; no Python runs on the executors.
 
 Defined results
 * null texts are empty; the empty text is one section of one empty leaf;
-* a document's next one is the next smaller doc_id, null last, then by text; after the
-  last comes the first, and a single document is its own next one;
+* a document's next one is the next smaller doc_id, null counting as the least, then by a
+  hash of the text, then by text; after the last comes the first, and a single document is
+  its own next one;
 * repeated rows stay repeated rows; an empty table gives no rows; only the id and text
   are read, so other columns can't clash.
 
-Scale: one shuffle of the texts into blocks of ids, where the next document is a
-neighbour; the heads of blocks, one row in ``BLOCK`` ids, are joined by block.
+Scale: one pass counts bytes and takes quantiles of the ids; one shuffle deals the texts
+into blocks, ranges of ids of about ``BLOCK_BYTES``, where the next document is a neighbour.
+A range that is one id, null or repeated in many rows, is dealt further by the hash of the
+text.  The heads of blocks are joined by block; only the blocks' numbers are ordered as a whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Ids per block.
-BLOCK = 512
+#: Bytes of text per block, and blocks at most, which bounds the quantiles held by the driver.
+BLOCK_BYTES = 4 << 20
+MOST_BLOCKS = 1 << 16
 #: Hex digits of a branch or leaf in a fingerprint.
-LEAF = 12
+LEAF = 16
 LEAF_CHARS = 160
-_LOWEST = -(1 << 62)
 
 _SECTIONS = r"(?<=\n)(?=\n|#)"
 _PARAGRAPHS = r"(?<=\n)"
@@ -109,45 +114,86 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(F.least(shared, F.lit(0.999999)))
 
 
-def differing(a: Column, b: Column, level: str = "paragraph") -> Column:
-    """Numbers (from 0) of the sections, paragraphs or leaves of ``a`` that ``b`` doesn't have; none for equal roots."""
-    place = _let(
-        _branches(b, level),
-        lambda other: F.filter(F.transform(_branches(a, level), lambda h, i: F.when(F.array_contains(other, h), F.lit(-1)).otherwise(i)), lambda i: i >= 0),
+def differing(a: Column, b: Column) -> Column:
+    """section.paragraph (from 0) of each place where two fingerprints' trees differ.
+
+    Sections are compared place by place, and only in those of unequal hashes the
+    paragraphs; one that the other tree doesn't have differs.  Equal roots have none.
+    """
+    sections = F.arrays_zip(F.slice(F.split(a, "/"), 2, 1 << 30).alias("x"), F.slice(F.split(b, "/"), 2, 1 << 30).alias("y"))
+
+    def paragraphs(s: Column, i: Column) -> Column:
+        parts = F.arrays_zip(F.slice(F.split(F.coalesce(s["x"], F.lit("")), r"\|"), 2, 1 << 30).alias("x"), F.slice(F.split(F.coalesce(s["y"], F.lit("")), r"\|"), 2, 1 << 30).alias("y"))
+        own = lambda p: F.substring_index(p, ":", 1)
+        unequal = F.transform(parts, lambda p, j: F.when(own(p["x"]).eqNullSafe(own(p["y"])), F.lit("")).otherwise(F.concat_ws(".", i.cast("string"), j.cast("string"))))
+        return F.filter(unequal, lambda p: p != "")
+
+    own = lambda x: F.substring_index(x, "|", 1)
+    places = F.flatten(F.transform(sections, lambda s, i: F.when(own(s["x"]).eqNullSafe(own(s["y"])), F.array().cast("array<string>")).otherwise(paragraphs(s, i))))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<string>")).otherwise(places)
+
+
+def _bounds(docs: DataFrame, block_bytes: int, most: int) -> list[int]:
+    """Quantiles of the order of ids that cut the texts' bytes into blocks; a frequent id occurs more than once."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = min(most, -(-size // block_bytes))
+    if blocks < 2:
+        return []
+    shares = ",".join(f"{i / blocks!r}D" for i in range(1, blocks))
+    return sorted(docs.agg(F.expr(f"percentile_approx(place, array({shares}), {20 * blocks})")).first()[0])
+
+
+def _count(bounds: list[int], test) -> Column:
+    """How many of the bounds pass a test that holds for the first ones only: of groups, then within one."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    longs = lambda xs: F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else f"(-{(1 << 63) - 1}L - 1L)" for x in xs) + ")")
+    lasts = longs([g[-1] for g in groups])
+    return _let(
+        F.size(F.filter(lasts, test)),
+        lambda whole: whole * width + F.size(F.filter(F.coalesce(F.get(F.array(*map(longs, groups)), whole), F.array().cast("array<bigint>")), test)),
     )
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(place)
 
 
-def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES, most: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, text, next_text: each document beside the next in descending order of doc_id.
 
-    Neighbours are found within blocks of ids; the last document of a block is followed
-    by the head of the next lower block that has any, and the lowest block by the highest.
+    Neighbours are found within blocks; the last document of a block is followed by the
+    head of the next block that has any, and the last block by the first.
     """
-    # Null ids make the lowest block, so they follow every other document.  No block is null,
-    # so the join below keeps the window's partitioning.
-    number = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(_LOWEST))
-    by_block = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    blocked = docs.withColumn("block", number)
-    inside = blocked.withColumn("after", F.lead(F.struct("text")).over(by_block))
-    heads = blocked.withColumn("place", F.row_number().over(by_block)).where("place = 1").select("block", F.col("text").alias("head"))
+    # The complement of an id descends without overflow; null follows every other.
+    ordered = docs.withColumn("place", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("turn", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
+    bounds = _bounds(ordered.select("place", "text"), block_bytes, most)
+    place = F.col("place")
+    below, upto = _count(bounds, lambda x: x < place), _count(bounds, lambda x: x <= place)
+    # Rows of an id that fills several blocks are dealt among them in the order of their hashes.
+    numbered = ordered.withColumn("below", below).withColumn("upto", upto)
+    within = F.floor(F.col("turn") / float(1 << 63) * (F.col("upto") - F.col("below"))).cast("int")
+    last = F.greatest(F.col("upto") - F.col("below") - 1, F.lit(0))
+    blocked = numbered.withColumn("block", F.col("below") + F.least(within, last)).select("doc_id", "text", "place", "turn", "block")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (len(bounds) + 1) // 4)
+    by_block = Window.partitionBy("block").orderBy("place", "turn", "text")
+    inside = blocked.repartition(parts, "block").withColumn("after", F.lead(F.struct("text")).over(by_block))
+    heads = blocked.groupBy("block").agg(F.min(F.struct("place", "turn", "text")).alias("head")).select("block", F.col("head.text").alias("head"))
     # One row per block, without texts.
-    around = Window.orderBy(F.col("block").desc())
+    around = Window.orderBy("block")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    followed = docs.select(number.alias("block")).distinct().select(F.col("block").alias("at"), F.coalesce(F.lead("block").over(around), F.max("block").over(whole)).alias("block"))
+    followed = blocked.select("block").distinct().select(F.col("block").alias("at"), F.coalesce(F.lead("block").over(around), F.min("block").over(whole)).alias("block"))
     after = followed.join(heads, "block").select(F.col("at").alias("block"), "head")
     joined = inside.join(after, "block", "left")
     return joined.select("doc_id", "text", F.when(F.col("after").isNull(), F.col("head")).otherwise(F.col("after.text")).alias("next_text"))
 
 
-def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness and the next document's.
+def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Fingerprints of each text, of its edited text, their likeness and the next document's, and where they differ.
 
     The edited text has the last floor(n / 2) code points replaced by as many, or all, of
     the next document's first.
     """
     half = "cast(floor(char_length(text) / 2) as int)"
-    rows = with_next(documents(docs, id_col, text_col), block).withColumn(
+    rows = with_next(documents(docs, id_col, text_col), block_bytes).withColumn(
         "edited", F.concat(F.expr(f"substring(text, 1, char_length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
     )
     prints = rows.select(
@@ -166,4 +212,5 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.array_join(differing(F.col("fingerprint"), F.col("edited_fingerprint")), ",").alias("edited_places"),
     )

@@ -42,7 +42,7 @@ LONG_RUN = 4096
 #: Fixed value: Unicode's white space, which the pattern's \s means.
 _LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 #: Lengths per block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 256
 #: A vocabulary larger than this is refused, because it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 

@@ -27,15 +27,45 @@ def edit(text, after):
     return text[: len(text) - half] + after[:half]
 
 
-@pytest.mark.parametrize("block", [4, 50, 10**9])
+def plain_branches(print_):
+    """Sections as (hash, paragraph hashes), and the set of leaves."""
+    sections, leaves = [], set()
+    for s in print_.split("/")[1:]:
+        own, *paragraphs = s.split("|")
+        sections.append((own, [p.split(":")[0] for p in paragraphs]))
+        leaves |= {x for p in paragraphs for x in p.split(":")[1].split(",")}
+    return sections, leaves
+
+
+def plain_likeness(a, b):
+    x, y = plain_branches(a)[1], plain_branches(b)[1]
+    return 1.0 if a[:64] == b[:64] else min(2 * len(x & y) / (len(x) + len(y)), 0.999999)
+
+
+def plain_places(a, b):
+    x, y, out = plain_branches(a)[0], plain_branches(b)[0], []
+    for i in range(max(len(x), len(y))):
+        p, q = (z[i] if i < len(z) else ("", []) for z in (x, y))
+        if p[0] != q[0]:
+            out += [f"{i}.{j}" for j in range(max(len(p[1]), len(q[1]))) if (p[1][j : j + 1] != q[1][j : j + 1])]
+    return ",".join(out)
+
+
+@pytest.mark.parametrize("block", [40, 500, 10**9])
 def test_edited_text_and_likeness(spark, block):
     table = rows()
     docs = spark.createDataFrame([(d, t, "q") for d, t in table], "doc_id long, text string, block string").repartition(3)
-    got = fingerprints.edited_prints(docs, block=block).collect()
+    got = fingerprints.edited_prints(docs, block_bytes=block).collect()
     want = sorted((d, len(t), hashlib.sha256(edit(t, n).encode()).hexdigest()) for d, t, n in next_of(table) if d is not None)
     assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got if r.doc_id is not None) == want
     assert len(got) == len(table)
+    prints = {t or "": p for t, p in spark.createDataFrame([(t or "",) for _, t in table], "t string").select("t", fingerprints.fingerprint(F.col("t"))).collect()}
+    after = {d: n for d, t, n in next_of(table)}
     for r in got:
+        assert abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert r.edited_places == plain_places(r.fingerprint, r.edited_fingerprint)
+        if r.doc_id != 37:
+            assert abs(r.near_next - plain_likeness(r.fingerprint, prints[after[r.doc_id]])) < 1e-12
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint)
 
@@ -61,9 +91,9 @@ def test_tree_against_plain_python(spark):
                     leaves.append("")
                 hashes = [h(x) for x in leaves or [""]]
                 own = h("paragraph " + ",".join(hashes))
-                paragraphs.append((own, own[:12] + ":" + ",".join(x[:12] for x in hashes)))
+                paragraphs.append((own, own[:16] + ":" + ",".join(x[:16] for x in hashes)))
             own = h("section " + ",".join(p[0] for p in paragraphs))
-            sections.append((own, own[:12] + "|" + "|".join(p[1] for p in paragraphs)))
+            sections.append((own, own[:16] + "|" + "|".join(p[1] for p in paragraphs)))
         return h("document " + ",".join(s[0] for s in sections)) + "/" + "/".join(s[1] for s in sections)
 
     texts = sorted({t for _, t in rows() if t}) + ["", "# a\ntext one. two\n\n# b\nmore", "\n\n\n", "y" * 321]
@@ -80,15 +110,36 @@ def test_differing_branches_locate_an_edit(spark):
     prints = pair.select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
     row = prints.select(
         fingerprints.differing(F.col("a"), F.col("b")).alias("p"),
-        fingerprints.differing(F.col("a"), F.col("b"), "leaf").alias("l"),
         fingerprints.differing(F.col("a"), F.col("a")).alias("none"),
         fingerprints.likeness(F.col("a"), F.col("b")).alias("like"),
         fingerprints.likeness(F.col("a"), F.col("a")).alias("same"),
     ).first()
-    assert row.p == [17] and row.l == [34] and row.none == [] and row.same == 1
+    assert row.p == ["0.17"] and row.none == [] and row.same == 1
     assert 0.9 < row.like < 1
 
 
+def test_null_and_repeated_ids_and_scattered_ids_are_dealt_over_blocks(spark):
+    rng = random.Random(6)
+    table = [(None, f"null {i}") for i in range(200)] + [(77, f"same id {i}") for i in range(200)] + [(rng.randrange(-(1 << 63), 1 << 63), f"far {i}") for i in range(200)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    for size in (150, 10**9):
+        got = fingerprints.with_next(docs, size).collect()
+        assert len(got) == 600 and sorted(r.text for r in got) == sorted(r.next_text for r in got)  # one cycle or more
+        step = {r.text: r.next_text for r in got}
+        at, seen = "null 0", []
+        for _ in range(600):
+            seen.append(at)
+            at = step[at]
+        assert at == "null 0" and len(set(seen)) == 600
+        ids = dict((t, d) for d, t in table)
+        start = seen.index(max((t for t in seen if ids[t] is not None), key=lambda t: ids[t]))
+        order = [ids[t] for t in seen[start:] + seen[:start]]
+        kept = [d for d in order if d is not None]
+        assert kept == sorted(kept, reverse=True) and order[-200:] == [None] * 200
+    blocks = fingerprints._bounds(docs.select(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("place"), "text"), 150, 1 << 16)
+    assert len(blocks) > 20 and blocks.count(~77) > 5 and blocks.count((1 << 63) - 1) > 5
+
+
 def test_no_python_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b. c")], "doc_id long, text string")
     out = fingerprints.edited_prints(docs)
