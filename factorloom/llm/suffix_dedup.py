@@ -20,18 +20,20 @@ strings that name the same anchor travel as one stretch of text, its context.
 
 Anchors that occur more than ``hot`` times send single strings instead of stretches,
 dealt by the string's own hash, so that a passage in a third of all documents spreads
-over all shards.
+over all shards, and no group to be sorted has more than ``hot`` stretches.
 
 Defined results
 * null and empty texts are 0 bytes long and lose nothing;
-* rows with the same doc_id follow each other in the order of their texts, null ids last;
+* rows with the same doc_id follow each other in the order of a hash of their texts, then
+  of the texts; null ids count as the greatest id;
 * repeated rows lose all but their first when they are ``length`` bytes or longer;
 * an empty table gives no rows; extra columns are never read;
 * texts are judged whole, and on the input, not on what is left.
 
 Scale: texts cross the network once (steps 2 and 4 share the exchange); hashes, about
 one per 35 bytes, once; contexts of repeated anchors once.  No step needs all rows of a
-key in one row, and blocks and shards hold a fixed number of stored bytes.
+key in one row; texts are dealt by id and hash, so a repeated or null id spreads over all
+blocks, and blocks and shards hold a fixed number of stored bytes on average.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
-HOT = 1 << 20
+#: Stretches of one anchor sorted together: about 1.4 million symbols, some 300 MB as lists.
+HOT = 1 << 13
 #: Symbols given to one suffix array, unless a single group of stretches has more.
 SORT_AT_ONCE = 1 << 18
 #: Fixed odd multipliers of the gram hash.
@@ -157,8 +160,7 @@ def _anchor_rows(shards: int, length: int):
             order = np.lexsort((block, h))
             h, block = h[order], block[order]
             starts, ends = _runs(h, block)
-            # a hash that a block holds more than once counts twice
-            times = np.minimum(ends - starts, 2).astype(np.int8)
+            times = (ends - starts).astype(np.int32)
             h, block = h[starts], block[starts]
             shard = (h % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((block, shard))
@@ -174,7 +176,7 @@ def _anchor_rows(shards: int, length: int):
 
 def _repeated(hot: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(raw, "<u8", "<i4", "i1") for raw in table.column("payload").to_pylist()]
+        parts = [_unpack(raw, "<u8", "<i4", "<i4") for raw in table.column("payload").to_pylist()]
         h, block, times = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         h, block, times = h[order], block[order], times[order]
@@ -197,8 +199,8 @@ def _repeated(hot: int):
 
 
 def _in_order(table: pa.Table) -> pa.Table:
-    """The block's rows by doc_id, null last, then text."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """The block's rows by doc_id, null last, then the hash of the text, then text."""
+    return table.sort_by([("doc_id", "ascending"), ("__turn", "ascending"), ("text", "ascending")])
 
 
 def _contexts(shards: int, length: int):
@@ -207,10 +209,11 @@ def _contexts(shards: int, length: int):
     def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         if not docs.num_rows or not repeated.num_rows:
             return empty
-        block = docs.column("block")[0].as_py()
+        block = docs.column("__block")[0].as_py()
         docs = _in_order(docs)
         data, offsets = text_bytes(docs.column("text"))
         ids = docs.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+        turn = docs.column("__turn").to_numpy().astype("<i4")
         parts = [_unpack(raw, "<u8", "?") for raw in repeated.column("payload").to_pylist()]
         known, frequent = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(known)
@@ -259,6 +262,7 @@ def _contexts(shards: int, length: int):
                     np.array([len(t) for t in stretch], "<i4"),
                     local.astype("<i4"),
                     ids[row[own]],
+                    turn[row[own]],
                     row[own].astype("<i4"),
                     (starts[own] - offsets[row[own]]).astype("<i4"),
                     np.frombuffer(b"".join(stretch), np.uint8),
@@ -327,7 +331,7 @@ def _suffix_groups(length: int):
         rel: list[int] = []
         occurrences = []
         for block, raw in zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            key, place, size, local, ids, row, start, letters = _unpack(raw, "<u8", "<i4", "<i4", "<i4", "<i8", "<i4", "<i4", "u1")
+            key, place, size, local, ids, turn, row, start, letters = _unpack(raw, "<u8", "<i4", "<i4", "<i4", "<i8", "<i4", "<i4", "<i4", "u1")
             letters = letters.tobytes()
             end = np.cumsum(size).tolist()
             names = []
@@ -340,12 +344,13 @@ def _suffix_groups(length: int):
                     keys.append(k)
                     rel.append(r)
                 names.append(i)
-            occurrences.append((np.array(names, np.int64)[local], ids, row, start, np.full(len(local), block, np.int32)))
-        which, ids, row, start, block = (np.concatenate(c) for c in zip(*occurrences, strict=True))
-        order = np.lexsort((start, row, ids, which))
-        which, ids, row, start, block = which[order], ids[order], row[order], start[order], block[order]
+            occurrences.append((np.array(names, np.int64)[local], ids, turn, row, start, np.full(len(local), block, np.int32)))
+        # Rows that are equal in id and hash are in one block, so their places in it order them.
+        which, ids, turn, row, start, block = (np.concatenate(c) for c in zip(*occurrences, strict=True))
+        order = np.lexsort((start, row, turn, ids, which))
+        which, ids, turn, row, start, block = which[order], ids[order], turn[order], row[order], start[order], block[order]
         first, _ = _runs(which)  # every stretch occurs, so run k is stretch k
-        earliest = list(zip(ids[first].tolist(), row[first].tolist(), start[first].tolist(), strict=True))
+        earliest = list(zip(ids[first].tolist(), turn[first].tolist(), row[first].tolist(), start[first].tolist(), strict=True))
 
         groups: dict[int, list[int]] = {}
         for i, k in enumerate(keys):
@@ -365,9 +370,9 @@ def _suffix_groups(length: int):
                 own = [(i, p + shift) for t, p in places for i, shift in owners[t]]
                 if len(own) < 2:
                     continue
-                least = min((earliest[i][0], earliest[i][1], earliest[i][2] + p) for i, p in own)
+                least = min((*earliest[i][:3], earliest[i][3] + p) for i, p in own)
                 for i, p in own:
-                    if (earliest[i][0], earliest[i][1], earliest[i][2] + p) != least:
+                    if (*earliest[i][:3], earliest[i][3] + p) != least:
                         later.setdefault(i, set()).add(p)
 
         waiting: dict[bytes, list[tuple[int, int]]] = {}
@@ -453,7 +458,7 @@ def _texts(docs: pa.Table, spans: pa.Table) -> pa.Table:
     kept = data[~gone].tobytes()
     removed = np.concatenate([[0], np.cumsum(gone)])
     before = offsets - removed[offsets]
-    out = docs.drop_columns(["text", "block"]).append_column(
+    out = docs.drop_columns(["text", "__block", "__turn"]).append_column(
         "text", pa.array([kept[i:j].decode("utf-8", "ignore") for i, j in zip(before, before[1:], strict=False)], pa.string())
     )
     return out.append_column("n_removed", pa.array(np.diff(removed[offsets]), pa.int64()))
@@ -465,10 +470,15 @@ def _plan(docs: DataFrame, length: int, hot: int, blocks: int | None, shards: in
     ship_package(docs.sparkSession)
     blocks = blocks or parts_for(docs, BLOCK_BYTES)
     shards = shards or parts_for(docs, SHARD_BYTES)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    hashes = dealt.select("block", "text").mapInArrow(_anchor_rows(shards, length), "shard long, payload binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 16)
+    turn = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", turn), F.lit(blocks)).cast("int")
+    dealt = docs.withColumn("__turn", turn).withColumn("__block", own).repartition(parts, "__block")
+    # Read before the exchange, which the last two steps share.
+    read = docs.select(own.alias("block"), "text")
+    hashes = read.mapInArrow(_anchor_rows(shards, length), "shard long, payload binary")
     repeated = hashes.groupBy("shard").applyInArrow(_repeated(hot), "block int, payload binary")
-    contexts = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_contexts(shards, length), "shard long, block int, payload binary")
+    contexts = dealt.groupBy("__block").cogroup(repeated.groupBy("block")).applyInArrow(_contexts(shards, length), "shard long, block int, payload binary")
     spans = contexts.groupBy("shard").applyInArrow(_suffix_groups(length), "block int, payload binary")
     return dealt, spans
 
@@ -478,7 +488,7 @@ def repeat_digests(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is removed from each document."""
     dealt, spans = _plan(documents(docs, id_col, text_col), length, hot, blocks, shards)
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt.groupBy("__block").cogroup(spans.groupBy("block")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(
@@ -491,4 +501,4 @@ def remove_repeats(
     own = documents(docs, id_col, text_col, *carry)
     dealt, spans = _plan(own, length, hot, blocks, shards)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_texts, f"{schema}, text string, n_removed long")
+    return dealt.groupBy("__block").cogroup(spans.groupBy("block")).applyInArrow(_texts, f"{schema}, text string, n_removed long")

@@ -35,9 +35,9 @@ def test_groups_are_longest_lyndon_prefixes():
         assert len(set(group)) == len(descending)
 
 
-def brute(rows, length=100):
+def brute(rows, length=100, turn=None):
     """Every string of every text, in order, by hash set."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0], (rows[i][1] or "").encode()))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, turn[rows[i][1] or ""] if turn else 0, (rows[i][1] or "").encode()))
     seen, out = set(), []
     for i in order:
         raw = (rows[i][1] or "").encode()
@@ -97,3 +97,41 @@ def test_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted((tuple(r) for r in repeat_digests(docs).collect()), key=str)
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("hot", [1 << 13, 3])
+def test_null_and_repeated_ids_are_dealt_over_blocks(spark, hot):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else d, t) for i, (d, t) in enumerate(corpus(8))]
+    docs = spark.createDataFrame([(i, t, 3, 4) for i, t in rows], "doc_id long, text string, turn int, block int").repartition(5)
+    turn = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "shiftrightunsigned(xxhash64(t), 33)").collect()}
+    want = brute(rows, turn=turn)
+    assert sorted((tuple(r) for r in repeat_digests(docs, hot=hot, blocks=7, shards=5).collect()), key=str) == want
+    out = remove_repeats(docs, carry=("turn", "block"), hot=hot, blocks=7, shards=5).collect()
+    assert sorted(str((r.doc_id, r.n_removed)) for r in out) == sorted(str((d, n)) for d, _, n, _, _ in want) and {(r.turn, r.block) for r in out} == {(3, 4)}
+
+
+def test_one_anchor_with_very_many_contexts(spark):
+    """Contexts of one gram, more than are sorted together, a few of them equal."""
+    import numpy as np
+
+    from factorloom.llm import suffix_dedup
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sea = "".join(rng.choice(letters) for _ in range(400_000))
+    at = int(np.argmin(suffix_dedup.gram_hashes(sea.encode()) >> np.uint64(20)))
+    gram = sea[at : at + 32]
+    side = lambda: "".join(rng.choice(letters) for _ in range(60))
+    rows = [(i, side() + gram + side()) for i in range(12_000)]
+    rows += [(20_000 + i, "x" + rows[rng.randrange(9000)][1][1:]) for i in range(40)] + [(30_000 + i, rows[50][1]) for i in range(20)]
+    assert len(rows) > suffix_dedup.HOT
+    got = sorted((tuple(r) for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), blocks=3, shards=2).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long), (2, long[1_000_000:1_500_000]), (3, "é" * 400_000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (0, 0) and got[2] == (500_000, 1) and got[3][0] == 800_000 - 2 and got[3][1] == 1
