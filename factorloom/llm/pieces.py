@@ -208,8 +208,10 @@ class Encoder:
     does every other text whole.
     """
 
-    #: Words kept; the store starts anew beyond it, which changes no result.
-    KEPT = 400_000
+    #: Bytes of words and ids kept; the store starts anew beyond it, which changes no result.
+    KEPT = 64 << 20
+    #: Words of more characters aren't kept: their texts are encoded whole.
+    LONGEST = 256
 
     def __init__(self, model: Model) -> None:
         from tokenizers import Tokenizer
@@ -222,6 +224,7 @@ class Encoder:
             self.marked.pre_tokenizer = self.whole.pre_tokenizer
         self.begins = np.array([p.startswith(MARK) for p in model.pieces])
         self.ids: dict[str, bytes] = {}  # little-endian 32-bit
+        self.kept = 0
         self.surface = [p.replace(MARK, " ") for p in model.pieces]
         #: Pieces whose text doesn't depend on their neighbours, once the prefix is stripped:
         #: normal ones, and ASCII bytes where no other bytes are about.
@@ -234,17 +237,22 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
+        words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        for i, row in enumerate(words):
+            if row and max(map(len, row)) > self.LONGEST:
+                plain[i], words[i] = False, []
         out: list[np.ndarray] = [_NO_IDS] * len(texts)
         odd = [i for i, p in enumerate(plain) if not p]
         for i, x in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(x.ids, "<i4")
-        if len(self.ids) > self.KEPT:
+        if self.kept > self.KEPT:
             self.ids.clear()
+            self.kept = 0
         known = self.ids
-        words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(set().union(*words).difference(known))
         for w, x in zip(new, self._new_words(new), strict=True):
             known[w] = x
+            self.kept += 200 + 4 * len(w) + len(x)  # both objects' headers and the entry
         for i, row in enumerate(words):
             if plain[i]:
                 out[i] = np.frombuffer(b"".join([known[w] for w in row]), "<i4")

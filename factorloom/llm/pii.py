@@ -54,8 +54,8 @@ _NO_DIGIT = re.compile(r"[^0-9]+")
 
 #: Generators of further proposals, each needing the character named before scanning.
 GENERATORS = (
-    ("address", "@", re.compile(r"[^\s@<>()\[\],;:\"]{1,64}@[^\s@<>()\[\],;:\"]{2,120}")),
-    ("address", " ", re.compile(r"\b[A-Za-z0-9._+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    ("address", "@", re.compile(r"(?<![^\s@<>()\[\],;:\"])[^\s@<>()\[\],;:\"]+@[^\s@<>()\[\],;:\"]{2,}")),
+    ("address", " ", re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]+\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{2,})+", re.I)),
     ("number", "0", re.compile(r"(?<![\w.+])\(?[0-9]{2,4}\)?(?:[\x20./-]?[0-9]{2,5}){1,4}(?![\w])")),
     ("identity", "0", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("identity", "0", re.compile(r"(?<!\w)[A-Z]{1,2}[0-9]{6,9}[A-Z]?(?!\w)")),

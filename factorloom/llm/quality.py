@@ -22,9 +22,11 @@ Defined results
 * repeated rows and ties stay; an empty table gives no rows; other columns are not read
   by the scoring and are carried through by the filter.
 
-Scale: no shuffle of texts.  Sites are pre-aggregated in each task, so a host with a
+Scale: scoring shuffles no texts.  Sites are pre-aggregated in each task, so a host with a
 third of all rows is a row per task; the table of sites is broadcast only if its counted
-rows are at most ``BROADCAST_SITES``.
+rows are at most ``BROADCAST_SITES``.  Beyond that, rows without texts are joined to their
+sites, salted so that a hot site spreads, and the filter then shuffles texts once, evenly,
+by id and hash.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ FEW = 20
 THRESHOLD = 0.5
 BROADCAST_SITES = 20_000
 N_FEATURES = 16
+#: Parts of each site in the join of many sites.
+SALTS = 32
 
 
 def surface(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -210,12 +214,20 @@ def site_table(evidence: DataFrame) -> tuple[DataFrame, Priors]:
     return table, strengths(paths)
 
 
+def few_sites(sites: DataFrame) -> bool:
+    return sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+
+
 def posteriors(evidence: DataFrame, sites: DataFrame, priors: Priors) -> DataFrame:
     """The rows of the evidence with p_host, p_path and p_posterior."""
     table = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s", "host_n", "host_s")
-    if table.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
-        table = F.broadcast(table)
-    joined = evidence.join(table, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    same = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
+    if few_sites(sites):
+        joined = evidence.join(F.broadcast(table), same)
+    else:
+        spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = evidence.withColumn("own_salt", F.pmod(F.xxhash64(*evidence.columns), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(spread, same & (F.col("own_salt") == F.col("salt"))).drop("own_salt", "salt")
     own, mean = F.col("p"), F.lit(priors.mean)
     # The document itself is left out, so its evidence counts once.
     p_host = (F.col("host_s") - own + priors.host_strength * mean) / (F.col("host_n") - 1 + priors.host_strength)
@@ -248,7 +260,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, most: int = TRAINING_ROWS) -> DataFrame:
     """The documents whose posterior reaches the threshold, with their columns and whole rows.
 
-    The texts are read a second time beside their numbers instead of being shuffled.
+    With few sites the texts are read a second time beside their numbers instead of being
+    shuffled.  With many, texts and verdicts meet by id and a hash of the text: rows that
+    are equal in both, in host and in path have one verdict.
     """
     if host is None or path is None:
         host, path = default_site(docs)
@@ -256,15 +270,23 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     model = fit_document_model(rows, labels, most)
     sites, priors = site_table(with_evidence(rows, model))
     text = docs.columns.index("text")
-    names = {"host": "__host", "path": "__path", "p": "__p"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text, 2 << 20):
             x = surface(*text_bytes(batch.column(text))).astype(np.float32).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_probability(model, x))], [*batch.schema.names, "__p"])
 
-    sited = docs.withColumn(names["host"], host.cast("string")).withColumn(names["path"], path.cast("string"))
+    sited = docs.withColumn("__host", host.cast("string")).withColumn("__path", path.cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sited.schema)
     beside = sited.mapInArrow(run, f"{schema}, __p double")
-    packed = beside.select(F.struct(*docs.columns).alias("row"), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__p").alias("p"))
-    return posteriors(packed, sites, priors).where(F.col("p_posterior") >= threshold).select("row.*")
+    own = [F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__p").alias("p")]
+    if few_sites(sites):
+        return posteriors(beside.select(F.struct(*docs.columns).alias("row"), *own), sites, priors).where(F.col("p_posterior") >= threshold).select("row.*")
+    keys = [F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")]
+    scored = posteriors(beside.select(*keys, *own), sites, priors).where(F.col("p_posterior") >= threshold)
+    good = scored.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), F.col("host").alias("__s"), F.col("path").alias("__q")).distinct()
+    keyed = sited.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    met = F.col("__hash") == F.col("__h")
+    for left, right in (("doc_id", "__i"), ("__host", "__s"), ("__path", "__q")):
+        met = met & F.col(left).eqNullSafe(F.col(right))
+    return keyed.join(good, met, "left_semi").select(docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 from factorloom.llm import quality
@@ -104,3 +105,20 @@ def test_nulls_no_labels_and_empty_tables(spark):
     assert len(got) == 4 and all(r.keep and r.p_document == 0.5 for r in got)
     assert quality.keep_good(docs, none).count() == 4
     assert quality.classify(docs.limit(0), none).count() == 0 and quality.keep_good(docs.limit(0), none).count() == 0
+
+
+def test_many_sites_give_the_same_rows(spark, monkeypatch):
+    docs, labels, rows = frames(spark)
+    more = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    want = sorted(map(str, quality.keep_good(more, labels).collect()))
+    scored = sorted((str(r.doc_id), round(r.p_posterior, 9)) for r in quality.classify(more, labels).collect())
+    monkeypatch.setattr(quality, "BROADCAST_SITES", 0)
+    assert sorted(map(str, quality.keep_good(more, labels).collect())) == want
+    assert sorted((str(r.doc_id), round(r.p_posterior, 9)) for r in quality.classify(more, labels).collect()) == scored
+
+
+def test_very_long_text(spark):
+    docs, labels, _ = frames(spark)
+    long = docs.limit(1).withColumn("text", F.repeat(F.lit("word and more. "), 300_000)).withColumn("doc_id", F.lit(10**9))
+    got = quality.classify(docs.unionByName(long), labels).where(f"doc_id = {10**9}").collect()
+    assert len(got) == 1 and 0 < got[0].p_document < 1
