@@ -32,14 +32,13 @@ def main(args: list[str] | None = None) -> None:
     from .sources import matrix_files
 
     spark = SparkSession.builder.appName("factorloom").getOrCreate()
-    cells, dims, shape = matrix_files.read_matrix(spark, o.input)
+    if matrix_files.supported(o.input):
+        cells, dims, shape = matrix_files.read_matrix(spark, o.input)
+    else:  # a directory of counts
+        cells, dims, shape = matrix_files.read_10x(spark, o.input)
     if o.normalize:
         cells = matrix.log_normalize(cells)
     params = Params(o.patterns, n_iterations=o.iterations, seed=o.seed, sparse=o.sparse, distributed=o.distributed, n_sets=o.sets, checkpoint_path=o.checkpoint, checkpoint_interval=o.every)
-    if o.transpose and dims is not None:
-        from pyspark.sql import functions as F
-
-        dims = dims.withColumn("axis", F.when(F.col("axis") == "A", "P").otherwise("A"))
     result = factorize.factorize(cells, params, transpose=o.transpose, dims=dims, shape=shape)
     matrix_files.write_parquet(result, o.output)
     print(result)

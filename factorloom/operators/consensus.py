@@ -17,28 +17,67 @@ def pattern_correlations(patterns: DataFrame) -> DataFrame:
     return patterns.withColumnRenamed("pattern", "a").join(other, "idx").groupBy("a", "b").agg(F.corr("value", "other").alias("r"))
 
 
-def complete_linkage(distance: np.ndarray, k: int) -> list[int]:
-    """Cluster numbers, in order of first appearance, of a tree cut into k clusters.
+def linkage(distance: np.ndarray, method: str = "complete") -> list[tuple[int, int, float]]:
+    """The joins of a tree over n items: pairs of nodes (items, then n + 0, n + 1, ... for joins) and their height.
 
-    Of equal distances the pair with the least members is joined first.
+    ``method`` says how far apart two clusters are: "complete" (the farthest members) or
+    "average".  Of equally near pairs the one with the least members is joined first.
+    Each row keeps its nearest, and only rows that lose theirs look again.
     """
-    clusters = {i: [i] for i in range(len(distance))}
-    d = {(i, j): float(distance[i, j]) for i in clusters for j in clusters if i < j}
-    while len(clusters) > max(1, k):
-        i, j = min(d, key=lambda ij: (d[ij], ij))
-        clusters[i] += clusters.pop(j)
-        for m in clusters:
-            if m != i:
-                far = max(d[min(i, m), max(i, m)], d[min(j, m), max(j, m)])
-                d[min(i, m), max(i, m)] = far
-        d = {ij: v for ij, v in d.items() if j not in ij}
-    label = [0] * len(distance)
-    for number, i in enumerate(sorted(clusters, key=lambda i: min(clusters[i]))):
-        for m in clusters[i]:
+    n = len(distance)
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    d[np.tril_indices(n)] = np.inf  # each pair once, under its lesser row
+    node, size = list(range(n)), np.ones(n)
+    nearest = d.argmin(axis=1)
+    near = d[np.arange(n), nearest]
+    joins = []
+    for step in range(n - 1):
+        i = int(np.argmin(near))
+        j = int(nearest[i])
+        height = float(near[i])
+        to_i, to_j = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])
+        far = np.maximum(to_i, to_j) if method == "complete" else (size[i] * to_i + size[j] * to_j) / (size[i] + size[j])
+        far[j] = np.inf
+        far[~np.isfinite(to_i)] = np.inf
+        d[i, i + 1 :], d[:i, i] = far[i + 1 :], far[:i]
+        d[j], d[:, j] = np.inf, np.inf
+        near[j] = np.inf
+        size[i] += size[j]
+        joins.append((node[i], node[j], height))
+        node[i] = n + step
+        stale = np.isfinite(near) & ((nearest == i) | (nearest == j))
+        stale[i] = True
+        closer = ~stale & ((d[:, i] < near) | ((d[:, i] == near) & (i < nearest))) & np.isfinite(near)
+        near[closer], nearest[closer] = d[closer, i], i
+        for r in np.flatnonzero(stale):
+            nearest[r] = d[r].argmin()
+            near[r] = d[r, nearest[r]]
+    return joins
+
+
+def complete_linkage(distance: np.ndarray, k: int) -> list[int]:
+    """Cluster numbers, in order of first appearance, of the complete-linkage tree cut into k clusters."""
+    n = len(distance)
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for step, (x, y, _) in enumerate(linkage(distance)[: max(0, n - max(1, k))]):
+        members[n + step] = members.pop(x) + members.pop(y)
+    label = [0] * n
+    for number, own in enumerate(sorted(members.values(), key=min)):
+        for m in own:
             label[m] = number
     return label
 
 
+def leaf_order(distance: np.ndarray, method: str = "average") -> list[int]:
+    """The items from left to right under the tree, each join's first cluster on the left."""
+    n = len(distance)
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for step, (x, y, _) in enumerate(linkage(distance, method)):
+        members[n + step] = members.pop(x) + members.pop(y)
+    return [i for own in members.values() for i in own]
+
+
 def cluster(correlation: np.ndarray, cut: int, least: int, most: int) -> list[list[int]]:
     """Clusters of patterns with ``least`` to ``most`` members where splitting allows.
 

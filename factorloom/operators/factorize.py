@@ -1,9 +1,12 @@
 """Factorisation of a table of cells: one chain per set of rows or columns, one set per task.
 
-Chains are sequential, so the parallel units are sets.  Each set's cells meet in one
-task; seeds are keyed by (seed, stage, set), so results don't depend on the cluster.
+A chain's sweeps follow each other, so the parallel units are sets.  Each set's cells meet
+in one task; seeds are keyed by (seed, stage, set), so results don't depend on the cluster.
 With two stages, each set is factorised, its patterns are matched into a consensus, and
 each set is refitted with the consensus fixed.
+
+What chains return is written to shared storage, the checkpoint folder or the run's own, so
+a lost executor repeats at most its set's work since the last checkpoint.
 """
 
 from __future__ import annotations
@@ -18,19 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FACTOR, TRACE, Params, Result
+from ..runtime import checkpointed, ship_package
 from . import consensus, matrix, subsets
 from .kernel import Cells, Chain
 
 ROWS = "set_id int, kind string, phase string, iter int, axis string, idx long, k int, mean double, sd double, chisq double, atoms_a int, atoms_p int, state binary"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
+#: What a task gets beside its cells: rows of the fixed side, and the state it continues from.
+BESIDE = "set_id int, idx long, k int, mean double, state binary"
 #: Cells of one set's dense grid; a larger set belongs in more sets or in sparse mode, which makes no grid.
 MOST_CELLS = 200_000_000
 
 
-def _chain(params: Params, stage: int, other: int, transposed: bool, fixed: pd.DataFrame | None, given_sigma: bool, blob: bool, resumed: dict[int, bytes] | None):
+def _matrix_rows(set_id: int, kind: str, phase: str, it: int, axis: str, ids: np.ndarray, mean: np.ndarray, sd: np.ndarray | None = None) -> pd.DataFrame:
+    k = mean.shape[1]
+    return pd.DataFrame(
+        {"set_id": set_id, "kind": kind, "phase": phase, "iter": it, "axis": axis, "idx": np.repeat(ids, k), "k": np.tile(np.arange(k), len(ids)), "mean": mean.ravel(), "sd": 0.0 if sd is None else sd.ravel()}
+    )
+
+
+def _chain(params: Params, stage: int, other: int, transposed: bool, given_sigma: bool, stops: bool):
     """The task of one set; ``other`` is the size of the side that isn't cut."""
 
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, cells: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
         set_id = int(key[0])
         own = np.sort(cells["idx"].unique())
         if not params.sparse and len(own) * other > MOST_CELLS:
@@ -50,73 +63,80 @@ def _chain(params: Params, stage: int, other: int, transposed: bool, fixed: pd.D
                 sigma[place[there], cross[there]] = cells["sigma"].to_numpy()[there]
             if transposed:  # the set holds columns
                 grid, sigma = grid.T.copy(), None if sigma is None else sigma.T.copy()
-        start = None
-        if fixed is not None:
-            start = np.zeros((grid.shape[0 if params.fixed == "A" else 1], params.n_patterns))
-            rows = fixed["idx"].to_numpy()
-            cut_side = (params.fixed == "A") != transposed
-            if cut_side:
-                keep = np.isin(rows, own)
-                start[np.searchsorted(own, rows[keep]), fixed["k"].to_numpy()[keep]] = fixed["mean"].to_numpy()[keep]
-            else:
-                start[rows, fixed["k"].to_numpy()] = fixed["mean"].to_numpy()
-        chain = pickle.loads(resumed[set_id]) if resumed and set_id in resumed else Chain(grid, params, (params.seed, stage, set_id), sigma, start)
-        out: list[tuple] = []
-        chain.run(params.checkpoint_interval if blob else None)
-        if blob and chain.phase != "done":
+        states = [bytes(x) for x in beside["state"] if x is not None]
+        if states:
+            chain = pickle.loads(states[0]).attach(grid, sigma)
+        else:
+            start = None
+            if params.fixed != "N":
+                start = np.zeros((grid.shape[0 if params.fixed == "A" else 1], params.n_patterns))
+                rows = beside["idx"].to_numpy()
+                if (params.fixed == "A") != transposed:  # the side that sets cut
+                    rows = np.searchsorted(own, rows)
+                start[rows, beside["k"].to_numpy().astype(int)] = beside["mean"].to_numpy()
+            chain = Chain(grid, params, (params.seed, stage, set_id), sigma, start)
+        chain.run(params.checkpoint_interval if stops else None)
+        if stops and chain.phase != "done":
             return pd.DataFrame([(set_id, "state", chain.phase, chain.iteration, *[None] * 8, pickle.dumps(chain))], columns=_NAMES)
         r = chain.result()
-        rows_a, rows_p = (np.arange(other), own) if transposed else (own, np.arange(other))
-
-        def add(kind: str, phase: str, it: int, axis: str, ids: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> None:
-            out.extend((set_id, kind, phase, it, axis, int(i), k, float(mean[n, k]), float(sd[n, k]), None, None, None, None) for n, i in enumerate(ids) for k in range(mean.shape[1]))
-
-        add("factor", "", 0, "A", rows_a, r.a_mean, r.a_sd)
-        add("factor", "", 0, "P", rows_p, r.p_mean, r.p_sd)
+        ids = {"A": np.arange(other) if transposed else own, "P": own if transposed else np.arange(other)}
+        out = [_matrix_rows(set_id, "factor", "", 0, "A", ids["A"], r.a_mean, r.a_sd), _matrix_rows(set_id, "factor", "", 0, "P", ids["P"], r.p_mean, r.p_sd)]
         for phase, it, a, p in r.snapshots:
-            add("snapshot", phase, it, "A", rows_a, a, np.zeros(a.shape))
-            add("snapshot", phase, it, "P", rows_p, p, np.zeros(p.shape))
+            out += [_matrix_rows(set_id, "snapshot", phase, it, "A", ids["A"], a), _matrix_rows(set_id, "snapshot", phase, it, "P", ids["P"], p)]
         if params.pump:
-            add("pump", "", 0, "A", rows_a, r.pump.astype(float), np.zeros(r.pump.shape))
-        out += [(set_id, "trace", phase, it, None, None, None, None, None, c, na, np_, None) for phase, it, c, na, np_ in r.trace]
-        out.append((set_id, "updates", "", r.updates, *[None] * 9))
-        return pd.DataFrame(out, columns=_NAMES)
+            out.append(_matrix_rows(set_id, "pump", "", 0, "A", ids["A"], r.pump.astype(float)))
+        last = [(set_id, "trace", phase, it, None, None, None, None, None, c, na, np_, None) for phase, it, c, na, np_ in r.trace]
+        last.append((set_id, "updates", "", 0, None, r.updates, None, r.seconds, None, None, None, None, None))
+        last += [(set_id, "batch", "", 0, axis, None, None, size, None, None, None, None, None) for axis, size in zip("AP", r.batch, strict=True)]
+        out.append(pd.DataFrame(last, columns=_NAMES))
+        columns = {n: np.concatenate([np.asarray(x[n] if n in x else [None] * len(x), object) for x in out]) for n in _NAMES}
+        return pd.DataFrame({n: pd.Series(v, dtype={"int": "Int32", "long": "Int64", "double": "float64"}.get(t, "object")) for (n, t), v in zip((x.split() for x in ROWS.split(", ")), columns.values(), strict=True)})
 
     return run
 
 
-def run_sets(cell: DataFrame, sets: DataFrame | None, params: Params, other: int, by: str, stage: int = 1, fixed: DataFrame | None = None, uncertainty: DataFrame | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Rows of ``ROWS`` from one chain per set.  ``by`` is the side that sets cut, i or j.
+def run_sets(cell: DataFrame, sets: DataFrame, params: Params, other: int, by: str, stage: int = 1, fixed: DataFrame | None = None, uncertainty: DataFrame | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Stored rows of ``ROWS`` from one chain per set.  ``by`` is the side that sets cut, i or j.
 
-    Without sets there is one, of everything.  A member without cells takes part as zeros.
-    With a checkpoint folder the chains stop every ``checkpoint_interval`` iterations,
-    their states are written there, and a later call continues from the last ones.
+    A member without cells takes part as zeros.  With a checkpoint folder the chains stop
+    every ``checkpoint_interval`` iterations, their states are written there, and a later
+    call continues from the last ones.
     """
+    spark = cell.sparkSession
+    ship_package(spark)
     cross = {"i": "j", "j": "i"}[by]
     cells = cell if uncertainty is None else matrix.with_sigma(cell, uncertainty)
     sigma = F.col("sigma") if uncertainty is not None else F.lit(None).cast("double")
     flat = cells.select(F.col(by).alias("idx"), F.col(cross).alias("cross"), "value", sigma.alias("sigma"))
-    if sets is None:
-        keyed = flat.withColumn("set_id", F.lit(0))
+    members = sets.select("set_id", "idx").distinct()
+    keyed = members.join(flat, "idx", "left").select("set_id", "idx", F.coalesce("cross", F.lit(-1)).cast("long").alias("cross"), F.coalesce("value", F.lit(0.0)).alias("value"), "sigma")
+    none = F.lit(None)
+    if fixed is None or params.fixed == "N":
+        held = spark.createDataFrame([], BESIDE)
     else:
-        keyed = sets.select("set_id", "idx").distinct().join(flat, "idx", "left")
-    keyed = keyed.select("set_id", "idx", F.coalesce("cross", F.lit(-1)).cast("long").alias("cross"), F.coalesce("value", F.lit(0.0)).alias("value"), "sigma")
-    held = None if fixed is None else fixed.select("idx", "k", "mean").toPandas()  # a side's patterns travel with the task
-    spark = cell.sparkSession
-    if not checkpoint or not params.checkpoint_interval:
-        return keyed.groupBy("set_id").applyInPandas(_chain(params, stage, other, by == "j", held, uncertainty is not None, False, None), ROWS)
-    number, resumed = _last_states(spark, checkpoint)
+        rows = fixed.select("idx", "k", "mean", none.cast("binary").alias("state"))
+        if (params.fixed == "A") == (by == "i"):
+            rows = members.join(rows, "idx")
+        else:  # every set needs the whole of the other side
+            rows = rows.withColumn("set_id", F.explode(F.array(*[F.lit(r["set_id"]) for r in members.select("set_id").distinct().collect()])))  # one row per set
+        held = rows.select("set_id", "idx", "k", "mean", "state")
+    stops = bool(checkpoint and params.checkpoint_interval)
+    task = _chain(params, stage, other, by == "j", uncertainty is not None, stops)
+    run = lambda beside: keyed.groupBy("set_id").cogroup(beside.groupBy("set_id")).applyInPandas(task, ROWS)
+    if not stops:
+        return checkpointed(run(held))
+    number, states = _last_states(spark, checkpoint)
     while True:
         place = f"{checkpoint}/{number + 1:06d}"
-        keyed.groupBy("set_id").applyInPandas(_chain(params, stage, other, by == "j", held, uncertainty is not None, True, resumed), ROWS).write.mode("overwrite").parquet(place)
+        run(held if states is None else states).write.mode("overwrite").parquet(place)
         number += 1
         written = spark.read.parquet(place)
         if not written.where("kind = 'state'").limit(1).count():
             return written
-        number, resumed = _last_states(spark, checkpoint)
+        number, states = _last_states(spark, checkpoint)
 
 
-def _last_states(spark: SparkSession, folder: str) -> tuple[int, dict[int, bytes] | None]:
+def _last_states(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]:
     """The number of the last complete checkpoint (Parquet's commit makes it whole) and its states."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -126,13 +146,12 @@ def _last_states(spark: SparkSession, folder: str) -> tuple[int, dict[int, bytes
     done = sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     if not done:
         return 0, None
-    states = spark.read.parquet(f"{folder}/{done[-1]:06d}").where("kind = 'state'").select("set_id", "state").collect()  # a row per set
-    return done[-1], {r["set_id"]: bytes(r["state"]) for r in states}
+    written = spark.read.parquet(f"{folder}/{done[-1]:06d}").where("kind = 'state'")
+    return done[-1], written.select("set_id", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("mean"), "state")
 
 
-def names_of(cell: DataFrame, dims: DataFrame | None, params: Params, n_rows: int, n_cols: int) -> DataFrame:
+def names_of(spark: SparkSession, dims: DataFrame | None, params: Params, n_rows: int, n_cols: int) -> DataFrame:
     """axis, idx, name: given names, else the source's, else numbered ones."""
-    spark = cell.sparkSession
     sides = []
     for axis, given, n, prefix in (("A", params.gene_names, n_rows, "Gene_"), ("P", params.sample_names, n_cols, "Sample_")):
         if given is not None:
@@ -149,6 +168,37 @@ def names_of(cell: DataFrame, dims: DataFrame | None, params: Params, n_rows: in
     return sides[0].unionByName(sides[1])
 
 
+def prepared(
+    cell: DataFrame, params: Params, dims: DataFrame | None = None, shape: tuple[int, int] | None = None, transpose: bool = False, uncertainty: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, tuple[int, int], DataFrame | None]:
+    """Cells, names, shape and uncertainty after the transpose, then the subset; names go with their cells.
+
+    Given names are those of the whole transposed matrix, before the subset.
+    """
+    spark = cell.sparkSession
+    cell = cell.select("i", "j", F.col("value").cast("double").alias("value"))
+    if transpose:
+        cell = matrix.transpose(cell)
+        uncertainty = None if uncertainty is None else matrix.transpose(uncertainty)
+        dims = None if dims is None else matrix.transpose_names(dims)
+        shape = None if shape is None else shape[::-1]
+    if shape is None:
+        top = cell.agg(F.max("i"), F.max("j")).first()
+        shape = tuple(-1 if x is None else x for x in top)
+        shape = (shape[0] + 1, shape[1] + 1)
+    named = names_of(spark, dims, params, *shape)
+    if params.subset_indices is not None and params.subset_dim:
+        chosen = [x - 1 for x in params.subset_indices]
+        if min(chosen) < 0 or max(chosen) >= shape[params.subset_dim - 1]:
+            raise ValueError("subset indices lie outside the matrix")
+        index = spark.createDataFrame(list(enumerate(chosen)), "pos long, idx long")
+        cell = matrix.subset(cell, index, params.subset_dim)
+        uncertainty = None if uncertainty is None else matrix.subset(uncertainty, index, params.subset_dim)
+        named = matrix.subset_names(named, index, "AP"[params.subset_dim - 1])
+        shape = (len(chosen), shape[1]) if params.subset_dim == 1 else (shape[0], len(chosen))
+    return cell, named, shape, uncertainty
+
+
 def factorize(
     cell: DataFrame,
     params: Params,
@@ -165,35 +215,21 @@ def factorize(
     if overrides:
         params = params.with_(**overrides)
     spark = cell.sparkSession
-    cell = cell.select("i", "j", F.col("value").cast("double").alias("value"))
-    if transpose:
-        cell = matrix.transpose(cell)
-        uncertainty = None if uncertainty is None else matrix.transpose(uncertainty)
-        shape = None if shape is None else shape[::-1]
-    if params.subset_indices is not None and params.subset_dim:
-        index = spark.createDataFrame([(p, x - 1) for p, x in enumerate(params.subset_indices)], "pos long, idx long")
-        cell = matrix.subset(cell, index, params.subset_dim)
-        uncertainty = None if uncertainty is None else matrix.subset(uncertainty, index, params.subset_dim)
-        if shape is not None:
-            shape = (len(params.subset_indices), shape[1]) if params.subset_dim == 1 else (shape[0], len(params.subset_indices))
-    matrix.check(cell, params.n_patterns if shape is None else 1)
+    cell, named, (n_rows, n_cols), uncertainty = prepared(cell, params, dims, shape, transpose, uncertainty)
+    matrix.check(cell, 1)
     if uncertainty is not None:
         matrix.check_uncertainty(uncertainty, params.sparse)
     if (params.fixed != "N") != (fixed_patterns is not None) and not params.distributed:
         raise ValueError("fixed patterns and the side they fix go together")
-    top = cell.agg(F.max("i"), F.max("j")).first()
-    n_rows, n_cols = shape or (top[0] + 1, top[1] + 1)
     if params.n_patterns >= min(n_rows, n_cols):
         raise ValueError("n_patterns must be less than both dimensions")
     cell = cell.where("value > 0")
-    named = names_of(cell, dims, params, n_rows, n_cols)
     meta: dict = {"n_genes": n_rows, "n_samples": n_cols}
     if params.distributed:
         rows, meta2, params = _two_stages(cell, params, n_rows, n_cols, named, fixed_patterns, uncertainty)
         meta |= meta2
     else:
-        by, other = ("i", n_cols)
-        rows = run_sets(cell, subsets_all(spark, n_rows), params, other, by, 1, fixed_patterns, uncertainty, params.checkpoint_path).cache()
+        rows = run_sets(cell, subsets_all(spark, n_rows), params, n_cols, "i", 1, fixed_patterns, uncertainty, params.checkpoint_path)
     parts = rows.where("kind = 'factor'")
     if params.distributed:
         # The matched side is the same in every set; the other side's sets don't overlap,
@@ -203,10 +239,16 @@ def factorize(
         )
     factors = parts.join(named, ["axis", "idx"]).select(*[c.split()[0] for c in FACTOR.split(", ")])
     trace = rows.where("kind = 'trace'").select("set_id", F.lit(2 if params.distributed else 1).alias("stage"), "phase", "iter", "chisq", "atoms_a", "atoms_p")
-    sides = factors.where("axis = 'A'"), factors.where("axis = 'P'")
-    chisq = (matrix.chi_square_cells(cell, *sides) if params.sparse else matrix.chi_square(cell, *sides, uncertainty)).first()[0]
+    chisq = matrix.chi_square(cell, factors.where("axis = 'A'"), factors.where("axis = 'P'"), uncertainty).first()[0]
+    sums = rows.agg(
+        F.sum(F.when(F.col("kind") == "updates", F.col("idx"))).alias("updates"),
+        F.sum(F.when(F.col("kind") == "updates", F.col("mean"))).alias("seconds"),
+        *[F.avg(F.when((F.col("kind") == "batch") & (F.col("axis") == x), F.col("mean"))).alias(x) for x in "AP"],
+    ).first()
     meta |= {
-        "total_updates": int(rows.where("kind = 'updates'").agg(F.sum("iter")).first()[0] or 0),
+        "total_updates": int(sums["updates"] or 0),
+        "total_seconds": float(sums["seconds"] or 0.0),
+        "average_batch": {"A": sums["A"], "P": sums["P"]},
         "snapshots": rows.where("kind = 'snapshot'").select("set_id", "phase", "iter", "axis", "idx", "k", F.col("mean").alias("value")),
         "pump": rows.where("kind = 'pump'").select("idx", "k", F.col("mean").cast("long").alias("n")),
         "mean_pattern": matrix.top_pattern(factors.where("axis = 'A'")),
@@ -223,16 +265,16 @@ def _two_stages(cell: DataFrame, params: Params, n_rows: int, n_cols: int, named
     genome = params.distributed == "genome-wide"
     by, size, other, shared = ("i", n_rows, n_cols, "P") if genome else ("j", n_cols, n_rows, "A")
     if params.explicit_sets is not None:
-        names = {r["name"]: r["idx"] for r in named.where(F.col("axis") == ("A" if genome else "P")).collect()} if any(isinstance(x, str) for s in params.explicit_sets for x in s) else None
-        sets = subsets.explicit_sets(spark, params.explicit_sets, names)
+        sets = subsets.explicit_sets(spark, params.explicit_sets, named.where(F.col("axis") == ("A" if genome else "P")))
     elif params.sampling_annotation is not None:
         sets = subsets.weighted_sets(spark, params.sampling_annotation, params.sampling_weight or {}, params.n_sets, params.seed)
     else:
         sets = subsets.uniform_sets(spark.range(size).withColumnRenamed("id", "idx"), params.n_sets, params.seed)
     subsets.check_sizes(sets, params.n_patterns)
     meta: dict = {"subsets": sets}
+    folder = lambda stage: params.checkpoint_path and f"{params.checkpoint_path}/stage{stage}"
     if fixed is None:
-        first = run_sets(cell, sets, params.with_(fixed="N"), other, by, 1, None, uncertainty).cache()
+        first = run_sets(cell, sets, params.with_(fixed="N"), other, by, 1, None, uncertainty, folder(1))
         found = first.where((F.col("kind") == "factor") & (F.col("axis") == shared))
         patterns = found.select(F.concat((F.col("set_id") + 1).cast("string"), F.lit("."), (F.col("k") + 1).cast("string")).alias("pattern"), "idx", F.col("mean").alias("value"))
         agreed, to_mean, clustered = consensus.match_patterns(spark, patterns, params.cut, params.min_ns, params.max_ns)
@@ -240,7 +282,7 @@ def _two_stages(cell: DataFrame, params: Params, n_rows: int, n_cols: int, named
         meta |= {"first_pass": first, "unmatched_patterns": patterns, "clustered_patterns": clustered, "correlation_to_mean": to_mean}
     n_patterns = fixed.agg(F.max("k")).first()[0] + 1
     last = params.with_(n_patterns=n_patterns, fixed=shared)
-    return run_sets(cell, sets, last, other, by, 2, fixed, uncertainty).cache(), meta, last
+    return run_sets(cell, sets, last, other, by, 2, fixed, uncertainty, folder(2)), meta, last
 
 
 def single_cell(cell: DataFrame, params: Params, **kw) -> Result:

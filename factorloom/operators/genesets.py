@@ -1,7 +1,9 @@
 """Statistics of named sets of genes (or samples) against a factor.
 
-``sets`` is a table (gene_set, name).  A factor's rows may be many; sets are small, and
-joins on the name let Catalyst choose how.
+``sets`` is a table (gene_set, name).  Permutations are drawn for each size of set, not for
+each set, and as places among the genes: a permutation of a set of n genes is n rows, and
+nothing is made of the genes that it doesn't hold.  A running sum over all genes has its
+peak at a hit, so enrichment needs the hits' ranks alone.
 """
 
 from __future__ import annotations
@@ -13,9 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.keyed import distinct_places
 from .matrix import z_scores
 
 
+#: Ranges of the two-level counts of :func:`gene_probabilities`.
+RANGES = 64
+
+
 def members(factor: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of the factor in each set."""
     return factor.join(sets.select("gene_set", "name").distinct(), "name")
@@ -36,17 +43,30 @@ def set_sizes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("gene_set").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("min"), F.avg("n").alias("mean"), F.max("n").alias("max"))
 
 
-def permuted_rows(factor: DataFrame, sizes: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """gene_set, perm, idx: for each set and permutation, as many rows as the set lists.
+def permuted_places(sizes: DataFrame, total: int, permutations: int, seed: int) -> DataFrame:
+    """n, perm, place: for each distinct size n and permutation, n different places from 0 to total - 1.
+
+    A size over the total draws all places.
+    """
+    tries = sizes.select(F.least(F.col("n"), F.lit(total)).cast("long").alias("m"), F.col("n").cast("long").alias("n")).distinct()
+    each = tries.select("n", "m", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")).repartition("n", "perm")
+    return each.select("n", "perm", F.explode(distinct_places(F.col("m"), total, seed, F.col("n"), F.col("perm"))).alias("place"))
+
+
+def placed(factor: DataFrame) -> tuple[DataFrame, int]:
+    """(idx, place) in the order of idx, and how many there are.
 
-    Rows are ordered by a hash of (seed, set, permutation, idx), so the draw doesn't
-    depend on partitions.
+    Ids are numbered within ranges of ids that are as wide as there are ranges; the ranges'
+    sizes are summed beside them.
     """
     ids = factor.select("idx").distinct()
-    tries = sizes.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = tries.join(F.broadcast(ids) if ids.limit(100_001).count() <= 100_000 else ids)
-    order = Window.partitionBy("gene_set", "perm").orderBy(F.xxhash64(F.lit(seed), "gene_set", "perm", "idx"), "idx")
-    return drawn.withColumn("place", F.row_number().over(order)).where("place <= n").select("gene_set", "perm", "idx")
+    low, high, total = ids.agg(F.min("idx"), F.max("idx"), F.count(F.lit(1))).first()
+    width = max(1, math.isqrt((high or 0) - (low or 0) + 1))
+    ranged = ids.withColumn("part", F.floor((F.col("idx") - F.lit(low)) / width))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("idx")) - 1
+    return ranged.withColumn("inside", inside).join(sizes, "part").select("idx", (F.col("before") + F.col("inside")).alias("place")), total
 
 
 def set_statistics(factor: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 1) -> DataFrame:
@@ -56,11 +76,12 @@ def set_statistics(factor: DataFrame, sets: DataFrame, permutations: int = 1000,
     rows as the set lists, whether or not all of them occur.
     """
     z = z_scores(factor).select("idx", "name", "k", "z")
+    places, total = placed(factor)
     actual = set_means(z, sets, "z").withColumnRenamed("mean", "actual")
     sizes = sets.groupBy("gene_set").agg(F.count(F.lit(1)).alias("n"))
-    drawn = permuted_rows(factor, sizes, permutations, seed).join(z.drop("name"), "idx")
-    null = drawn.groupBy("gene_set", "perm", "k").agg(F.avg("z").alias("null"))
-    up = null.join(actual, ["gene_set", "k"]).groupBy("gene_set", "k").agg((F.sum(F.when(F.col("actual") < F.col("null"), 1).otherwise(0)) / permutations).alias("up"))
+    by_place = z.join(places, "idx").select("place", "k", "z")
+    null = permuted_places(sizes, total, permutations, seed).join(by_place, "place").groupBy("n", "perm", "k").agg(F.avg("z").alias("null"))
+    up = actual.join(sizes, "gene_set").join(null, ["n", "k"]).groupBy("gene_set", "k").agg((F.sum(F.when(F.round("actual", 12) < F.round("null", 12), 1).otherwise(0)) / permutations).alias("up"))
     return up.select(
         "gene_set",
         "k",
@@ -88,19 +109,22 @@ def gene_statistics(factor: DataFrame, members_of: DataFrame, statistics: DataFr
 
 
 def gene_probabilities(factor: DataFrame, members_of: DataFrame, permutations: int = 500, weights: dict[int, float] | None = None, weigh_null: bool = False, seed: int = 1) -> DataFrame:
-    """name, p: the share of genes outside the set with a larger statistic.
-
-    Both sides are sorted once: a window over the union counts null genes above each.
-    """
+    """name, p: the share of genes outside the set with a larger statistic."""
     stats = set_statistics(factor, members_of, permutations, seed)
     own = gene_statistics(factor, members_of, stats, weights)
     null = gene_statistics(factor, members_of, stats, weights if weigh_null else None, null_genes=True)
-    both = own.select("name", "stat", F.lit(0).alias("is_null")).unionByName(null.select("name", "stat", F.lit(1).alias("is_null")))
+    both = own.select("name", F.round("stat", 12).alias("stat"), F.lit(0).alias("is_null")).unionByName(null.select("name", F.round("stat", 12).alias("stat"), F.lit(1).alias("is_null")))
     counts = both.groupBy("stat").agg(F.sum("is_null").alias("n"), F.collect_list(F.when(F.col("is_null") == 0, F.col("name"))).alias("names"))
-    above = Window.orderBy(F.col("stat").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.col("stat").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = counts.select("names", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("more"), F.sum("n").over(whole).alias("all"))
-    return share.select(F.explode("names").alias("name"), (F.col("more") / F.col("all")).alias("p"))
+    # Sums within ranges of the statistic, and over the ranges.
+    bounds = counts.agg(F.percentile_approx("stat", [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    ranged = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("stat"))) if bounds else F.lit(0))
+    beyond = Window.orderBy(F.col("part").desc())  # one row per range
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("all")).select(
+        "part", F.coalesce(F.sum("all").over(beyond.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beyond"), F.sum("all").over(beyond.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
+    )
+    above = Window.partitionBy("part").orderBy(F.col("stat").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    share = ranged.withColumn("more", F.coalesce(F.sum("n").over(above), F.lit(0))).join(F.broadcast(sizes), "part")  # at most RANGES rows
+    return share.select(F.explode("names").alias("name"), ((F.col("more") + F.col("beyond")) / F.col("total")).alias("p"))
 
 
 def adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
@@ -144,20 +168,38 @@ def overrepresentation(markers: DataFrame, sets: DataFrame, most: int = 2038) ->
     return scored.select("lp", "gene_set", "overlap", "size", "n_markers", "p", "padj", (-10 * F.log10("padj")).alias("neg_log_padj"), (F.col("overlap") / F.col("size")).alias("ratio"))
 
 
+def _ranks(scored: DataFrame) -> DataFrame:
+    """k, name, score, place (from 1, score descending, then name) and n_genes of each pattern's genes."""
+    return scored.select(
+        "k", "name", F.col("mean").alias("score"), F.row_number().over(Window.partitionBy("k").orderBy(F.col("mean").desc(), "name")).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n_genes")
+    )
+
+
+def _peaks(hits: DataFrame, by: list[str]) -> DataFrame:
+    """by, es, at, size: the largest rise of each group's running sum, from its hits (place, score, n_genes) alone.
+
+    At its i-th hit the sum is the weight of i hits less (place - i) misses; it falls between hits.
+    """
+    group = Window.partitionBy(*by)
+    order = group.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    n, weight = F.count(F.lit(1)).over(group), F.sum(F.abs("score")).over(group)
+    i = F.row_number().over(group.orderBy("place"))
+    rise = F.when(weight > 0, F.sum(F.abs("score")).over(order) / weight).otherwise(i / n)
+    run = F.round(rise - (F.col("place") - i) / F.greatest(F.col("n_genes") - n, F.lit(1)), 12)
+    stepped = hits.select(*by, "place", run.alias("run"))
+    return stepped.groupBy(*by).agg(F.greatest(F.max("run"), F.lit(0.0)).alias("es"), F.max_by("place", F.struct("run", -F.col("place"))).alias("at"), F.count(F.lit(1)).alias("size"))
+
+
+def _hits(ranks: DataFrame, sets: DataFrame) -> DataFrame:
+    return ranks.join(sets.select("gene_set", "name").distinct(), "name")
+
+
 def enrichment_scores(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     """k, gene_set, es, leading_edge, size: the largest rise of the running sum over genes in
     descending order of score, hits weighted by score (positive scores only)."""
-    scored = ranked.select("k", "name", F.col("mean").alias("score"))
-    order = Window.partitionBy("k", "gene_set").orderBy(F.col("score").desc(), "name")
-    group = Window.partitionBy("k", "gene_set")
-    listed = sets.select("gene_set", "name").distinct().withColumn("hit", F.lit(1.0))
-    known = listed.join(scored.select("name").distinct(), "name", "left_semi").select("gene_set").distinct()
-    rows = scored.join(known).join(listed, ["gene_set", "name"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
-    n, hits, weight = F.count(F.lit(1)).over(group), F.sum("hit").over(group), F.sum(F.col("hit") * F.abs("score")).over(group)
-    step = F.when(F.col("hit") == 1, F.when(weight > 0, F.abs("score") / weight).otherwise(1 / hits)).otherwise(-1 / F.greatest(n - hits, F.lit(1)))
-    stepped = rows.withColumn("step", step).withColumn("run", F.round(F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)), 12)).withColumn("place", F.row_number().over(order))
-    peak = stepped.groupBy("k", "gene_set").agg(F.greatest(F.max("run"), F.lit(0.0)).alias("es"), F.max_by("place", F.struct("run", -F.col("place"))).alias("at"), F.sum("hit").cast("long").alias("size"))
-    edge = stepped.where("hit = 1").join(peak.select("k", "gene_set", "at"), ["k", "gene_set"]).where("place <= at")
+    hits = _hits(_ranks(ranked), sets)
+    peak = _peaks(hits, ["k", "gene_set"])
+    edge = hits.join(peak.select("k", "gene_set", "at"), ["k", "gene_set"]).where("place <= at")
     leading = edge.groupBy("k", "gene_set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]), ",").alias("leading_edge"))
     return peak.drop("at").join(leading, ["k", "gene_set"], "left")
 
@@ -165,13 +207,20 @@ def enrichment_scores(ranked: DataFrame, sets: DataFrame) -> DataFrame:
 def enrichment(factor: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 1) -> DataFrame:
     """k, gene_set, size, es, nes, p, padj, neg_log_padj, leading_edge: preranked enrichment
     with positive scores, against random sets of the same size."""
+    ranks = _ranks(factor)
+    total = factor.select("name").distinct().count()
     real = enrichment_scores(factor, sets)
-    sizes = members(factor.select("idx", "name").distinct(), sets).groupBy("gene_set").agg(F.count(F.lit(1)).alias("n"))
-    names = factor.select("idx", "name").distinct()
-    drawn = permuted_rows(factor, sizes, permutations, seed).join(names, "idx").select(F.concat_ws("\u0001", "gene_set", F.col("perm").cast("string")).alias("gene_set"), "name")
-    null = enrichment_scores(factor, drawn).select("k", F.substring_index("gene_set", "\u0001", 1).alias("gene_set"), F.col("es").alias("null"))
-    tests = real.join(null, ["k", "gene_set"]).groupBy("k", "gene_set", "size", "es", "leading_edge").agg(
-        ((F.sum(F.when(F.col("null") >= F.col("es"), 1).otherwise(0)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.avg("null").alias("center")
+    drawn = permuted_places(real.select(F.col("size").alias("n")), total, permutations, seed)
+    null = _peaks(drawn.withColumn("place", F.col("place") + 1).join(ranks.select("k", "place", "score", "n_genes"), "place"), ["n", "perm", "k"])
+    of_size = null.groupBy("n", "k").agg(F.array_sort(F.collect_list("es")).alias("nulls"))  # as many as permutations
+    tests = real.join(of_size, (real.size == of_size.n) & (real.k == of_size.k)).select(
+        real.k,
+        "gene_set",
+        "size",
+        "es",
+        "leading_edge",
+        ((F.size(F.filter("nulls", lambda x: x >= F.col("es"))) + 1) / (permutations + 1)).alias("p"),
+        (F.aggregate("nulls", F.lit(0.0), lambda a, x: a + x) / permutations).alias("center"),
     )
     scored = adjusted(tests, by=["k"])
     return scored.select("k", "gene_set", "size", "es", (F.col("es") / F.when(F.col("center") > 0, F.col("center"))).alias("nes"), "p", "padj", (-10 * F.log10("padj")).alias("neg_log_padj"), "leading_edge")

@@ -1,140 +1,118 @@
-"""The sampler of one chain: atoms on a line, Gibbs and Metropolis moves, NumPy only.
+"""The sampler of one chain: point masses, all rows of a side stepping together, NumPy only.
 
-Both factors are sums of point masses.  A side's line is cut into rows x patterns bins of
-equal length; a matrix element is the mass in its bin.  For an element with the other
-side's column v, adding mass m changes the log-likelihood by m * s_mu - m^2 * s / 2.
+Both factors are sums of point masses, atoms.  A row of a factor has a line of K bins of
+length one, and a matrix element is the mass in its bin.
+
+Given the other side, rows don't know of each other: the likelihood is a product over rows,
+and so is the prior, since a Poisson process is independent on the rows' lines.  A row's part
+of it needs two coefficients, taken once for each sweep over a side,
+
+    b_k = sum_j w_j d_j v_jk        G_kl = sum_j w_j v_jk v_jl
+
+(weights w, data d, the other side's patterns v), since the log-likelihood of a row a is
+a.b - a.G.a / 2 and a constant.  So a sweep is made of rounds; a round proposes one change in
+every row and decides all of them in one set of array expressions whose size doesn't depend
+on the columns.  No two proposals of a round touch the same row, so none waits for another.
+
+A round is of one kind: birth or death (half of them), move, or exchange (a quarter each).
+On a row's line of K bins with n atoms a death is tried with probability n / (n + alpha K) and
+else a birth, so that for each bin births are tried at alpha times the rate of an atom's
+deaths; an empty line counts as one atom, so that it isn't filled at once.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+import time
 from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.scalars import normal_cdf, normal_quantile
+from ..functions.scalars import normal_cdf
 
-#: Masses under this are none.
+# Fixed values of the model.
+#: Masses under this are none, and so is information under it.
 EPSILON = 1e-5
-#: Length of a side's line.
-LINE = 1 << 62
+#: Where so much of a truncated normal's mass lies on one side of its interval, nothing is drawn.
+TAIL = 0.95
+#: Equilibration's temperature rises to 1 over the first half: iteration * RISE / iterations.
+RISE = 2.0
+#: Updates of a side in an iteration are Poisson with the number of atoms, or this if that is less.
+LEAST_UPDATES = 10
 
 
-class Draws:
-    """One chain's random numbers, all from one generator."""
+# --- draws -------------------------------------------------------------------
 
-    def __init__(self, rng: np.random.Generator) -> None:
-        self.rng = rng
+#: The normal distribution on a grid, error under 1e-8, for interpolation both ways.
+_GRID = np.linspace(-8.3, 8.3, (1 << 15) + 1)
+_CDF = np.array([normal_cdf(z) for z in _GRID])
+#: The gamma distribution of shape 2, scale 1, on a grid.
+_GAMMA_GRID = np.concatenate([[0.0], np.geomspace(1e-6, 40.0, 1 << 13)])
+_GAMMA_CDF = -np.expm1(-_GAMMA_GRID) - _GAMMA_GRID * np.exp(-_GAMMA_GRID)
 
-    def uniform(self) -> float:
-        return float(self.rng.random())
 
-    def exponential(self, rate: float) -> float:
-        return float(self.rng.exponential(1 / rate))
+def truncated_normal(u: np.ndarray, mean: np.ndarray, sd: np.ndarray, low: np.ndarray | float, high: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Draws on [low, high] by inversion of ``u``, and which of them are valid (see ``TAIL``)."""
+    a = np.interp((low - mean) / sd, _GRID, _CDF)
+    b = np.interp((high - mean) / sd, _GRID, _CDF)
+    x = mean + sd * np.interp(a + (b - a) * u, _CDF, _GRID)
+    return np.minimum(np.maximum(x, low), high), (a <= TAIL) & (b >= 1 - TAIL)
 
-    def truncated_normal(self, mean: float, sd: float, low: float, high: float) -> float | None:
-        """By inversion within [low, high]; none where 95 % of the mass lies on one side of it."""
-        a, b = normal_cdf(low, mean, sd), normal_cdf(high, mean, sd)
-        if a > 0.95 or b < 0.05:
-            return None
-        u = a + (b - a) * self.uniform()
-        x = normal_quantile(min(max(u, 1e-300), 1 - 1e-16), mean, sd)
-        return min(max(x, low), high)
 
-    def truncated_gamma(self, high: float, scale: float) -> float:
-        """Shape 2, at most ``high``, by inversion."""
-        from ..functions.scalars import gamma_cdf, gamma_quantile
+def truncated_gamma(u: np.ndarray, high: np.ndarray, scale: float) -> np.ndarray:
+    """Draws of shape 2 on [0, high] by inversion of ``u``."""
+    y = high / scale
+    top = -np.expm1(-y) - y * np.exp(-y)
+    return np.minimum(np.interp(u * top, _GAMMA_CDF, _GAMMA_GRID) * scale, high)
 
-        return min(gamma_quantile(self.uniform() * gamma_cdf(high, 2, scale), 2, scale), high)
 
+# --- likelihood --------------------------------------------------------------
 
-class DenseModel:
-    """One side's elements (rows x patterns) under normal errors of given size.
 
-    ``ap`` is a view of the product that both sides share, so neither has to copy it.
-    """
+class DenseRows:
+    """Coefficients of every row under normal errors of given size."""
 
-    def __init__(self, data: np.ndarray, weight: np.ndarray, patterns: int, ap: np.ndarray) -> None:
-        self.data, self.weight, self.ap = data, weight, ap
-        self.matrix = np.zeros((data.shape[0], patterns))
-        self.other: np.ndarray = np.zeros((data.shape[1], patterns))
-
-    def alpha(self, row: int, k: int, change: float = 0.0) -> tuple[float, float]:
-        """(s, s_mu), after ``change`` more mass in the element."""
-        v = self.other[:, k]
-        vw = v * self.weight[row]
-        s = float(vw @ v)
-        return s, float(vw @ (self.data[row] - self.ap[row])) - change * s
-
-    def alpha_pair(self, r1: int, k1: int, r2: int, k2: int) -> tuple[float, float]:
-        """(s, s_mu) of mass that comes to one element and leaves another."""
-        if r1 == r2:
-            v = self.other[:, k1] - self.other[:, k2]
-            vw = v * self.weight[r1]
-            return float(vw @ v), float(vw @ (self.data[r1] - self.ap[r1]))
-        (s1, m1), (s2, m2) = self.alpha(r1, k1), self.alpha(r2, k2)
-        return s1 + s2, m1 - m2
-
-    def usable(self, k: int) -> bool:
-        """Whether the other side's column has mass, so that the likelihood says anything."""
-        return bool(self.other[:, k].any())
-
-    def add(self, row: int, k: int, mass: float) -> None:
-        old = self.matrix[row, k]
-        new = max(0.0, old + mass)
-        self.matrix[row, k] = new
-        self.ap[row] += (new - old) * self.other[:, k]
+    def __init__(self, data: np.ndarray, sigma: np.ndarray) -> None:
+        self.shape = data.shape
+        self.weight = 1 / sigma**2
+        self.weighted = self.weight * data
+        #: The statistic of the zero factors.
+        self.base = float((self.weighted * data).sum())
 
-    def chisq(self) -> float:
-        return float((self.weight * (self.data - self.ap) ** 2).sum())
+    def coefficients(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = v.shape[1]
+        x, y = np.triu_indices(k)
+        g = np.empty((self.shape[0], k, k))
+        g[:, x, y] = g[:, y, x] = self.weight @ (v[:, x] * v[:, y])
+        return self.weighted @ v, g
 
 
-class SparseModel:
+class SparseRows:
     """The same for mostly zero data, from the cells that aren't: sigma is a tenth of a
     value, and 0.1 at zeros, whose part comes from the other side's Gram matrix."""
 
     BETA = 100.0
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_cols: int, patterns: int) -> None:
-        self.rows = rows
-        self.matrix = np.zeros((len(rows), patterns))
-        self.other = np.zeros((n_cols, patterns))
-        self.gram = np.zeros((patterns, patterns))
-
-    def refresh(self) -> None:
-        """After the other side changed."""
-        self.gram = self.other.T @ self.other
-
-    def alpha(self, row: int, k: int, change: float = 0.0) -> tuple[float, float]:
-        at, d = self.rows[row]
-        near = self.other[at]
-        v, ap = near[:, k], near @ self.matrix[row]
-        inverse = 1 / (d * d)
-        s = self.BETA * (self.gram[k, k] + float((v * v) @ (inverse - 1)))
-        s_mu = self.BETA * (float(v @ ((d - ap) * inverse + ap)) - float(self.matrix[row] @ self.gram[:, k]))
-        return s, s_mu - change * s
-
-    def alpha_pair(self, r1: int, k1: int, r2: int, k2: int) -> tuple[float, float]:
-        (s1, m1), (s2, m2) = self.alpha(r1, k1), self.alpha(r2, k2)
-        if r1 != r2:
-            return s1 + s2, m1 - m2
-        at, d = self.rows[r1]
-        cross = float((self.other[at, k1] * self.other[at, k2]) @ (1 / (d * d) - 1)) + self.gram[k1, k2]
-        return s1 + s2 - 2 * self.BETA * cross, m1 - m2
-
-    def usable(self, k: int) -> bool:
-        return bool(self.gram[k, k] > 0)
-
-    def add(self, row: int, k: int, mass: float) -> None:
-        self.matrix[row, k] = max(0.0, self.matrix[row, k] + mass)
-
-    def chisq(self) -> float:
-        total = float(np.sum((self.matrix.T @ self.matrix) * self.gram))
-        for row, (at, d) in enumerate(self.rows):
-            m = self.other[at] @ self.matrix[row]
-            total += float((1 + m * (m - 2 * d - d * d * m) / (d * d)).sum())
-        return self.BETA * total
+    def __init__(self, cells: Cells) -> None:
+        self.shape = cells.shape
+        starts = np.flatnonzero(np.diff(cells.rows, prepend=-1))
+        self.some, self.starts = cells.rows[starts], starts
+        self.cols, self.inverse, self.more = cells.cols, 1 / cells.values, 1 / cells.values**2 - 1
+        self.base = self.BETA * len(cells.values)
+
+    def coefficients(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = v.shape[1]
+        b = np.zeros((self.shape[0], k))
+        g = np.empty((self.shape[0], k, k))
+        g[:] = v.T @ v
+        if len(self.cols):
+            near = v[self.cols]
+            b[self.some] = np.add.reduceat(near * self.inverse[:, None], self.starts)
+            for x in range(k):
+                part = np.add.reduceat(near[:, : x + 1] * (near[:, x] * self.more)[:, None], self.starts)
+                g[self.some, x, : x + 1] += part
+                g[self.some, :x, x] += part[:, :x]
+        return self.BETA * b, self.BETA * g
 
 
 class Cells:
@@ -156,165 +134,164 @@ class Cells:
     def transposed(self) -> Cells:
         return Cells(self.cols, self.rows, self.values, self.shape[::-1])
 
-    def by_row(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each row's columns and values."""
-        ends = np.searchsorted(self.rows, np.arange(1, self.shape[0]))
-        return list(zip(np.split(self.cols, ends), np.split(self.values, ends), strict=True))
-
-
-class Atoms:
-    """Atoms by place, with constant-time uniform choice."""
-
-    def __init__(self) -> None:
-        self.order: list[int] = []
-        self.list: list[int] = []
-        self.where: dict[int, int] = {}
-        self.mass: dict[int, float] = {}
-
-    def __len__(self) -> int:
-        return len(self.list)
-
-    def insert(self, place: int, mass: float) -> None:
-        insort(self.order, place)
-        self.where[place] = len(self.list)
-        self.list.append(place)
-        self.mass[place] = mass
-
-    def erase(self, place: int) -> None:
-        del self.order[bisect_left(self.order, place)]
-        at, last = self.where.pop(place), self.list.pop()
-        if last != place:
-            self.list[at] = last
-            self.where[last] = at
-        del self.mass[place]
-
-    def move(self, place: int, to: int) -> None:
-        mass = self.mass[place]
-        self.erase(place)
-        self.insert(to, mass)
-
-    def neighbours(self, place: int) -> tuple[int, int]:
-        """The places left and right; the ends of the line where there is none."""
-        at = bisect_left(self.order, place)
-        return (self.order[at - 1] if at else -1, self.order[at + 1] if at + 1 < len(self.order) else LINE)
-
-    def after(self, place: int) -> int:
-        """The next atom to the right; past the last comes the first."""
-        at = bisect_left(self.order, place) + 1
-        return self.order[at % len(self.order)]
-
-
-class Sampler:
-    """The moves of one side."""
-
-    def __init__(self, model, alpha: float, nonzero_mean: float, max_gibbs_mass: float, draws: Draws) -> None:
-        self.model, self.draws, self.atoms = model, draws, Atoms()
-        self.rows, self.patterns = model.matrix.shape
-        self.bins = self.rows * self.patterns
-        self.bin_length = LINE // self.bins
-        self.length = self.bin_length * self.bins
-        self.alpha = alpha
-        self.rate = alpha * math.sqrt(self.patterns / nonzero_mean)
+
+# --- one side ----------------------------------------------------------------
+
+
+class Side:
+    """One factor as atoms, and the rounds that change it.
+
+    A row's atoms are the first ``count`` slots of its row in ``place`` and ``mass``, in
+    no order; free slots have place inf and mass 0.
+    """
+
+    def __init__(self, rows: int, patterns: int, alpha: float, nonzero_mean: float, max_gibbs_mass: float) -> None:
+        self.patterns = patterns
+        self.matrix = np.zeros((rows, patterns))
+        self.count = np.zeros(rows, np.int64)
+        self.place = np.full((rows, 4), np.inf)
+        self.mass = np.zeros((rows, 4))
+        self.line_rate = alpha * patterns
+        self.rate = alpha * math.sqrt(patterns / nonzero_mean)
         self.max_mass = max_gibbs_mass / self.rate
-        self.temperature = 1.0
-
-    def bin(self, place: int) -> tuple[int, int]:
-        return divmod(min(place // self.bin_length, self.bins - 1), self.patterns)
-
-    def death_probability(self) -> float:
-        n = len(self.atoms)
-        return n * self.length / (n * self.length + self.alpha * self.bins * (self.length - n))
-
-    def update(self, steps: int) -> None:
-        for _ in range(steps):
-            if len(self.atoms) < 2:
-                self.birth()
-                continue
-            u = self.draws.uniform()
-            if u < 0.5:
-                if self.draws.uniform() < self.death_probability():
-                    self.death()
-                else:
-                    self.birth()
-            elif u < 0.75:
-                self.move()
-            else:
-                self.exchange()
-
-    def pick(self) -> int:
-        return self.atoms.list[int(self.draws.uniform() * len(self.atoms))]
-
-    def gibbs_mass(self, s: float, s_mu: float) -> float | None:
-        if s <= EPSILON:
-            return None
-        return self.draws.truncated_normal((s_mu - self.rate) / s, 1 / math.sqrt(s), 0.0, self.max_mass)
-
-    def birth(self) -> None:
-        place = int(self.draws.rng.integers(self.length))
-        while place in self.atoms.mass:
-            place = int(self.draws.rng.integers(self.length))
-        row, k = self.bin(place)
-        if self.model.usable(k):
-            s, s_mu = self.model.alpha(row, k)
-            mass = self.gibbs_mass(s * self.temperature, s_mu * self.temperature)
-        else:
-            mass = self.draws.exponential(self.rate)
-        if mass is not None and mass >= EPSILON:
-            self.atoms.insert(place, mass)
-            self.model.add(row, k, mass)
-
-    def death(self) -> None:
-        place = self.pick()
-        row, k = self.bin(place)
-        mass = self.atoms.mass[place]
-        s, s_mu = self.model.alpha(row, k, -mass)
-        s, s_mu = s * self.temperature, s_mu * self.temperature
-        again = mass
-        if self.model.usable(k):
-            drawn = self.gibbs_mass(s, s_mu)
-            again = mass if drawn is None else drawn
-        gain = again * (s_mu - s * again / 2)
-        if again >= EPSILON and math.log(max(self.draws.uniform(), 1e-300)) < gain:
-            self.atoms.mass[place] = again
-            self.model.add(row, k, again - mass)
-        else:
-            self.atoms.erase(place)
-            self.model.add(row, k, -mass)
-
-    def move(self) -> None:
-        place = self.pick()
-        left, right = self.atoms.neighbours(place)
-        low, high = left + 1, min(right, self.length) - 1
-        to = int(self.draws.rng.integers(low, high + 1)) if high >= low else place
-        if to == place or to in self.atoms.mass:
-            return
-        (r1, k1), (r2, k2) = self.bin(place), self.bin(to)
-        if (r1, k1) == (r2, k2):
-            self.atoms.move(place, to)
+        self.rounds = self.proposals = 0
+
+    @property
+    def atoms(self) -> int:
+        return int(self.count.sum())
+
+    def sweep(self, rng: np.random.Generator, steps: int, b: np.ndarray, g: np.ndarray, heat: float) -> None:
+        """About ``steps`` proposals, and at least one of birth or death in each row."""
+        if heat != 1.0:
+            b, g = b * heat, g * heat
+        shares = steps / max(len(self.count), 1) * np.array([0.5, 0.25, 0.25])
+        shares[0] = max(shares[0], 1.0)
+        rounds = (shares + rng.random(3)).astype(int).tolist()
+        kinds = [0] * rounds[0] + [1] * rounds[1] + [2] * rounds[2]
+        for kind in rng.permutation(kinds).tolist() if len(kinds) > 1 else kinds:
+            (self.births_and_deaths, self.moves, self.exchanges)[kind](rng, b, g)
+            self.rounds += 1
+
+    def _slope(self, rows: np.ndarray, b: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The log-likelihood's derivative by each element of the rows."""
+        return b[rows] - (g[rows] @ self.matrix[rows][:, :, None])[:, :, 0]
+
+    def _bins(self, place: np.ndarray) -> np.ndarray:
+        return np.minimum(place.astype(np.int64), self.patterns - 1)
+
+    def _add(self, rows: np.ndarray, bins: np.ndarray, change: np.ndarray) -> None:
+        self.matrix[rows, bins] = np.maximum(self.matrix[rows, bins] + change, 0.0)
+
+    def births_and_deaths(self, rng: np.random.Generator, b: np.ndarray, g: np.ndarray) -> None:
+        """New atoms take a mass from their conditional distribution.  Dying ones are drawn
+        anew without their mass, and come back by the likelihood's gain."""
+        n, line = self.count, self.line_rate
+        dying = rng.random(len(n)) * (np.maximum(n, 1) + line) >= line
+        rows = np.flatnonzero(~dying | (n > 0))
+        if not len(rows):
             return
-        mass = self.atoms.mass[place]
-        s, s_mu = self.model.alpha_pair(r1, k1, r2, k2)
-        if math.log(max(self.draws.uniform(), 1e-300)) < -mass * (s_mu + s * mass / 2) * self.temperature:
-            self.atoms.move(place, to)
-            self.model.add(r1, k1, -mass)
-            self.model.add(r2, k2, mass)
-
-    def exchange(self) -> None:
-        one = self.pick()
-        two = self.atoms.after(one)
-        (r1, k1), (r2, k2) = self.bin(one), self.bin(two)
-        if one == two or (r1, k1) == (r2, k2) or not (self.model.usable(k1) or self.model.usable(k2)):
+        self.proposals += len(rows)
+        dying = dying[rows]
+        u = rng.random((3, len(rows)))
+        slot = np.where(dying, (u[0] * n[rows]).astype(np.int64), n[rows])
+        if slot.max() >= self.mass.shape[1]:
+            self._widen()
+        old = self.mass[rows, slot]  # 0 in a free slot
+        place = np.where(dying, self.place[rows, slot], u[0] * self.patterns)
+        bins = self._bins(place)
+        s = g[rows, bins, bins]
+        slope = self._slope(rows, b, g)[np.arange(len(rows)), bins] + old * s
+        # Without the other side's pattern or information only the prior speaks.
+        informed = s > EPSILON
+        safe = np.where(informed, s, 1.0)
+        fresh, valid = truncated_normal(u[1], (slope - self.rate) / safe, 1 / np.sqrt(safe), 0.0, self.max_mass)
+        prior = np.where(dying, old, -np.log1p(-u[1]) / self.rate)
+        fresh = np.where(informed, fresh, np.where(s > 0, old, prior))
+        fresh = np.where(informed & ~valid, old, fresh)
+        gain = fresh * (slope - s * fresh / 2)
+        stays = (fresh >= EPSILON) & (~dying | (np.log(np.maximum(u[2], 1e-300)) < gain))
+        new = np.where(stays, fresh, 0.0)
+        self._add(rows, bins, new - old)
+        kept, gone = rows[stays], rows[~stays & dying]
+        self.mass[kept, slot[stays]] = new[stays]
+        self.place[kept, slot[stays]] = place[stays]
+        self.count[rows[stays & ~dying]] += 1
+        if len(gone):
+            self._erase(gone, slot[~stays & dying])
+
+    def _erase(self, rows: np.ndarray, slot: np.ndarray) -> None:
+        self.count[rows] -= 1
+        last = self.count[rows]
+        for held, free in ((self.mass, 0.0), (self.place, np.inf)):
+            held[rows, slot] = held[rows, last]
+            held[rows, last] = free
+
+    def _widen(self) -> None:
+        self.mass = np.concatenate([self.mass, np.zeros_like(self.mass)], axis=1)
+        self.place = np.concatenate([self.place, np.full_like(self.place, np.inf)], axis=1)
+
+    def moves(self, rng: np.random.Generator, b: np.ndarray, g: np.ndarray) -> None:
+        """An atom goes to an even place between its neighbours; another bin has to be liked."""
+        rows = np.flatnonzero(self.count > 0)
+        if not len(rows):
             return
-        m1, m2 = self.atoms.mass[one], self.atoms.mass[two]
-        s, s_mu = (x * self.temperature for x in self.model.alpha_pair(r1, k1, r2, k2))
-        if s <= EPSILON:
+        self.proposals += len(rows)
+        u = rng.random((3, len(rows)))
+        slot = (u[0] * self.count[rows]).astype(np.int64)
+        here, line = self.place[rows, slot], self.place[rows]
+        left = np.where(line < here[:, None], line, 0.0).max(axis=1)
+        right = np.minimum(np.where(line > here[:, None], line, np.inf).min(axis=1), self.patterns)
+        there = left + (right - left) * u[1]
+        one, two = self._bins(here), self._bins(there)
+        mass = self.mass[rows, slot]
+        at = np.arange(len(rows))
+        slope = self._slope(rows, b, g)
+        own = g[rows]
+        s = own[at, one, one] + own[at, two, two] - 2 * own[at, one, two]
+        gain = mass * (slope[at, two] - slope[at, one] - s * mass / 2)
+        goes = (one == two) | (np.log(np.maximum(u[2], 1e-300)) < gain)
+        self.place[rows[goes], slot[goes]] = there[goes]
+        cross = goes & (one != two)
+        self._add(rows[cross], one[cross], -mass[cross])
+        self._add(rows[cross], two[cross], mass[cross])
+
+    def exchanges(self, rng: np.random.Generator, b: np.ndarray, g: np.ndarray) -> None:
+        """Mass passes between an atom and its right neighbour, the first one for the last.
+
+        Between bins the amount comes from its conditional distribution; in one bin, where
+        the likelihood doesn't change, the first atom's share is drawn anew.
+        """
+        rows = np.flatnonzero(self.count > 1)
+        if not len(rows):
             return
-        change = self.draws.truncated_normal(s_mu / s, 1 / math.sqrt(s), -m1, m2)
-        if change is None or m1 + change <= EPSILON or m2 - change <= EPSILON:
-            return
-        self.atoms.mass[one], self.atoms.mass[two] = m1 + change, m2 - change
-        self.model.add(r1, k1, change)
-        self.model.add(r2, k2, -change)
+        self.proposals += len(rows)
+        u = rng.random((2, len(rows)))
+        at = np.arange(len(rows))
+        slot = (u[0] * self.count[rows]).astype(np.int64)
+        line = self.place[rows]
+        here = line[at, slot]
+        ahead = np.where(line > here[:, None], line, np.inf)
+        other = np.where(np.isinf(ahead.min(axis=1)), line.argmin(axis=1), ahead.argmin(axis=1))
+        one, two = self._bins(here), self._bins(line[at, other])
+        m1, m2 = self.mass[rows, slot], self.mass[rows, other]
+        slope, own = self._slope(rows, b, g), g[rows]
+        s = own[at, one, one] + own[at, two, two] - 2 * own[at, one, two]
+        apart = one != two
+        informed = apart & (s > EPSILON)
+        safe = np.where(informed, s, 1.0)
+        change, valid = truncated_normal(u[1], (slope[at, one] - slope[at, two]) / safe, 1 / np.sqrt(safe), -m1, m2)
+        again = truncated_gamma(u[1], m1 + m2, 1 / self.rate) - m1
+        change = np.where(apart, change, again)
+        goes = np.where(apart, informed & valid, True) & (m1 + change > EPSILON) & (m2 - change > EPSILON)
+        rows, slot, other, one, two, change, m1, m2 = (x[goes] for x in (rows, slot, other, one, two, change, m1, m2))
+        self.mass[rows, slot] = m1 + change
+        self.mass[rows, other] = m2 - change
+        apart = one != two
+        self._add(rows[apart], one[apart], change[apart])
+        self._add(rows[apart], two[apart], -change[apart])
+
+
+# --- the chain ---------------------------------------------------------------
 
 
 @dataclass
@@ -327,90 +304,82 @@ class ChainResult:
     snapshots: list[tuple[str, int, np.ndarray, np.ndarray]]
     pump: np.ndarray
     updates: int
+    seconds: float
+    #: Mean number of proposals decided at once, by side.
+    batch: tuple[float, float]
 
 
 class Chain:
-    """Alternating updates of both sides; its whole state can be pickled and resumed.
+    """Alternating sweeps over both sides.
 
-    In sparse mode the data may be given as cells, and nothing of the grid's size is made.
+    Its state without the data can be pickled; :meth:`attach` gives the data back.  In
+    sparse mode the data may be given as cells, and nothing of the grid's size is made.
     """
 
     def __init__(self, data: np.ndarray | Cells, params, seed: tuple[int, ...], sigma: np.ndarray | None = None, fixed: np.ndarray | None = None) -> None:
         self.params = params
-        k = params.n_patterns
         if params.sparse and not isinstance(data, Cells):
             data = Cells.of(data)
         positive = data.values if params.sparse else data[data > 0]
         total = positive.sum() if params.sparse else data.sum()
         mean = float(total / len(positive)) if len(positive) else 1.0
-        self.draws = Draws(np.random.default_rng(np.random.SeedSequence(list(seed))))
-        if params.sparse:
-            sides = [SparseModel(d.by_row(), d.shape[1], k) for d in (data, data.transposed())]
-        else:
-            self.data = data
-            self.sigma = np.maximum(0.1 * data, 0.1) if sigma is None else sigma
-            self.ap = np.zeros(data.shape)
-            weight = 1 / self.sigma**2
-            sides = [DenseModel(data, weight, k, self.ap), DenseModel(data.T, weight.T, k, self.ap.T)]
-        self.a, self.p = sides
-        self.a.other, self.p.other = self.p.matrix, self.a.matrix  # views: each sees the other's state
+        self.rng = np.random.default_rng(np.random.SeedSequence(list(seed)))
+        self.a = Side(data.shape[0], params.n_patterns, params.alpha_a, mean, params.max_gibbs_mass_a)
+        self.p = Side(data.shape[1], params.n_patterns, params.alpha_p, mean, params.max_gibbs_mass_p)
         if fixed is not None:
             (self.a if params.fixed == "A" else self.p).matrix[:] = fixed
-            if not params.sparse:
-                self.ap += self.a.matrix @ self.p.matrix.T
-        self.sync()
-        self.samplers = {
-            "A": Sampler(self.a, params.alpha_a, mean, params.max_gibbs_mass_a, self.draws),
-            "P": Sampler(self.p, params.alpha_p, mean, params.max_gibbs_mass_p, self.draws),
-        }
         self.sums = [np.zeros(m.shape) for m in (self.a.matrix, self.a.matrix, self.p.matrix, self.p.matrix)]
         self.pump = np.zeros(self.a.matrix.shape, np.int64)
         self.samples = 0
-        self.phase, self.iteration, self.updates = "equilibration", 0, 0
+        self.phase, self.iteration, self.updates, self.seconds = "equilibration", 0, 0, 0.0
         self.trace: list[tuple[str, int, float, int, int]] = []
         self.snapshots: list[tuple[str, int, np.ndarray, np.ndarray]] = []
+        self.attach(data, sigma)
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        if not self.params.sparse:  # a pickled view is a copy; both sides share one product
-            self.p.ap = self.a.ap.T
-            self.ap = self.a.ap
-
-    def sync(self) -> None:
+    def attach(self, data: np.ndarray | Cells, sigma: np.ndarray | None = None) -> Chain:
         if self.params.sparse:
-            self.a.refresh()
-            self.p.refresh()
+            data = data if isinstance(data, Cells) else Cells.of(data)
+            self.data = [SparseRows(data), SparseRows(data.transposed())]
+        else:
+            sigma = np.maximum(0.1 * data, 0.1) if sigma is None else sigma
+            self.data = [DenseRows(data, sigma), DenseRows(np.ascontiguousarray(data.T), np.ascontiguousarray(sigma.T))]
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "data"}
+
+    def chisq(self) -> float:
+        """The statistic of the current factors, from the coefficients of the rows."""
+        b, g = self.data[0].coefficients(self.p.matrix)
+        a = self.a.matrix
+        return self.data[0].base - 2 * float((a * b).sum()) + float(((g @ a[:, :, None])[:, :, 0] * a).sum())
 
     def step(self) -> None:
         """One iteration, and what is recorded of it."""
         p = self.params
         self.iteration += 1
-        heat = min(1.0, 2 * self.iteration / p.n_iterations) if self.phase == "equilibration" else 1.0
-        for name in ("A", "P"):
-            sampler = self.samplers[name]
-            sampler.temperature = heat
-            steps = int(self.draws.rng.poisson(max(len(sampler.atoms), 10)))
+        heat = min(1.0, RISE * self.iteration / p.n_iterations) if self.phase == "equilibration" else 1.0
+        for name, side, other, rows in (("A", self.a, self.p, self.data[0]), ("P", self.p, self.a, self.data[1])):
+            steps = int(self.rng.poisson(max(side.atoms, LEAST_UPDATES)))
             self.updates += steps
             if p.fixed != name:
-                sampler.update(steps)
-                self.sync()
+                side.sweep(self.rng, steps, *rows.coefficients(other.matrix), heat)
         if self.phase == "sampling":
             self.collect()
-        every = p.output_frequency or max(1, p.n_iterations // 100)
-        if self.iteration % every == 0 or self.iteration == p.n_iterations:
-            self.trace.append((self.phase, self.iteration, self.a.chisq(), len(self.samplers["A"].atoms), len(self.samplers["P"].atoms)))
+        if p.output_frequency and (self.iteration % p.output_frequency == 0 or self.iteration == p.n_iterations):
+            self.trace.append((self.phase, self.iteration, self.chisq(), self.a.atoms, self.p.atoms))
         if p.n_snapshots and p.snapshot_phase in (self.phase, "all") and self.iteration % max(1, p.n_iterations // p.n_snapshots) == 0:
             self.snapshots.append((self.phase, self.iteration, self.a.matrix.copy(), self.p.matrix.copy()))
         if self.iteration == p.n_iterations:
             self.phase, self.iteration = ("sampling", 0) if self.phase == "equilibration" else ("done", 0)
 
     def collect(self) -> None:
+        """Add the state, its patterns scaled to maximum 1 in P, to the running sums."""
+        a, p = self.a.matrix, self.p.matrix
         if self.params.fixed == "N":
-            norm = self.p.matrix.max(axis=0)
+            norm = p.max(axis=0)
             norm[norm == 0] = 1.0
-        else:
-            norm = np.ones(self.params.n_patterns)
-        a, p = self.a.matrix * norm, self.p.matrix / norm
+            a, p = a * norm, p / norm
         for total, x in zip(self.sums, (a, a * a, p, p * p), strict=True):
             total += x
         self.samples += 1
@@ -419,10 +388,11 @@ class Chain:
 
     def run(self, until: int | None = None) -> Chain:
         """To the end, or for so many iterations."""
-        left = until
+        left, began = until, time.monotonic()
         while self.phase != "done" and (left is None or left > 0):
             self.step()
             left = None if left is None else left - 1
+        self.seconds += time.monotonic() - began
         return self
 
     def result(self) -> ChainResult:
@@ -436,4 +406,5 @@ class Chain:
             a = self.a.matrix.copy(), np.zeros(self.a.matrix.shape)
         if self.params.fixed == "P":
             p = self.p.matrix.copy(), np.zeros(self.p.matrix.shape)
-        return ChainResult(*a, *p, self.trace, self.snapshots, self.pump, self.updates)
+        batch = tuple(side.proposals / max(side.rounds, 1) for side in (self.a, self.p))
+        return ChainResult(*a, *p, self.trace, self.snapshots, self.pump, self.updates, self.seconds, batch)

@@ -21,6 +21,11 @@ def transpose(cell: DataFrame) -> DataFrame:
     return cell.select(F.col("j").alias("i"), F.col("i").alias("j"), *rest)
 
 
+def transpose_names(dims: DataFrame) -> DataFrame:
+    """The names (axis, idx, name) of the transposed matrix."""
+    return dims.select(F.when(F.col("axis") == "A", "P").otherwise("A").alias("axis"), "idx", "name")
+
+
 def subset(cell: DataFrame, index: DataFrame, dim: int) -> DataFrame:
     """Rows (dim 1) or columns (2) in the order of ``index(pos, idx)``; repeats are kept."""
     axis = {1: "i", 2: "j"}[dim]
@@ -153,8 +158,17 @@ def residuals(cell: DataFrame, a: DataFrame, p: DataFrame, uncertainty: DataFram
 
 
 def chi_square(cell: DataFrame, a: DataFrame, p: DataFrame, uncertainty: DataFrame | None = None) -> DataFrame:
-    """One row: the sum of squared residuals."""
-    return residuals(cell, a, p, uncertainty).agg(F.sum(F.col("residual") * F.col("residual")).alias("chisq"))
+    """One row: the sum of squared residuals, without the grid.
+
+    Under the default sigma a cell without value adds (m / 0.1)^2, and the sum of m^2 over
+    all cells is the sum of products of both factors' Gram matrices.  With given
+    uncertainty the sum goes over the cells that have one.
+    """
+    if uncertainty is None:
+        return chi_square_cells(cell, a, p)
+    given = uncertainty.select("i", "j", F.col("value").alias("sigma")).join(cell.select("i", "j", "value"), ["i", "j"], "left")
+    residual = (F.coalesce("value", F.lit(0.0)) - F.col("m")) / F.col("sigma")
+    return product_at(given, a, p).agg(F.sum(residual * residual).alias("chisq"))
 
 
 def gram(factor: DataFrame) -> DataFrame:

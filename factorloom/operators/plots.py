@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .consensus import leaf_order
+
+#: Genes or samples that can be put in the order of a tree, whose distances are held by the driver.
+MOST_LEAVES = 4096
+
 
 def pattern_lines(p: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One line per pattern over samples, or over the mean of each group (idx, group).
@@ -25,11 +31,46 @@ def residual_map(residuals: DataFrame, limit: float = 5.0) -> DataFrame:
 
 
 def marker_heat_map(cell: DataFrame, markers: DataFrame) -> DataFrame:
-    """Values of the marker genes by sample, scaled within each gene, ordered by target and rank."""
+    """Values of the marker genes by sample, scaled within each gene; gene_place and sample_place
+    order both by average-linkage trees over the markers' cells."""
+    own = cell.join(markers.where("is_marker").select(F.col("idx").alias("i")).distinct(), "i", "left_semi")
+    genes = tree_order(own, "i").select(F.col("idx").alias("i"), F.col("place").alias("gene_place"))
+    samples = tree_order(own, "j").select(F.col("idx").alias("j"), F.col("place").alias("sample_place"))
     chosen = markers.where("is_marker").select(F.col("idx").alias("i"), "name", "lp", "rank")
     gene = Window.partitionBy("lp", "i")
     spread = F.stddev_samp("value").over(gene)
-    return cell.join(chosen, "i").select("lp", "rank", "i", "name", "j", "value", ((F.col("value") - F.avg("value").over(gene)) / F.when(spread > 0, spread)).alias("scaled"))
+    scaled = cell.join(chosen, "i").select("lp", "rank", "i", "name", "j", "value", ((F.col("value") - F.avg("value").over(gene)) / F.when(spread > 0, spread)).alias("scaled"))
+    return scaled.join(genes, "i").join(samples, "j")
+
+
+def tree_order(cell: DataFrame, axis: str = "i") -> DataFrame:
+    """idx, place: rows (or columns, axis "j") in the order of an average-linkage tree.
+
+    The distance of two is half of one minus the correlation of their values; one whose
+    values are all equal has correlation 0.  Missing cells are zero.
+    """
+    other = {"i": "j", "j": "i"}[axis]
+    spark = cell.sparkSession
+    ids = [r[0] for r in cell.select(axis).distinct().orderBy(axis).limit(MOST_LEAVES + 1).collect()]
+    if len(ids) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} leaves")
+    n = cell.select(other).distinct().count()
+    sums = cell.groupBy(axis).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    left, right = (cell.select(F.col(axis).alias(x), F.col(other).alias("c"), F.col("value").alias(f"v{x}")) for x in ("x", "y"))
+    cross = left.join(right, "c").where("x < y").groupBy("x", "y").agg(F.sum(F.col("vx") * F.col("vy")).alias("xy"))
+    place = {x: k for k, x in enumerate(ids)}
+    s, q = np.zeros(len(ids)), np.zeros(len(ids))
+    for r in sums.collect():
+        s[place[r[0]]], q[place[r[0]]] = r["s"], r["q"]
+    dot = np.diag(q)
+    for r in cross.collect():  # at most a row per pair of leaves
+        dot[place[r["x"]], place[r["y"]]] = dot[place[r["y"]], place[r["x"]]] = r["xy"]
+    covariance = dot - np.outer(s, s) / n
+    spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+    whole = np.outer(spread, spread)
+    correlation = np.where(whole > 1e-12, covariance / np.where(whole > 1e-12, whole, 1.0), 0.0)
+    order = leaf_order((1 - np.round(correlation, 12)) / 2)
+    return spark.createDataFrame([(int(ids[i]), k) for k, i in enumerate(order)], "idx long, place int")
 
 
 def separators(markers: DataFrame) -> DataFrame:

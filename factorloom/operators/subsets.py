@@ -4,53 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import digest, uniform
+
 SETS = "set_id int, pos int, idx long"
 
 
 def uniform_sets(ids: DataFrame, n_sets: int, seed: int) -> DataFrame:
     """Every id in one set, floor(n / n_sets) to each and the rest to the last.
 
-    The order is a hash of seed and id, so partitions don't matter.
+    The order is that of a digest of seed and id.  Places are counted within the 4,096
+    buckets of its first three digits, and the buckets' sizes are summed beside them.
     """
-    total = ids.count()
-    size = max(1, total // n_sets)
-    placed = ids.select("idx").withColumn("rn", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "idx"), "idx")))
-    set_id = F.least(F.floor((F.col("rn") - 1) / size), F.lit(n_sets - 1)).cast("int")
-    by_set = Window.partitionBy("set_id").orderBy("idx")
-    return placed.withColumn("set_id", set_id).select("set_id", (F.row_number().over(by_set) - 1).alias("pos"), "idx")
+    keyed = ids.select("idx", digest(seed, F.col("idx")).alias("key")).withColumn("bucket", F.substring("key", 1, 3))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "idx")) - 1
+    placed = keyed.withColumn("place", place).join(F.broadcast(sizes), "bucket")  # at most 4,096 rows
+    size = F.greatest(F.floor(F.col("total") / n_sets), F.lit(1))
+    dealt = placed.select("idx", F.least(F.floor((F.col("before") + F.col("place")) / size), F.lit(n_sets - 1)).cast("int").alias("set_id"))
+    return dealt.select("set_id", (F.row_number().over(Window.partitionBy("set_id").orderBy("idx")) - 1).cast("int").alias("pos"), "idx")
 
 
 def weighted_sets(spark: SparkSession, annotation: Sequence[str], weights: Mapping[str, float], n_sets: int, seed: int) -> DataFrame:
-    """Sets of floor(n / n_sets) ids: groups drawn by weight, ids of a group with replacement."""
-    groups: dict[str, list[int]] = {}
-    for idx, name in enumerate(annotation):
-        groups.setdefault(name, []).append(idx)
-    names = sorted(weights)
-    share = np.array([weights[n] for n in names], float)
-    rng = np.random.default_rng(np.random.SeedSequence(seed))
-    rows = []
-    for s in range(n_sets):
-        counts = np.bincount(rng.choice(len(names), len(annotation) // n_sets, p=share / share.sum()), minlength=len(names))
-        drawn = sorted(int(x) for n, c in zip(names, counts, strict=True) for x in rng.choice(groups[n], c))
-        rows += [(s, pos, idx) for pos, idx in enumerate(drawn)]
-    return spark.createDataFrame(rows, SETS)
-
-
-def explicit_sets(spark: SparkSession, sets: Sequence[Sequence], names: Mapping[str, int] | None = None) -> DataFrame:
-    """The sets as given, by id or by name; an unknown name is an error."""
-    rows = []
-    for s, members in enumerate(sets):
-        for pos, x in enumerate(members):
-            if isinstance(x, str):
-                if names is None or x not in names:
-                    raise ValueError(f"unknown name {x}")
-                x = names[x]
-            rows.append((s, pos, int(x)))
-    return spark.createDataFrame(rows, SETS)
+    """Sets of floor(n / n_sets) ids: groups drawn by weight, ids of a group with replacement.
+
+    Draw t of set s is decided by digests of (seed, s, t), so ids may repeat.
+    """
+    if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
+        raise ValueError("weights must not be negative, and some must be positive")
+    labels = spark.createDataFrame(list(enumerate(annotation)), "idx long, name string")
+    of_group = Window.partitionBy("name").orderBy("idx")
+    members = labels.select("name", "idx", (F.row_number().over(of_group) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias("size"))
+    total, upto, bounds = sum(weights.values()), 0.0, []
+    for name in sorted(weights):
+        bounds.append((name, upto / total, (upto + weights[name]) / total))
+        upto += weights[name]
+    last = max(i for i, (_, a, b) in enumerate(bounds) if b > a)
+    chosen = None
+    for i, (name, _, high) in reversed(list(enumerate(bounds))):
+        chosen = F.lit(name) if i >= last else F.when(F.col("u") < high, F.lit(name)).otherwise(chosen)
+    each = max(1, len(annotation) // n_sets)
+    tries = spark.range(n_sets).select(F.col("id").cast("int").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("t"))
+    drawn = tries.withColumn("u", uniform(seed, F.col("set_id"), F.col("t"), 0)).select("set_id", "t", chosen.alias("name"), uniform(seed, F.col("set_id"), F.col("t"), 1).alias("v"))
+    sizes = members.select("name", "size").distinct()
+    placed = drawn.join(sizes, "name").withColumn("place", F.floor(F.col("v") * F.col("size")))
+    rows = placed.join(members.drop("size"), ["name", "place"])
+    return rows.select("set_id", (F.row_number().over(Window.partitionBy("set_id").orderBy("idx", "t")) - 1).cast("int").alias("pos"), "idx")
+
+
+def explicit_sets(spark: SparkSession, sets: Sequence[Sequence], names: DataFrame | None = None) -> DataFrame:
+    """The sets as given, by id or by the names of a table (idx, name); an unknown name is an error."""
+    rows = [(s, pos, str(x)) for s, members in enumerate(sets) for pos, x in enumerate(members)]
+    listed = spark.createDataFrame(rows, "set_id int, pos int, x string")
+    if not any(isinstance(x, str) for members in sets for x in members):
+        return listed.select("set_id", "pos", F.col("x").cast("long").alias("idx"))
+    known = spark.createDataFrame([], "idx long, name string") if names is None else names.select("idx", "name")
+    found = listed.join(known, listed.x == known.name, "left")
+    unknown = found.where("idx is null").select("x").first()
+    if unknown:
+        raise ValueError(f"unknown name {unknown['x']}")
+    return found.select("set_id", "pos", "idx")
 
 
 def check_sizes(sets: DataFrame, n_patterns: int) -> None:

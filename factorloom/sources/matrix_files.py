@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import TRIM, trimmed
 from ..model import Params, Result
+from ..runtime import checkpointed
 
 FORMATS = ("csv", "tsv", "mtx", "gct")
 
@@ -34,8 +35,11 @@ def supported(path: str) -> bool:
 
 
 def parse_number(token: Column) -> Column:
-    """A double; anything else fails the query and names the token.  Both exponent cases are read."""
-    value = token.try_cast("double")
+    """A double; anything else fails the query and names the token.
+
+    A sign, a point and an exponent of either case are read; words for missing or infinite values are not.
+    """
+    value = F.when(F.rlike(token, F.lit(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")), token.try_cast("double"))
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(token, F.lit("nothing")))).cast("double"))
 
 
@@ -90,6 +94,29 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]
     return cells, shape
 
 
+def read_10x(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """(cells, dims, shape) of a directory of counts: matrix.mtx with features.tsv (or genes.tsv) and barcodes.tsv.
+
+    Each may be compressed.  Features are named by their second column, or by the first of one.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def find(*names: str) -> str:
+        for name in names:
+            for end in ("", ".gz"):
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(root, name + end)):
+                    return f"{folder.rstrip('/')}/{name}{end}"
+        raise ValueError(f"{folder} has no {names[0]}")
+
+    cells, shape = read_mtx(spark, find("matrix.mtx"))
+    parts = F.split("value", "\t")
+    features = _lines(spark, find("features.tsv", "genes.tsv")).select(F.lit("A").alias("axis"), F.col("n").alias("idx"), F.coalesce(F.get(parts, F.lit(1)), parts[0]).alias("name"))
+    barcodes = _lines(spark, find("barcodes.tsv")).select(F.lit("P").alias("axis"), F.col("n").alias("idx"), parts[0].alias("name"))
+    return cells, features.unionByName(barcodes), shape
+
+
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, tuple[int, int] | None]:
     """(cells, dims, shape) of a file of any supported format."""
     kind = file_format(path)
@@ -113,11 +140,20 @@ def file_info(spark: SparkSession, path: str) -> dict:
     return {"dimensions": shape, "row_names": names["A"], "col_names": names["P"]}
 
 
+def numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
+    """With i, the place of each row in the order: rows are sorted by ranges, and the ranges' sizes summed beside them."""
+    ranged = checkpointed(frame.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = ranged.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    return inside.join(F.broadcast(sizes), "__part").withColumn("i", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
+
+
 def from_wide(frame: DataFrame, name_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, dims) of a table with a column per sample, rows in the order of their names or values."""
     columns = [c for c in frame.columns if c != name_col]
     order = [name_col] if name_col else columns
-    rows = frame.withColumn("i", (F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in order])) - 1).cast("long"))
+    rows = numbered(frame, [F.col(f"`{c}`") for c in order])
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
     cells = rows.select("i", F.posexplode(values).alias("j", "value")).select("i", F.col("j").cast("long").alias("j"), "value")
     samples = frame.sparkSession.createDataFrame([("P", n, c) for n, c in enumerate(columns)], "axis string, idx long, name string")
@@ -193,7 +229,15 @@ def read_parquet(spark: SparkSession, folder: str) -> Result:
 
 
 def write_matrix(cell: DataFrame, path: str) -> None:
-    """A wide CSV with RowN and ColN labels."""
-    columns = [r["j"] for r in cell.select("j").distinct().orderBy("j").collect()]
-    wide = cell.groupBy("i").pivot("j", columns).agg(F.first("value")).orderBy("i")
-    wide.select(F.concat(F.lit("Row"), (F.col("i") + 1).cast("string")).alias("row"), *[F.coalesce(F.col(str(j)), F.lit(0.0)).alias(f"Col{j + 1}") for j in columns]).write.mode("overwrite").csv(path, header=True)
+    """A wide CSV with RowN and ColN labels: a line per row that occurs, a column up to the last that does."""
+    last = cell.agg(F.max("j")).first()[0]
+    columns = -1 if last is None else last
+    held = F.map_from_entries(F.collect_list(F.struct("j", "value")))
+    rows = cell.groupBy("i", "j").agg(F.max("value").alias("value")).groupBy("i").agg(held.alias("held"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(columns).cast("long")) if columns >= 0 else F.array().cast("array<bigint>")
+    values = F.transform(places, lambda j: F.coalesce(F.try_element_at("held", j), F.lit(0.0)).cast("string"))
+    line = F.concat_ws(",", F.concat(F.lit("Row"), (F.col("i") + 1).cast("string")), values)
+    header = ",".join(["row", *[f"Col{j + 1}" for j in range(columns + 1)]])
+    # One column whose name and values are whole lines, neither quoted nor split.
+    whole = rows.repartitionByRange("i").sortWithinPartitions("i").select(line.alias(header))
+    whole.write.mode("overwrite").option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)

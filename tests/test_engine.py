@@ -60,29 +60,57 @@ def test_plans_push_filters_and_prune_columns(spark):
 # --- markers ----------------------------------------------------------------------
 
 
-def test_markers_on_literal_matrices(spark):
-    five, ones = np.eye(5), factor(spark, np.ones((5, 5)), "Sample")
-    for threshold in ("all", "cut"):
-        assert lists(markers.pattern_markers(factor(spark, five, "Gene"), ones, threshold)) == {f"Pattern_{k}": [f"Gene{k}"] for k in range(1, 6)}
-    top = np.repeat(np.arange(1.0, 6)[:, None], 5, axis=1)
-    np.fill_diagonal(top, 10)
-    both = factor(spark, np.vstack([top, np.eye(5)[:, ::-1]]), "Gene")
-    out = lists(markers.pattern_markers(both, ones))
-    assert out["Pattern_1"] == ["Gene10", "Gene1"] and out["Pattern_3"] == ["Gene8", "Gene3"] and out["Pattern_5"] == ["Gene6", "Gene5"]
-    zero = np.eye(5)[:, ::-1].copy()
-    zero[:2] = 0
-    out = lists(markers.pattern_markers(factor(spark, zero, "Gene"), ones))
-    assert len(out) == 5 and "Gene1" not in sum(out.values(), []) and out["Pattern_5"] == []
-    weak = markers.pattern_markers(factor(spark, np.vstack([five, np.full(5, 0.1)]), "Gene"), factor(spark, np.ones((6, 5)), "Sample"), "cut")
-    assert "Gene6" not in sum(lists(weak).values(), []) and weak.select("idx").distinct().count() == 6
-    a = factor(spark, five, "Gene")
-    assert lists(markers.pattern_markers(a, ones, lp={"one": [1, 0, 0, 0, 0]}))["one"][0] == "Gene1"
+def plain_markers(a, p, threshold, targets=None):
+    """Marker places by target, with loops; rows of zeros mark nothing."""
+    k = a.shape[1]
+    targets = np.eye(k) if targets is None else np.asarray(targets, float)
+    scaled = a * p.max(axis=0)
+    top = scaled.max(axis=1, keepdims=True)
+    rows = [i for i in range(len(a)) if top[i] > 0]
+    score = {(i, t): round(float(np.sqrt(((scaled[i] / top[i] - x) ** 2).sum())), 9) for i in rows for t, x in enumerate(targets)}
+    rank = {}
+    for t in range(len(targets)):
+        for place, i in enumerate(sorted(rows, key=lambda i: (score[i, t], i))):
+            rank[i, t] = place + 1
+    out = []
+    for t in range(len(targets)):
+        order = sorted(rows, key=lambda i: rank[i, t])
+        if threshold == "all":
+            out.append([i for i in order if min(range(len(targets)), key=lambda x: (rank[i, x], x)) == t])
+        else:
+            own = []
+            for i in order:
+                if rank[i, t] > min(rank[i, x] for x in range(len(targets))):
+                    break
+                own.append(i)
+            out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("threshold", ["all", "cut"])
+@pytest.mark.parametrize("seed", range(4))
+def test_markers_against_plain_loops(spark, threshold, seed):
+    rng = np.random.default_rng(seed)
+    a, p = rng.integers(0, 4, (14, 4)).astype(float), rng.integers(1, 5, (9, 4)).astype(float)
+    a[3] = 0  # no direction
+    a[8:10] = a[6:8]  # ties
+    got = lists(markers.pattern_markers(factor(spark, a, "g"), factor(spark, p, "s"), threshold))
+    assert got == {f"Pattern_{t + 1}": [f"g{i + 1}" for i in own] for t, own in enumerate(plain_markers(a, p, threshold))}
+    two = [[1, 1, 0.5, 0], [0, 0, 0, 1]]
+    got = lists(markers.pattern_markers(factor(spark, a, "g"), factor(spark, p, "s"), threshold, lp={"x": two[0], "y": two[1]}))
+    assert [got["x"], got["y"]] == [[f"g{i + 1}" for i in own] for own in plain_markers(a, p, threshold, two)]
+    swapped = lists(markers.pattern_markers(factor(spark, a, "g"), factor(spark, p, "s"), threshold, axis=2))
+    assert swapped == {f"Pattern_{t + 1}": [f"s{i + 1}" for i in own] for t, own in enumerate(plain_markers(p, a, threshold))}
+
+
+def test_marker_arguments(spark):
+    a = factor(spark, np.eye(3), "g")
     with pytest.warns(UserWarning):
-        markers.pattern_markers(a, ones, lp={"short": [1, 0]})
+        markers.pattern_markers(a, a, lp={"short": [1, 0]})
     with pytest.raises(ValueError):
-        markers.pattern_markers(a, ones, lp={"two": [2, 0, 0, 0, 0]})
+        markers.pattern_markers(a, a, lp={"two": [2, 0, 0]})
     with pytest.raises(ValueError):
-        markers.pattern_markers(a, ones, axis=3)
+        markers.pattern_markers(a, a, axis=3)
 
 
 # --- statistics -------------------------------------------------------------------
@@ -113,6 +141,14 @@ def test_enrichment_finds_a_planted_set(spark):
     assert genesets.significant(genesets.enrichment(a, sets, 50)).count() >= 1
 
 
+def test_no_plan_pairs_genes_with_sets(spark):
+    a = factor(spark, np.random.default_rng(1).gamma(1, 1, (40, 2)), "g").withColumn("sd", F.lit(0.5))
+    sets = spark.createDataFrame([("s", f"g{i}") for i in range(1, 7)] + [("t", f"g{i}") for i in range(5, 25)], "gene_set string, name string")
+    for out in (genesets.set_statistics(a, sets, 20), genesets.enrichment_scores(a, sets), genesets.enrichment(a, sets, 20)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_hypergeometric_and_adjustment(spark):
     for total, good, drawn in ((10, 4, 3), (60, 20, 15)):
         for k in range(drawn + 1):
@@ -171,10 +207,10 @@ def test_sets(spark):
     assert subsets.uniform_sets(ids.repartition(5), 3, 7).orderBy("set_id", "pos").collect() == a
     w = subsets.weighted_sets(spark, ["x"] * 6 + ["y"] * 6, {"x": 1, "y": 0}, 2, 1).collect()
     assert len(w) == 12 and all(r.idx < 6 for r in w)
-    e = subsets.explicit_sets(spark, (("b", "a"), ("c",)), {"a": 0, "b": 1, "c": 2}).collect()
+    e = subsets.explicit_sets(spark, (("b", "a"), ("c",)), spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, name string")).orderBy("set_id", "pos").collect()
     assert [(r.set_id, r.pos, r.idx) for r in e] == [(0, 0, 1), (0, 1, 0), (1, 0, 2)]
     with pytest.raises(ValueError):
-        subsets.explicit_sets(spark, (("q",),), {"a": 0})
+        subsets.explicit_sets(spark, (("q",),), spark.createDataFrame([(0, "a")], "idx long, name string"))
     with pytest.raises(ValueError):
         subsets.check_sizes(subsets.uniform_sets(ids, 5, 1), 3)
 
@@ -213,6 +249,13 @@ def test_sparse_run_beyond_the_dense_limit(spark):
     small = factorize.from_numpy(spark, planted(4) * (rng.random((30, 16)) < 0.3))
     a, p = (factor(spark, rng.random((n, 3)), "x") for n in (30, 16))
     assert np.isclose(matrix.chi_square_cells(small, a, p).first()[0], matrix.chi_square(small, a, p).first()[0], rtol=1e-9)
+    residual = matrix.residuals(small, a, p).agg(F.sum(F.col("residual") * F.col("residual"))).first()[0]
+    assert np.isclose(matrix.chi_square(small, a, p).first()[0], residual, rtol=1e-9)
+    sigma = small.withColumn("value", 0.3 + F.col("value"))
+    residual = matrix.residuals(small, a, p, sigma).agg(F.sum(F.col("residual") * F.col("residual"))).first()[0]
+    assert np.isclose(matrix.chi_square(small, a, p, sigma).first()[0], residual, rtol=1e-9)
+    plan = matrix.chi_square(small, a, p)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan.replace("BroadcastNestedLoopJoin BuildRight, Inner", "", 1) and "Cartesian" not in plan
     with pytest.raises(Exception, match="too large"):
         factorize.factorize(cell, params.with_(sparse=False), shape=(rows, cols)).factors.count()
 
@@ -252,7 +295,39 @@ def test_explicit_sets_fixed_patterns_and_errors(spark):
     with pytest.raises(ValueError):
         factorize.factorize(cell, Params(3, n_iterations=5, seed=1, sparse=True), uncertainty=cell)
     part = factorize.factorize(cell, Params(3, n_iterations=10, seed=1, subset_indices=(3, 1, 3, 9, 8), subset_dim=1))
-    assert part.feature_loadings.count() == 15
+    assert part.feature_loadings.count() == 15 and part.metadata["total_updates"] > 0 and part.metadata["total_seconds"] > 0 and part.metadata["average_batch"]["A"] > 0
+
+
+def test_names_follow_the_transpose_and_the_subset(spark):
+    cell = factorize.from_numpy(spark, planted(2))
+    dims = spark.createDataFrame([("A", i, f"gene{i}") for i in range(30)] + [("P", j, f"sample{j}") for j in range(16)], "axis string, idx long, name string")
+    names = lambda frame: [r.name for r in frame.where("k = 0").orderBy("idx").collect()]
+    part = factorize.factorize(cell, Params(3, n_iterations=4, seed=1, subset_indices=(9, 3, 11, 5, 7), subset_dim=1), dims=dims)
+    assert names(part.feature_loadings) == ["gene8", "gene2", "gene10", "gene4", "gene6"] and names(part.sample_factors) == [f"sample{j}" for j in range(16)]
+    part = factorize.factorize(cell, Params(3, n_iterations=4, seed=1, subset_indices=(2, 16, 2, 9), subset_dim=2))
+    assert names(part.sample_factors) == ["Sample_2", "Sample_16", "Sample_2", "Sample_9"]
+    flipped = factorize.factorize(cell, Params(3, n_iterations=4, seed=1, subset_indices=(5, 1, 2, 3), subset_dim=1), dims=dims, transpose=True)
+    assert names(flipped.feature_loadings) == ["sample4", "sample0", "sample1", "sample2"] and names(flipped.sample_factors) == [f"gene{i}" for i in range(30)]
+    own = factorize.factorize(cell, Params(3, n_iterations=4, seed=1, subset_indices=(30, 1, 2, 3), subset_dim=1, gene_names=tuple(f"n{i}" for i in range(30))), dims=dims)
+    assert names(own.feature_loadings) == ["n29", "n0", "n1", "n2"]
+    with pytest.raises(ValueError):
+        factorize.factorize(cell, Params(3, n_iterations=4, seed=1, subset_indices=(31, 1, 2, 3), subset_dim=1))
+    with pytest.raises(ValueError):
+        factorize.factorize(cell, Params(3, n_iterations=4, seed=1, gene_names=("x",)))
+
+
+def test_two_stage_run_continues_from_its_checkpoints(spark, tmp_path):
+    cell = factorize.from_numpy(spark, planted(7))
+    params = Params(3, n_iterations=30, seed=9, distributed="genome-wide", n_sets=3, min_ns=1)
+    key = lambda out: out.factors.orderBy("axis", "idx", "k").collect()
+    straight = key(factorize.factorize(cell, params))
+    folder = str(tmp_path / "states")
+    assert key(factorize.factorize(cell, params.with_(checkpoint_interval=13, checkpoint_path=folder))) == straight
+    import shutil
+
+    shutil.rmtree(f"{folder}/stage2/000005")  # lost before its last stop
+    shutil.rmtree(f"{folder}/stage2/000004")
+    assert key(factorize.factorize(cell, params.with_(checkpoint_interval=13, checkpoint_path=folder))) == straight
 
 
 def test_checkpointed_run_equals_a_straight_one(spark, tmp_path):
