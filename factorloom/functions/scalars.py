@@ -115,6 +115,27 @@ def dot_difference(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
 # --- columns -----------------------------------------------------------------
 
 
+def place_of_max(v: Column) -> Column:
+    """The first place, from 0, of the largest value of an array."""
+    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+
+
+def all_zero(v: Column) -> Column:
+    return ~F.exists(v, lambda x: x != 0)
+
+
+def dot_difference_of(a: Column, b: Column, c: Column) -> Column:
+    """a . (b - c) of arrays."""
+    terms = F.zip_with(a, F.zip_with(b, c, lambda x, y: x - y), lambda x, y: x * y)
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+
+def clock(seconds: Column) -> Column:
+    """Whole seconds as hh:mm:ss."""
+    s = seconds.cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
 def default_sigma(value: Column) -> Column:
     return F.greatest(0.1 * value, F.lit(0.1))
 

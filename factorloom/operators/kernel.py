@@ -41,6 +41,10 @@ RISE = 2.0
 LEAST_UPDATES = 10
 
 
+def heat(phase: str, iteration: int, iterations: int) -> float:
+    return min(1.0, RISE * iteration / iterations) if phase == "equilibration" else 1.0
+
+
 # --- draws -------------------------------------------------------------------
 
 #: The normal distribution on a grid, error under 1e-8, for interpolation both ways.
@@ -358,12 +362,12 @@ class Chain:
         """One iteration, and what is recorded of it."""
         p = self.params
         self.iteration += 1
-        heat = min(1.0, RISE * self.iteration / p.n_iterations) if self.phase == "equilibration" else 1.0
+        warmth = heat(self.phase, self.iteration, p.n_iterations)
         for name, side, other, rows in (("A", self.a, self.p, self.data[0]), ("P", self.p, self.a, self.data[1])):
             steps = int(self.rng.poisson(max(side.atoms, LEAST_UPDATES)))
             self.updates += steps
             if p.fixed != name:
-                side.sweep(self.rng, steps, *rows.coefficients(other.matrix), heat)
+                side.sweep(self.rng, steps, *rows.coefficients(other.matrix), warmth)
         if self.phase == "sampling":
             self.collect()
         if p.output_frequency and (self.iteration % p.output_frequency == 0 or self.iteration == p.n_iterations):

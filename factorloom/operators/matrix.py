@@ -178,11 +178,14 @@ def gram(factor: DataFrame) -> DataFrame:
 
 
 def chi_square_cells(cell: DataFrame, a: DataFrame, p: DataFrame) -> DataFrame:
-    """:func:`chi_square` under the default sigma without the grid: where there is no value, (m / 0.1)^2."""
+    """:func:`chi_square` under the default sigma: cells with a value one by one, and the square of
+    the product over all cells less that over those."""
     whole = gram(a).join(gram(p).withColumnRenamed("g", "h"), ["k", "l"]).agg(F.sum(F.col("g") * F.col("h")).alias("whole"))
     d, m, s = F.col("value"), F.col("m"), F.col("sigma")
-    there = product_at(with_sigma(positive(cell)), a, p).agg(F.coalesce(F.sum((d - m) * (d - m) / (s * s) - 100 * m * m), F.lit(0.0)).alias("there"))
-    return whole.join(F.broadcast(there)).select((100 * F.coalesce("whole", F.lit(0.0)) + F.col("there")).alias("chisq"))  # one row each
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    there = product_at(with_sigma(positive(cell)), a, p).agg(zero((d - m) * (d - m) / (s * s)).alias("there"), zero(m * m).alias("squares"))
+    absent = F.greatest(F.coalesce("whole", F.lit(0.0)) - F.col("squares"), F.lit(0.0))
+    return whole.join(F.broadcast(there)).select((F.col("there") + 100 * absent).alias("chisq"))  # one row each
 
 
 def chi_square_sparse(cell: DataFrame, a: DataFrame, p: DataFrame, beta: float = 100.0) -> DataFrame:

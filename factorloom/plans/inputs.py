@@ -21,6 +21,7 @@ p AS (SELECT j, k, avg(disc) AS mean, stddev_samp(disc) AS sd FROM lines GROUP B
 sets AS (SELECT b.type AS gene_set, b.name FROM (SELECT type, name, avg(q) AS m FROM lines GROUP BY type, name) b JOIN (SELECT type, avg(q) AS m FROM lines GROUP BY type) t ON b.type = t.type
          WHERE round(b.m, 9) > round(t.m, 9)),
 grid AS (SELECT a.i, p.j, sum(a.mean * p.mean) AS m FROM a JOIN p ON a.k = p.k GROUP BY a.i, p.j),
+m AS (SELECT i - 1 AS i, CAST(iter - 1 AS BIGINT) AS j, sum(q) AS value FROM lines GROUP BY i, iter),
 samples AS (SELECT iter, i AS idx, k, round(avg(q), 6) AS mean FROM lines GROUP BY iter, i, k)
 """
 
@@ -48,10 +49,8 @@ def a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the lines are read: the brand join keeps every line, so it is left out here."""
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_discount", "l_returnflag")
-    k = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return item.groupBy(F.col("l_suppkey").alias("idx"), k.alias("k")).agg(F.avg("l_discount").alias("mean"), F.stddev_samp("l_discount").alias("sd")).withColumn("name", F.concat(F.lit("S"), F.col("idx").cast("string")))
+    sold = lines(spark, sf_dir).groupBy(F.col("j").alias("idx"), "k").agg(F.avg("disc").alias("mean"), F.stddev_samp("disc").alias("sd"))
+    return sold.withColumn("name", F.concat(F.lit("S"), F.col("idx").cast("string")))
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +63,13 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("iter", F.col("i").alias("idx"), "k").agg(F.round(F.avg("q"), 6).alias("mean"))
+
+
+def m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of brands x line numbers, from 0: quantities."""
+    by = lines(spark, sf_dir).groupBy("i", "iter").agg(F.sum("q").alias("value"))
+    return by.select((F.col("i") - 1).alias("i"), (F.col("iter") - 1).cast("long").alias("j"), "value")
+
+
+def zero_based(cell: DataFrame) -> DataFrame:
+    return cell.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "value")

@@ -6,27 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Params
-from ..operators import consensus, factorize, genesets, manova, markers, matrix, subsets
+from ..operators import consensus, factorize, genesets, manova, markers, matrix, plots, subsets
+from ..functions import keyed
 from . import inputs
+from .base import ITERATIONS, ORACLE_SQL, QUERIES
+from .base import query as _query
+from .base import rounded as _r
 from .inputs import SQL as _INPUTS
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = _INPUTS + sql
-        return f
-
-    return register
-
-
-def _r(column: str, digits: int = 6, name: str | None = None):
-    return F.round(column, digits).alias(name or column)
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 @_query("SELECT g.i, g.j, round((coalesce(d.value, 0) - g.m) / greatest(0.1 * coalesce(d.value, 0), 0.1), 5) AS residual FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j")
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,10 +76,11 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     """SELECT CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE value < 0) AS BIGINT) AS n_negative, count(*) FILTER (WHERE value > 0) AS n_positive,
-       count(DISTINCT i) AS n_rows, count(DISTINCT j) AS n_cols, round(max(value), 6) AS largest, max(value) > 50 AS maybe_not_logged FROM d"""
+       count(DISTINCT i) AS n_rows, count(DISTINCT j) AS n_cols, round(max(value), 6) AS largest, max(value) > 50 AS maybe_not_logged,
+       round(1 - count(*) FILTER (WHERE value > 0) / (count(DISTINCT i) * count(DISTINCT j)), 6) AS zero_share, 1 - count(*) FILTER (WHERE value > 0) / (count(DISTINCT i) * count(DISTINCT j)) > 0.8 AS maybe_sparse FROM d"""
 )
 def validation(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.validation(inputs.d(spark, sf)).select("n_missing", "n_negative", "n_positive", "n_rows", "n_cols", _r("largest"), "maybe_not_logged")
+    return matrix.validation(inputs.d(spark, sf)).select("n_missing", "n_negative", "n_positive", "n_rows", "n_cols", _r("largest"), "maybe_not_logged", _r("zero_share"), "maybe_sparse")
 
 
 @_query("SELECT i, j, round(ln(1 + value / sum(value) OVER (PARTITION BY j) * 10000), 5) AS value FROM d")
@@ -247,11 +236,12 @@ x AS (SELECT *, unnest(generate_series(greatest(overlap, n_markers + size - tota
 pr AS (SELECT lp, gene_set, overlap, size, n_markers, least(1.0, sum(exp(lgamma(size + 1) - lgamma(h + 1) - lgamma(size - h + 1) + lgamma(total - size + 1) - lgamma(n_markers - h + 1) - lgamma(total - size - n_markers + h + 1)
        - lgamma(total + 1) + lgamma(n_markers + 1) + lgamma(total - n_markers + 1)))) AS p FROM x GROUP BY ALL),
 b AS (SELECT *, p * count(*) OVER (PARTITION BY lp) / count(*) OVER (PARTITION BY lp ORDER BY p RANGE UNBOUNDED PRECEDING) AS scaled FROM (SELECT lp, gene_set, overlap, size, n_markers, round(p, 9) AS p FROM pr))
-SELECT lp, gene_set, overlap, size, n_markers, round(p, 6) AS p, round(least(1.0, min(scaled) OVER (PARTITION BY lp ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS padj, round(overlap / size, 6) AS ratio FROM b"""
+SELECT lp, gene_set, overlap, size, n_markers, round(p, 6) AS p, round(least(1.0, min(scaled) OVER (PARTITION BY lp ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS padj, round(overlap / size, 6) AS ratio,
+       round(-10 * log10(least(1.0, min(scaled) OVER (PARTITION BY lp ORDER BY p DESC RANGE UNBOUNDED PRECEDING))), 4) + 0.0 AS neg_log_padj FROM b"""
 )
 def overrepresentation(spark: SparkSession, sf: str) -> DataFrame:
     found = markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf))
-    return genesets.overrepresentation(found, inputs.sets(spark, sf)).select("lp", "gene_set", "overlap", "size", "n_markers", _r("p"), _r("padj"), _r("ratio"))
+    return genesets.overrepresentation(found, inputs.sets(spark, sf)).select("lp", "gene_set", "overlap", "size", "n_markers", _r("p"), _r("padj"), _r("ratio"), _r("neg_log_padj", 4))
 
 
 @_query(
@@ -268,51 +258,173 @@ def enrichment_scores(spark: SparkSession, sf: str) -> DataFrame:
 _PILLAI = """, x AS (SELECT p.j AS idx, p.k, p.mean, s.s_nationkey AS first, floor(s.s_acctbal / 1000) AS second FROM p JOIN supplier s ON s.s_suppkey = p.j),
 y AS (SELECT idx, k, mean, dense_rank() OVER (ORDER BY first) AS first, dense_rank() OVER (ORDER BY second) AS second FROM x),
 s AS (SELECT k, count(*) AS n, corr(mean, first) AS r1, corr(mean, second) AS r2, corr(first, second) AS r12 FROM y GROUP BY k)
-SELECT k, n, round((r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12), 6) AS pillai FROM s"""
+SELECT k, n, round(v, 6) AS pillai, round(v / (1 - v) * (n - 3) / 2, 4) AS f, round(pow(1 - v, (n - 3) / 2), 6) AS p
+FROM (SELECT *, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS v FROM s)"""
 
 
 @_query(_PILLAI)
 def manova_pillai(spark: SparkSession, sf: str) -> DataFrame:
     supplier = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").alias("first"), F.floor(F.col("s_acctbal") / 1000).alias("second"))
     sold = supplier.join(inputs.p(spark, sf).select("idx").distinct(), "idx", "left_semi")
-    return manova.manova(sold, inputs.p(spark, sf), "first", "second").select("k", "n", _r("pillai"))
+    return manova.manova(sold, inputs.p(spark, sf), "first", "second").select("k", "n", _r("pillai"), _r("f", 4), _r("p"))
+
+
+# --- permutations ---------------------------------------------------------------
+
+_PERMUTATIONS = 1000
+_STATISTICS = f""", z AS (SELECT i AS idx, name, k, mean / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END AS z FROM a),
+zp AS (SELECT z.*, n.place FROM z JOIN (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS place FROM (SELECT DISTINCT idx FROM z)) n USING (idx)),
+own AS (SELECT DISTINCT gene_set, name FROM sets),
+size0 AS (SELECT gene_set, count(*) AS n FROM own GROUP BY gene_set),
+actual AS (SELECT gene_set, k, avg(z) AS actual FROM z JOIN own USING (name) GROUP BY gene_set, k),
+{keyed.distinct_places_sql("size0", "SELECT count(DISTINCT idx) FROM z", _PERMUTATIONS, 1)},
+nulls AS (SELECT n, perm, k, avg(z) AS m FROM drawn JOIN zp USING (place) GROUP BY n, perm, k),
+stats AS (SELECT gene_set, k, sum(CASE WHEN round(actual, 12) < round(m, 12) THEN 1 ELSE 0 END) / {_PERMUTATIONS}.0 AS up FROM actual JOIN size0 USING (gene_set) JOIN nulls USING (n, k) GROUP BY gene_set, k)
+"""
+
+
+@_query(_STATISTICS + f"SELECT gene_set, k, round(up, 6) AS up, round(1 - up, 6) AS down, round(1 - 2 * up, 6) AS activity, round(greatest(least(up, 1 - up), 1.0 / {_PERMUTATIONS}), 6) AS two_sided FROM stats")
+def set_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    out = genesets.set_statistics(inputs.a(spark, sf), inputs.sets(spark, sf), _PERMUTATIONS)
+    return out.select("gene_set", "k", _r("up"), _r("down"), _r("activity"), _r("two_sided"))
+
+
+_GENES = _STATISTICS + """, w AS (SELECT k, -ln(CASE WHEN up > 0 THEN up ELSE 0.0005 END) AS w FROM stats WHERE gene_set = 'SMALL'),
+sums AS (SELECT idx, name, name IN (SELECT name FROM own WHERE gene_set = 'SMALL') AS is_own, sum(z * w) AS zw, sum(w) AS w, sum(z) AS z FROM z JOIN w USING (k) GROUP BY idx, name),
+gs AS (SELECT idx, name, is_own, CASE WHEN z < 1e-6 OR w < 1e-6 THEN 0.0 ELSE zw / w / z END AS stat FROM sums)
+"""
+
 
+@_query(_GENES + "SELECT idx, name, round(stat, 6) AS stat FROM gs WHERE is_own")
+def gene_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    one = inputs.sets(spark, sf).where("gene_set = 'SMALL'")
+    found = genesets.set_statistics(inputs.a(spark, sf), one, _PERMUTATIONS)
+    return genesets.gene_statistics(inputs.a(spark, sf), one, found).select("idx", "name", _r("stat"))
 
-# --- without an SQL twin: chains and permutations ------------------------------
+
+@_query(_GENES + "SELECT o.name, round(avg(CASE WHEN round(n.stat, 12) > round(o.stat, 12) THEN 1.0 ELSE 0.0 END), 6) AS p FROM gs o CROSS JOIN gs n WHERE o.is_own AND NOT n.is_own GROUP BY o.name")
+def gene_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.gene_probabilities(inputs.a(spark, sf), inputs.sets(spark, sf).where("gene_set = 'SMALL'"), _PERMUTATIONS).select("name", _r("p"))
+
+
+_ENRICHMENT = f""", rk AS (SELECT k, name, round(mean, 9) AS score, row_number() OVER (PARTITION BY k ORDER BY round(mean, 9) DESC, name) AS place, count(*) OVER (PARTITION BY k) AS g FROM a),
+own AS (SELECT DISTINCT gene_set, name FROM sets),
+hit AS (SELECT k, gene_set, name, place, score, g, row_number() OVER w AS i, count(*) OVER (PARTITION BY k, gene_set) AS n, sum(score) OVER w AS part, sum(score) OVER (PARTITION BY k, gene_set) AS whole FROM rk JOIN own USING (name) WINDOW w AS (PARTITION BY k, gene_set ORDER BY place)),
+run AS (SELECT *, round(part / whole - (place - i) / greatest(g - n, 1), 12) AS run FROM hit),
+es AS (SELECT k, gene_set, any_value(n) AS n, greatest(max(run), 0) AS es, arg_max(place, run - place * 1e-15) AS peak FROM run GROUP BY k, gene_set),
+edge AS (SELECT k, gene_set, string_agg(name, ',' ORDER BY place) AS leading_edge FROM run JOIN es USING (k, gene_set) WHERE place <= peak GROUP BY k, gene_set),
+{keyed.distinct_places_sql("es", "SELECT count(DISTINCT name) FROM a", _PERMUTATIONS, 1)},
+nh AS (SELECT n, perm, k, rk.place, g, row_number() OVER w AS i, sum(score) OVER w AS part, sum(score) OVER (PARTITION BY n, perm, k) AS whole FROM drawn JOIN rk ON rk.place = drawn.place + 1 WINDOW w AS (PARTITION BY n, perm, k ORDER BY rk.place)),
+ne AS (SELECT n, perm, k, greatest(max(round(part / whole - (place - i) / greatest(g - n, 1), 12)), 0) AS nes FROM nh GROUP BY n, perm, k),
+t AS (SELECT es.k, gene_set, es.n AS size, es, (sum(CASE WHEN nes >= es THEN 1 ELSE 0 END) + 1) / ({_PERMUTATIONS} + 1) AS p, avg(nes) AS center FROM es JOIN ne ON ne.n = es.n AND ne.k = es.k GROUP BY es.k, gene_set, es.n, es),
+bh AS (SELECT *, p * count(*) OVER (PARTITION BY k) / count(*) OVER (PARTITION BY k ORDER BY p RANGE UNBOUNDED PRECEDING) AS scaled FROM t)
+SELECT k, gene_set, size, round(es, 6) AS es, round(es / center, 5) AS nes, round(p, 6) AS p, round(padj, 6) AS padj, round(-10 * log10(padj), 4) + 0.0 AS neg_log_padj, leading_edge
+FROM (SELECT *, least(1.0, min(scaled) OVER (PARTITION BY k ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS padj FROM bh) JOIN edge USING (k, gene_set)"""
+
+
+@_query(_ENRICHMENT)
+def enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = inputs.a(spark, sf).withColumn("mean", F.round("mean", 9))
+    out = genesets.enrichment(ranked, inputs.sets(spark, sf), _PERMUTATIONS)
+    return out.select("k", "gene_set", "size", _r("es"), _r("nes", 5), _r("p"), _r("padj"), _r("neg_log_padj", 4), "leading_edge")
+
+
+@_query(
+    f""", size0 AS (SELECT gene_set, count(*) AS n FROM (SELECT DISTINCT gene_set, name FROM sets) GROUP BY gene_set), {keyed.distinct_places_sql("size0", "SELECT count(DISTINCT i) FROM a", 20, 7)}
+SELECT n, perm, place FROM drawn"""
+)
+def permuted_places(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = inputs.sets(spark, sf).groupBy("gene_set").agg(F.count(F.lit(1)).alias("n"))
+    places, total = genesets.placed(inputs.a(spark, sf))
+    return genesets.permuted_places(sizes, total, 20, 7)
+
+
+@_query(
+    f"""{_ORA.join([", mk AS (", ")"])},
+n AS (SELECT lp, count(*) AS n_markers FROM mk WHERE is_marker GROUP BY lp)
+SELECT lp, n_markers AS n, CAST(sum(n_markers) OVER (ORDER BY lp ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM n"""
+)
+def marker_separators(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.separators(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf))).select("lp", "n", F.col("upto").cast("long").alias("upto"))
 
 
-def _zero_based(cell: DataFrame) -> DataFrame:
-    return cell.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "value")
+@_query(f"""{_ORA.join([", mk AS (", ")"])} SELECT lp, string_agg(name, ',' ORDER BY rank) AS names FROM mk WHERE is_marker GROUP BY lp""")
+def marker_lists(spark: SparkSession, sf: str) -> DataFrame:
+    found = markers.marker_lists(markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf)))
+    return found.select("lp", F.array_join("names", ",").alias("names")).where("names != ''")
+
+
+# --- tables behind figures --------------------------------------------------------
+
+
+@_query("SELECT 'Pattern_' || CAST(k + 1 AS VARCHAR) AS pattern, j AS x, 'S' || CAST(j AS VARCHAR) AS name, round(mean, 6) AS y FROM p")
+def pattern_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.pattern_lines(inputs.p(spark, sf)).select("pattern", "x", "name", _r("y"))
+
+
+@_query(
+    """SELECT pattern, dense_rank() OVER (ORDER BY "group") - 1 AS x, "group", n, y FROM (
+SELECT 'Pattern_' || CAST(k + 1 AS VARCHAR) AS pattern, s_nationkey AS "group", count(*) AS n, round(avg(mean), 6) AS y FROM p JOIN supplier ON s_suppkey = j GROUP BY ALL)"""
+)
+def pattern_lines_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    groups = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").alias("group"))
+    return plots.pattern_lines(inputs.p(spark, sf), groups).select("pattern", "x", "group", "n", _r("y"))
+
+
+@_query(
+    """SELECT i, j, round(greatest(least(r, 5), -5), 5) AS shade FROM (
+SELECT g.i, g.j, (coalesce(d.value, 0) - g.m) / greatest(0.1 * coalesce(d.value, 0), 0.1) AS r FROM grid g LEFT JOIN d ON g.i = d.i AND g.j = d.j)"""
+)
+def residual_map(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.residual_map(matrix.residuals(inputs.d(spark, sf), inputs.a(spark, sf), inputs.p(spark, sf))).select("i", "j", _r("shade", 5))
+
+
+_BARS = ORACLE_SQL["overrepresentation"].removeprefix(_INPUTS).replace("SELECT lp, gene_set, overlap, size, n_markers, round(p, 6) AS p,", ", bars AS (SELECT lp, gene_set, overlap, size, n_markers, round(p, 6) AS p,") + ")"
+
+
+@_query(_BARS + " SELECT lp, gene_set, padj, neg_log_padj FROM bars WHERE padj < 0.9")
+def significant_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return genesets.significant(overrepresentation(spark, sf), 0.9).select("lp", "gene_set", "padj", "neg_log_padj")
+
+
+@_query(_BARS + " SELECT lp, gene_set, neg_log_padj, round(-10 * log10(0.9), 6) AS line FROM bars WHERE padj < 0.9")
+def set_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.set_bars(overrepresentation(spark, sf), 0.9).select("lp", "gene_set", "neg_log_padj", _r("line"))
+
+
+@_query(
+    f"""{_ORA.join([", mk AS (", ")"])}, mine AS (SELECT mk.lp, mk.rank, mk.idx AS i, mk.name, d.j, d.value FROM mk JOIN d ON d.i = mk.idx WHERE is_marker)
+SELECT lp, rank, i, name, j, round(value, 6) AS value, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 5) AS scaled FROM mine WINDOW w AS (PARTITION BY lp, i)"""
+)
+def marker_heat_map(spark: SparkSession, sf: str) -> DataFrame:
+    found = markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf))
+    return plots.marker_heat_map(inputs.d(spark, sf), found).select("lp", "rank", "i", "name", "j", _r("value"), _r("scaled", 5))
+
+
+# --- without an SQL twin: chains ---------------------------------------------------
 
 
 @_query()
 def factorization(spark: SparkSession, sf: str) -> DataFrame:
-    cell = _zero_based(inputs.d(spark, sf))
-    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, output_frequency=10)).factors
+    cell = inputs.zero_based(inputs.d(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=ITERATIONS, seed=42)).factors
 
 
 @_query()
 def factorization_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    cell = _zero_based(inputs.d_sparse(spark, sf))
-    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, sparse=True)).factors
+    cell = inputs.zero_based(inputs.d_sparse(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=ITERATIONS // 10, seed=42, sparse=True)).factors
 
 
 @_query()
 def two_stage_factorization(spark: SparkSession, sf: str) -> DataFrame:
-    cell = _zero_based(inputs.d(spark, sf))
-    return factorize.factorize(cell, Params(3, n_iterations=40, seed=42, distributed="genome-wide", n_sets=3, min_ns=1)).factors
-
-
-@_query()
-def set_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return genesets.set_statistics(inputs.a(spark, sf), inputs.sets(spark, sf), 200)
+    cell = inputs.zero_based(inputs.d(spark, sf))
+    return factorize.factorize(cell, Params(3, n_iterations=ITERATIONS, seed=42, distributed="genome-wide", n_sets=3, min_ns=1)).factors
 
 
 @_query()
-def enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    return genesets.enrichment(inputs.a(spark, sf), inputs.sets(spark, sf), 100)
+def marker_tree_order(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.tree_order(inputs.d(spark, sf))
 
 
-@_query()
-def gene_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    return genesets.gene_probabilities(inputs.a(spark, sf), inputs.sets(spark, sf).where("gene_set = 'SMALL'"), 100)
+from . import chains, files, scalars  # noqa: E402, F401  (they register their queries)

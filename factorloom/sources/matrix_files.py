@@ -1,8 +1,7 @@
 """Matrix files as tables of cells, and results as files.
 
 Readers use Spark's own, so any store that Spark reads will do.  A file's lines are
-numbered by the byte places that Spark's text reader keeps in order within a file:
-rows are numbered by their place among the file's lines (``_row_numbers``).
+numbered by the places that Spark's text reader keeps in order within a split (``_lines``).
 """
 
 from __future__ import annotations
@@ -44,19 +43,22 @@ def parse_number(token: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """n, value: the lines of one file, numbered from 0.
+    """n, value: the lines of one file, or of a folder's files in the order of their names, numbered from 0.
 
     The text reader's splits are consecutive, and so are the ids it gives lines within
-    one; ranking ids by window needs the lines' ids only.
+    one, so only the splits' numbers of lines are summed.
     """
     raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    keyed = raw.select(F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("at"), "value")
+    keyed = raw.select(F.monotonically_increasing_id().alias("id"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("at"), "value")
     part = F.shiftright("id", 33)
     inside = F.col("id").bitwiseAND((1 << 33) - 1)
     counted = keyed.select("at", part.alias("part"), inside.alias("place"), "value")
-    # One row per split: how many lines come before it.
-    before = counted.groupBy("at", "part").agg((F.max("place") + 1).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return counted.join(F.broadcast(before.select("at", "part", "before")), ["at", "part"]).select((F.col("before") + F.col("place")).alias("n"), "value")
+    # One row per split: where its first line stands, since a task may read several splits, and how many lines come before.
+    splits = counted.groupBy("at", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = splits.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = F.row_number().over(Window.partitionBy("at", "part").orderBy("place")) - 1
+    numbered_lines = counted.withColumn("kept", kept).join(F.broadcast(before.select("at", "part", "before")), ["at", "part"])
+    return numbered_lines.select((F.col("before") + F.col("kept")).cast("long").alias("n"), "value")
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str, skip: int = 0, drop: int | None = None) -> tuple[DataFrame, DataFrame]:
