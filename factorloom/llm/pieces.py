@@ -209,7 +209,7 @@ class Encoder:
     """
 
     #: Bytes of words and ids kept; the store starts anew beyond it, which changes no result.
-    KEPT = 64 << 20
+    KEPT = 112 << 20
     #: Words of more characters aren't kept: their texts are encoded whole.
     LONGEST = 256
 
