@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, gif, minhash, packing, pieces, pii, quality, secrets, suffix_dedup, token_counts
+from .common import checkpointed
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -57,6 +58,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("quantile", F.round("quantile", 9))
 
 
+# --- parts of the operators' results that SQL can repeat ------------------------------------
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 says of equal texts."""
+    return op1_minhash(spark, sf_dir).select("doc_id", "copy_of")
+
+
+def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of op2's operator over lengths in bytes, and whether each lies within its bin."""
+    lengths = _documents(spark, sf_dir).select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    fits = F.coalesce((F.col("bin_offset") + F.col("length") <= F.col("bin_used")) & (F.col("bin_used") <= F.col("capacity")), F.col("length") == 0)
+    return packing.pack_lengths(lengths).select("doc_id", "piece", "start", "length", fits.alias("fits"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def sentencepiece_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of op4's rows agree with the model's own library, and decode to their whole text."""
+    same = F.col("decoded_sha256") == F.sha2("text", 256)
+    encoded = op4_sentencepiece(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    return encoded.groupBy("parity", same.alias("whole")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_gif(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "n_frames", "duration_ms")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_merkle_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def byte_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of op10's operator over lengths in bytes."""
+    lengths = _documents(spark, sf_dir).select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    return token_counts.limit_table(checkpointed(token_counts.histogram(lengths))).withColumn("quantile", F.round("quantile", 9))
+
+
+def byte_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = [i / 8 for i in range(1, 9)]
+    return token_counts.quantiles(checkpointed(byte_limits(spark, sf_dir)), shares)
+
+
+def byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.at_limits(checkpointed(byte_limits(spark, sf_dir)), _LIMITS)
+
+
+_LIMITS = (0, 1, 100, 512, 2048, 8192, 1 << 20)
+_EIGHTHS = ", ".join(f"CAST({i / 8} AS DOUBLE)" for i in range(1, 9))
+_TEXTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_BYTES = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents"
+_DIGITS = "[CAST(c AS INTEGER) FOR c IN string_split(regexp_replace(x, '[^0-9]', '', 'g'), '')]"
+_LUHN = f"""list_sum([CASE WHEN (len(ds) - i) % 2 = 0 THEN ds[i] WHEN ds[i] > 4 THEN 2 * ds[i] - 9 ELSE 2 * ds[i] END FOR i IN range(1, len(ds) + 1)])"""
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -68,5 +129,42 @@ QUERIES = {
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "copies": copies,
+    "packed_pieces": packed_pieces,
+    "pii_base_counts": pii_base_counts,
+    "sentencepiece_parity": sentencepiece_parity,
+    "secret_base_counts": secret_base_counts,
+    "media_payloads": media_payloads,
+    "edited_texts": edited_texts,
+    "byte_limits": byte_limits,
+    "byte_quantiles": byte_quantiles,
+    "byte_totals": byte_totals,
+}
+_LIMIT_TABLE = f"""WITH n AS ({_BYTES}), h AS (SELECT n AS n_tokens, count(*) AS n_docs FROM n GROUP BY n),
+c AS (SELECT *, sum(n_docs) OVER down AS docs_at_least, sum(n_docs * n_tokens) OVER down AS tokens_at_least, sum(n_docs) OVER () AS total_docs, sum(n_docs * n_tokens) OVER () AS total_tokens FROM h WINDOW down AS (ORDER BY n_tokens DESC))
+SELECT n_tokens, n_docs, CAST(docs_at_least AS BIGINT) AS docs_at_least, CAST(tokens_at_least AS BIGINT) AS tokens_at_least, CAST(total_docs AS BIGINT) AS total_docs, CAST(total_tokens AS BIGINT) AS total_tokens,
+CAST(total_tokens - tokens_at_least + n_tokens * docs_at_least AS BIGINT) AS truncated_tokens, CAST(docs_at_least - n_docs AS BIGINT) AS docs_truncated, round((total_docs - docs_at_least + n_docs) / total_docs, 9) AS quantile FROM c"""
+ORACLE_SQL: dict[str, str] = {
+    "copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy_of FROM documents",
+    "packed_pieces": f"""WITH n AS ({_BYTES}), p AS (SELECT doc_id, n, unnest(generate_series(0, greatest(CAST(floor((n - 1) / 16384) AS BIGINT), 0))) AS piece FROM n)
+SELECT doc_id, piece, piece * 16384 AS start, least(n - piece * 16384, 16384) AS length, true AS fits FROM p""",
+    "pii_base_counts": f"""WITH t AS ({_TEXTS}),
+f AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS ip,
+  regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+') AS card, regexp_extract_all(text, '[+][0-9][ ().0-9-]+[0-9]') AS phone FROM t),
+cards AS (SELECT doc_id, x, {_DIGITS} AS ds FROM (SELECT doc_id, unnest(card) AS x FROM f)),
+good AS (SELECT doc_id, count(*) AS n FROM cards WHERE len(ds) BETWEEN 12 AND 19 AND {_LUHN} % 10 = 0 GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len([x FOR x IN ip IF list_max([CAST(p AS DOUBLE) FOR p IN string_split(x, '.')]) <= 255]) AS BIGINT) AS n_ip, CAST(coalesce(good.n, 0) AS BIGINT) AS n_card,
+  CAST(len([x FOR x IN phone IF length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15]) AS BIGINT) AS n_phone FROM f LEFT JOIN good USING (doc_id)""",
+    "sentencepiece_parity": "SELECT true AS parity, true AS whole, count(*) AS n FROM documents",
+    "secret_base_counts": f"""WITH t AS ({_TEXTS})
+SELECT doc_id, CAST(len([x FOR x IN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 6]) AS BIGINT) AS n_assign,
+  CAST(len([x FOR x IN regexp_extract_all(text, 'AKIA[A-Z0-9]+') IF length(x) >= 20]) AS BIGINT) AS n_access, CAST(len([x FOR x IN regexp_extract_all(text, '[0-9a-f]+') IF length(x) >= 24]) AS BIGINT) AS n_hex FROM t""",
+    "media_payloads": f"""WITH t AS (SELECT doc_id, text, strlen(text) AS n, greatest(1, CAST(ceil(strlen(text) / 64) AS BIGINT)) AS rows FROM ({_TEXTS}))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, rows * 64 AS payload_bytes, sha256(text || repeat(chr(0), CAST(rows * 64 - n AS BIGINT))) AS payload_sha256,
+  CAST(ceil(rows / 512) AS BIGINT) AS n_frames, CAST(100 * ceil(rows / 512) AS BIGINT) AS duration_ms FROM t""",
+    "edited_texts": f"""WITH t AS ({_TEXTS}), x AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after, length(text) // 2 AS half FROM t)
+SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - half) || substring(after, 1, half)) AS edited_sha256 FROM x""",
+    "byte_limits": _LIMIT_TABLE,
+    "byte_quantiles": f"WITH n AS ({_BYTES}) SELECT unnest([{_EIGHTHS}]) AS probability, unnest(quantile_disc(n, [{_EIGHTHS}])) AS n_tokens FROM n",
+    "byte_totals": f"WITH n AS ({_BYTES}) SELECT CAST(c AS BIGINT) AS context_limit, CAST(sum(least(n, c)) AS BIGINT) AS truncated_tokens, count(*) FILTER (WHERE n > c) AS docs_truncated FROM n, (VALUES {', '.join(f'({x})' for x in _LIMITS)}) v(c) GROUP BY c",
 }
-ORACLE_SQL: dict[str, str] = {}
