@@ -52,11 +52,11 @@ from .suffix_groups import suffix_array
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Stretches of one anchor sorted together: about 1.4 million symbols, some 300 MB as lists.
 HOT = 1 << 13
 #: Symbols given to one suffix array, unless a single group of stretches has more.
-SORT_AT_ONCE = 1 << 18
+SORT_AT_ONCE = 1 << 17
 #: Fixed odd multipliers of the gram hash.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _PLACE_BITS = 20
@@ -477,9 +477,9 @@ def _plan(docs: DataFrame, length: int, hot: int, blocks: int | None, shards: in
     # Read before the exchange, which the last two steps share.
     read = docs.select(own.alias("block"), "text")
     hashes = read.mapInArrow(_anchor_rows(shards, length), "shard long, payload binary")
-    repeated = hashes.groupBy("shard").applyInArrow(_repeated(hot), "block int, payload binary")
+    repeated = hashes.repartition(parts, "shard").groupBy("shard").applyInArrow(_repeated(hot), "block int, payload binary")
     contexts = dealt.groupBy("__block").cogroup(repeated.groupBy("block")).applyInArrow(_contexts(shards, length), "shard long, block int, payload binary")
-    spans = contexts.groupBy("shard").applyInArrow(_suffix_groups(length), "block int, payload binary")
+    spans = contexts.repartition(parts, "shard").groupBy("shard").applyInArrow(_suffix_groups(length), "block int, payload binary")
     return dealt, spans
 
 
