@@ -55,6 +55,10 @@ BROADCAST_IDS = 100_000
 BLOCK = 4096
 BLOCK_BYTES = 4 << 20
 
+#: Copies of one text from which its rows are dealt over more parts, and how many.
+MANY_COPIES = 100_000
+SALTS = 64
+
 SKETCH = "doc_id long, digest string, bands array<long>, n_bytes long"
 
 
@@ -263,29 +267,33 @@ def _classes(
     bridges = late.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
 
-    classes = (
-        copies.groupBy("digest")
-        .agg(F.min("doc_id").alias("node"))
-        .join(first, "node", "left")
+    groups = copies.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    classes = checkpointed(
+        groups.join(first, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .join(second, "component", "left")
-        .select("digest", F.col("node").alias("copy_of"), F.coalesce("joined", "component").alias("class_id"))
+        .select("digest", "n", F.col("node").alias("copy_of"), F.coalesce("joined", "component").alias("class_id"))
     )
+    # Rows of large groups of copies are dealt over SALTS parts; such groups are at most one in MANY_COPIES rows.
+    large = classes.where(F.col("n") > MANY_COPIES)
+    parts = F.when(F.col("n") > MANY_COPIES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = classes.select("digest", "copy_of", "class_id", F.explode(parts).alias("salt"))
+    marked = copies.join(F.broadcast(large.select("digest", F.lit(True).alias("large"))), "digest", "left")
+    salted = marked.withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("digest"))
-    return copies.join(classes, "digest").select("doc_id", "copy_of", "class_id", "digest").unionByName(nameless)
+    return salted.join(spread, ["digest", "salt"]).select("doc_id", "copy_of", "class_id", "digest").unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents without all but the one with the least id of each class, all columns kept.
 
     Of the texts of one doc_id, those that belong to the class of a lesser id go, and of the
-    others the least stays; rows without an id stay.
+    others the one of the least digest stays; rows without an id stay.
     """
-    from pyspark.sql import Window
-
     own = _classes(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id = class_id")
-    ids = own.groupBy(F.col("class_id").alias(id_col)).agg(F.collect_set("digest").alias("__digests"))
-    order = Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`")
+    chosen = own.groupBy(F.col("class_id").alias("__id")).agg(F.min("digest").alias("__chosen"))
     digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    kept = docs.where(F.col(f"`{id_col}`").isNotNull()).join(ids, id_col).where(F.array_contains("__digests", digest)).withColumn("__place", F.row_number().over(order))
-    return kept.where("__place = 1").drop("__place").select(docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn("__digest", digest)
+    met = (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.col("__digest") == F.col("__chosen"))
+    kept = named.join(chosen, met, "left_semi").dropDuplicates([id_col, "__digest"])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

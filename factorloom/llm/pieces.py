@@ -210,7 +210,7 @@ class Encoder:
 
     #: Bytes of words and ids kept; the store starts anew beyond it, which changes no result.
     KEPT = 112 << 20
-    #: Words of more characters aren't kept: their texts are encoded whole.
+    #: Words of more characters aren't kept beyond their batch.
     LONGEST = 256
 
     def __init__(self, model: Model) -> None:
@@ -238,9 +238,6 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
         words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        for i, row in enumerate(words):
-            if row and max(map(len, row)) > self.LONGEST:
-                plain[i], words[i] = False, []
         out: list[np.ndarray] = [_NO_IDS] * len(texts)
         odd = [i for i, p in enumerate(plain) if not p]
         for i, x in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
@@ -250,15 +247,20 @@ class Encoder:
             self.kept = 0
         known = self.ids
         new = list(set().union(*words).difference(known))
+        long = []
         for w, x in zip(new, self._new_words(new), strict=True):
             known[w] = x
-            self.kept += 200 + 4 * len(w) + len(x)  # both objects' headers and the entry
+            if len(w) > self.LONGEST:
+                long.append(w)
+            else:
+                self.kept += 200 + 4 * len(w) + len(x)  # both objects' headers and the entry
         for i, row in enumerate(words):
             if plain[i]:
                 out[i] = np.frombuffer(b"".join([known[w] for w in row]), "<i4")
+        for w in long:
+            del known[w]
         return out
 
-
     def _new_words(self, words: list[str], at_once: int = 256) -> Iterator[bytes]:
         """The ids of each word; words travel in rows, whose ids part where markers begin."""
         rows = [words[i : i + at_once] for i in range(0, len(words), at_once)]

@@ -127,6 +127,20 @@ def test_repeated_id_keeps_the_text_that_no_lesser_id_has(spark):
     assert sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()) == [(3, one), (5, two), (9, None)]
 
 
+def test_large_groups_of_copies_and_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MANY_COPIES", 5)
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(i, one) for i in range(40)] + [(100, f"{two} {i} {i * i} {i + 9} {i * 7} x{i}") for i in range(30)] + [(100, one)] * 3 + [(200 + i % 3, two) for i in range(12)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(4)
+    got = sorted((r.doc_id, r.class_id, r.copy_of) for r in minhash.near_duplicate_classes(docs).collect())
+    first = {}
+    for d, t in rows:
+        first[t] = min(d, first.get(t, d))
+    assert [g[0] for g in got] == sorted(d for d, _ in rows) and sorted((g[0], g[2]) for g in got) == sorted((d, first[t]) for d, t in rows)
+    kept = minhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 100, 200]
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, None), (1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(str, minhash.near_duplicate_classes(docs).select("doc_id", "class_id").collect())) == sorted(map(str, docs.sparkSession.createDataFrame([(None, None), (None, None), (1, 1), (2, 1)], "doc_id long, class_id long").collect()))

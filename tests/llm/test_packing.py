@@ -98,6 +98,19 @@ def test_shards_are_counted_and_bins_dont_depend_on_storage(spark):
     two = packing.pack_lengths(spark.sparkContext.parallelize(rows, 11).toDF("doc_id long, text_hash long, n long"), (64, 128), shard_tokens=3000).collect()
     assert sorted(map(str, one)) == sorted(map(str, two))
     check(one, (64, 128))
+    by_shard = {}
+    for r in one:
+        by_shard.setdefault(r.bin.split("-")[0], []).append(r)
+    for rows_of in by_shard.values():  # each shard is the plain algorithm's, up to the order of equal lengths
+        lengths_of = sorted((r.length for r in rows_of), reverse=True)
+        at, final = plain_best_fit(lengths_of, (64, 128), packing.OVERHEAD, packing.ATTENTION)
+        want = {}
+        for (b, o), n in zip(at, lengths_of, strict=True):
+            want.setdefault(b, []).append((o, n))
+        got = {}
+        for r in rows_of:
+            got.setdefault(r.bin, (r.capacity, []))[1].append((r.bin_offset, r.length))
+        assert sorted((c, sorted(x)) for c, x in got.values()) == sorted((final[b], sorted(x)) for b, x in want.items())
     shards = spark.createDataFrame(one).groupBy(F.split("bin", "-")[0].alias("shard"))
     sizes = {r.shard: (r.nulls, r.sevens) for r in shards.agg(F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.count(F.when(F.col("doc_id") == 7, 1)).alias("sevens")).collect()}
     assert len(sizes) == -(-sum(r[2] for r in rows) // 3000) and max(map(max, sizes.values())) < 60

@@ -122,3 +122,25 @@ def test_very_long_text(spark):
     long = docs.limit(1).withColumn("text", F.repeat(F.lit("word and more. "), 300_000)).withColumn("doc_id", F.lit(10**9))
     got = quality.classify(docs.unionByName(long), labels).where(f"doc_id = {10**9}").collect()
     assert len(got) == 1 and 0 < got[0].p_document < 1
+
+
+def test_query_against_plain_posteriors(spark):
+    """Every row's posteriors and verdict on the whole table, from the documents' own probabilities."""
+    from factorloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    sites = {r.doc_id: (r.source, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scored = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    rows = [{"doc_id": r.doc_id, "host": sites[r.doc_id][0], "path": sites[r.doc_id][1], "p": r.p_document} for r in scored]
+    want = plain_posteriors(rows)
+    for r in scored:
+        assert np.allclose((r.p_host, r.p_path, r.p_posterior), want[r.doc_id], atol=1e-9) and r.keep == (r.p_posterior >= 0.5)
+    got = {r.doc_id: r.keep for r in queries.op5_quality(spark, sf).collect()}
+    assert got == {r.doc_id: r.keep for r in scored}
+
+
+def test_held_out_labels_of_the_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("pmod(xxhash64(doc_id), 3) = 0")
+    got = quality.classify(docs, labels.join(held.select("doc_id"), "doc_id", "left_anti")).join(held.select("doc_id", "quality"), "doc_id").collect()
+    assert len(got) > 50 and sum(r.keep == bool(r.quality) for r in got) >= 0.9 * len(got)
