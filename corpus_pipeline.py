@@ -17,7 +17,7 @@ Defined results
 * null texts count as empty ones: they are judged as such, are near duplicates of each
   other (those without an id stay), and become the empty text in stage 3;
 * rows with one doc_id and one text are one document, and one of them stays; of different
-  texts under one doc_id that no lesser id has, the least stays; rows without an id stay;
+  texts under one doc_id that no lesser id has, the one of the least digest stays; rows without an id stay;
 * empty tables give empty results of the same columns; columns of other names are carried
   through the stages, whatever they are called, and the last stage leaves them out.
 """
