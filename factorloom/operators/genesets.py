@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.keyed import distinct_places
+from ..runtime import checkpointed
 from .matrix import z_scores
 
 
@@ -75,8 +76,8 @@ def set_statistics(factor: DataFrame, sets: DataFrame, permutations: int = 1000,
     ``up`` is the share of permutations with a larger mean.  A permutation draws as many
     rows as the set lists, whether or not all of them occur.
     """
-    z = z_scores(factor).select("idx", "name", "k", "z")
-    places, total = placed(factor)
+    z = checkpointed(z_scores(factor).select("idx", "name", "k", "z"))
+    places, total = placed(z)
     actual = set_means(z, sets, "z").withColumnRenamed("mean", "actual")
     sizes = sets.groupBy("gene_set").agg(F.count(F.lit(1)).alias("n"))
     by_place = z.join(places, "idx").select("place", "k", "z")
@@ -155,6 +156,7 @@ def _tail(overlap: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Serie
 def overrepresentation(markers: DataFrame, sets: DataFrame, most: int = 2038) -> DataFrame:
     """lp, gene_set, overlap, size, n_markers, p, padj, neg_log_padj, ratio: markers of each
     pattern in each set, against draws from all rows.  Sets larger than ``most`` are left out."""
+    markers = checkpointed(markers.select("lp", "name", "is_marker"))  # read four times
     universe = markers.select("name").distinct()
     total = universe.agg(F.count(F.lit(1)).alias("total"))
     known = sets.select("gene_set", "name").distinct().join(universe, "name", "left_semi")
@@ -197,7 +199,11 @@ def _hits(ranks: DataFrame, sets: DataFrame) -> DataFrame:
 def enrichment_scores(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     """k, gene_set, es, leading_edge, size: the largest rise of the running sum over genes in
     descending order of score, hits weighted by score (positive scores only)."""
-    hits = _hits(_ranks(ranked), sets)
+    return _scores(_ranks(ranked), sets)
+
+
+def _scores(ranks: DataFrame, sets: DataFrame) -> DataFrame:
+    hits = _hits(ranks, sets)
     peak = _peaks(hits, ["k", "gene_set"])
     edge = hits.join(peak.select("k", "gene_set", "at"), ["k", "gene_set"]).where("place <= at")
     leading = edge.groupBy("k", "gene_set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]), ",").alias("leading_edge"))
@@ -207,9 +213,9 @@ def enrichment_scores(ranked: DataFrame, sets: DataFrame) -> DataFrame:
 def enrichment(factor: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 1) -> DataFrame:
     """k, gene_set, size, es, nes, p, padj, neg_log_padj, leading_edge: preranked enrichment
     with positive scores, against random sets of the same size."""
-    ranks = _ranks(factor)
-    total = factor.select("name").distinct().count()
-    real = enrichment_scores(factor, sets)
+    ranks = checkpointed(_ranks(factor))
+    total = ranks.select("name").distinct().count()
+    real = checkpointed(_scores(ranks, sets))
     drawn = permuted_places(real.select(F.col("size").alias("n")), total, permutations, seed)
     null = _peaks(drawn.withColumn("place", F.col("place") + 1).join(ranks.select("k", "place", "score", "n_genes"), "place"), ["n", "perm", "k"])
     of_size = null.groupBy("n", "k").agg(F.array_sort(F.collect_list("es")).alias("nulls"))  # as many as permutations

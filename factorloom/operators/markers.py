@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance
-from .matrix import folded
 
 #: Digits that scores keep before ranking, so that the last bits of sums can't order ties.
 DIGITS = 9
@@ -20,22 +19,23 @@ def scores(a: DataFrame, p: DataFrame, lp: Mapping[str, Sequence[float]] | None
 
     Rows of zeros have no direction; their score is null and they rank last.
     """
-    tops = {r["k"]: r["top"] for r in p.groupBy("k").agg(F.max("mean").alias("top")).collect()}  # a row per pattern
-    order = sorted(tops)
+    tops = p.groupBy("k").agg(F.max("mean").alias("top")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "top"))), lambda s: s["top"]).alias("tops"))  # one row
+    numbers = lambda: F.sequence(F.lit(0), F.size("tops") - 1)
     if lp is None:
-        targets = [(f"Pattern_{n + 1}", n, [float(m == n) for m in range(len(order))]) for n in range(len(order))]
+        unit = lambda n: F.transform(numbers(), lambda k: F.when(k == n, 1.0).otherwise(0.0))
+        listed = F.transform(numbers(), lambda n: F.struct(F.concat(F.lit("Pattern_"), (n + 1).cast("string")).alias("lp"), n.alias("target"), unit(n).alias("to")))
     else:
         if any(max(v) > 1 for v in lp.values()):
             raise ValueError("targets must have a maximum of at most 1")
-        if any(len(v) != len(order) for v in lp.values()):
+        patterns = p.select("k").distinct().count()
+        if any(len(v) != patterns for v in lp.values()):
             warnings.warn("a target's length isn't the number of patterns; missing entries count as 0", stacklevel=2)
-        targets = [(k, n, [float(x) for x in list(v)[: len(order)]] + [0.0] * (len(order) - len(v))) for n, (k, v) in enumerate(lp.items())]
-    scale = F.array(*[F.lit(float(tops[k])) for k in order])
-    scaled = folded(a).withColumn("v", F.zip_with("v", scale, lambda x, s: x * s))
-    rows = scaled.withColumn("v", F.transform("v", lambda x: x / F.when(F.array_max("v") > 0, F.array_max("v"))))
-    names = a.groupBy("idx").agg(F.first("name").alias("name"))
-    listed = F.array(*[F.struct(F.lit(name).alias("lp"), F.lit(n).alias("target"), F.array(*[F.lit(x) for x in v]).alias("to")) for name, n, v in targets])
-    each = rows.join(names, "idx").select("idx", "name", "v", F.explode(listed).alias("t"))
+        targets = [(k, n, [float(x) for x in list(v)[:patterns]] + [0.0] * (patterns - len(v))) for n, (k, v) in enumerate(lp.items())]
+        listed = F.array(*[F.struct(F.lit(name).alias("lp"), F.lit(n).alias("target"), F.array(*[F.lit(x) for x in v]).alias("to")) for name, n, v in targets])
+    rows = a.groupBy("idx").agg(F.first("name").alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("mean").alias("x")))), lambda s: s["x"]).alias("v"))
+    scaled = rows.join(F.broadcast(tops)).withColumn("v", F.zip_with("v", "tops", lambda x, s: x * s))
+    unit_rows = scaled.withColumn("v", F.transform("v", lambda x: x / F.when(F.array_max("v") > 0, F.array_max("v"))))
+    each = unit_rows.select("idx", "name", "v", F.explode(listed).alias("t"))
     return each.select("idx", "name", "t.lp", "t.target", F.round(distance(F.col("v"), F.col("t.to")), DIGITS).alias("score"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import default_sigma, z_score
+from ..runtime import checkpointed
 
 #: The smaller factor of a product is broadcast up to this many rows of arrays.
 BROADCAST_ROWS = 200_000
@@ -124,11 +125,11 @@ def dot(a: Column, b: Column) -> Column:
 def product(a: DataFrame, p: DataFrame) -> DataFrame:
     """i, j, m: the dense product of two factors; every gene meets every sample by nature.
 
-    The result is the grid, so nothing larger is made.  The samples are broadcast if
-    their count is at most ``BROADCAST_ROWS``; else both sides are dealt in blocks.
+    The result is the grid, so nothing larger is made.  The samples are stored and counted,
+    and broadcast if they are at most ``BROADCAST_ROWS``; else both sides are dealt in blocks.
     """
     left = folded(a).select(F.col("idx").alias("i"), F.col("v").alias("av"))
-    right = folded(p).select(F.col("idx").alias("j"), F.col("v").alias("pv"))
+    right = checkpointed(folded(p).select(F.col("idx").alias("j"), F.col("v").alias("pv")))
     m = dot(F.col("av"), F.col("pv")).alias("m")
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         block = right.agg(F.collect_list(F.struct("j", "pv")).alias("all"))
@@ -172,9 +173,10 @@ def chi_square(cell: DataFrame, a: DataFrame, p: DataFrame, uncertainty: DataFra
 
 
 def gram(factor: DataFrame) -> DataFrame:
-    """k, l, g: inner products of the patterns of one factor."""
-    other = factor.select("idx", F.col("k").alias("l"), F.col("mean").alias("other"))
-    return factor.join(other, "idx").groupBy("k", "l").agg(F.sum(F.col("mean") * F.col("other")).alias("g"))
+    """k, l, g: inner products of the patterns of one factor, from its rows' arrays."""
+    rows = factor.groupBy("idx").agg(F.collect_list(F.struct("k", F.col("mean").alias("x"))).alias("v"))
+    one = rows.select("v", F.explode("v").alias("a")).select("a", F.explode("v").alias("b"))
+    return one.groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("l")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
 
 
 def chi_square_cells(cell: DataFrame, a: DataFrame, p: DataFrame) -> DataFrame:
