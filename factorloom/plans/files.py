@@ -37,16 +37,19 @@ def _header(spark: SparkSession, *lines: str) -> DataFrame:
 
 
 _COLUMNS = [f"L{j + 1}" for j in range(7)]
-_BRAND = F.concat(F.lit("Brand#"), (F.col("i") + 1).cast("string"))
 _M = "SELECT i, j, round(value, 4) AS value FROM m"
 
 
+def _brand() -> Column:
+    return F.concat(F.lit("Brand#"), (F.col("i") + 1).cast("string"))
+
+
 def _cells(cells: DataFrame) -> DataFrame:
     return cells.select("i", "j", rounded("value", 4))
 
 
 def _csv(spark: SparkSession, sf: str) -> str:
-    rows = _rows(inputs.m(spark, sf), ",", F.concat(F.lit('"'), F.first(_BRAND), F.lit('"')))
+    rows = _rows(inputs.m(spark, sf), ",", F.concat(F.lit('"'), F.first(_brand()), F.lit('"')))
     return _write_lines(_header(spark, ",".join(['""', *_COLUMNS])).unionByName(rows), _place(spark, "m.csv"))
 
 
@@ -66,7 +69,7 @@ def scan_tsv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_M)
 def scan_gct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(inputs.m(spark, sf), "\t", F.concat(F.first(_BRAND), F.lit("\tabout")))
+    rows = _rows(inputs.m(spark, sf), "\t", F.concat(F.first(_brand()), F.lit("\tabout")))
     head = _header(spark, "#1.2", "25\t7", "\t".join(["NAME", "Description", *_COLUMNS]))
     return _cells(matrix_files.read_matrix(spark, _write_lines(head.unionByName(rows), _place(spark, "m.gct")))[0])
 

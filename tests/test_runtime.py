@@ -59,3 +59,9 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_checkpoint_dir(Session())
     assert runtime.shared_checkpoint_dir(spark)
+
+
+def test_the_entry_is_imported_without_a_session(tmp_path):
+    code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
