@@ -110,10 +110,11 @@ class SparseRows:
         g = np.empty((self.shape[0], k, k))
         g[:] = v.T @ v
         if len(self.cols):
-            near = v[self.cols]
-            b[self.some] = np.add.reduceat(near * self.inverse[:, None], self.starts)
+            near = np.ascontiguousarray(v.T)[:, self.cols]  # patterns x cells, so that sums run along memory
+            b[self.some] = np.add.reduceat(near * self.inverse, self.starts, axis=1).T
+            weighted = near * self.more
             for x in range(k):
-                part = np.add.reduceat(near[:, : x + 1] * (near[:, x] * self.more)[:, None], self.starts)
+                part = np.add.reduceat(near[: x + 1] * weighted[x], self.starts, axis=1).T
                 g[self.some, x, : x + 1] += part
                 g[self.some, :x, x] += part[:, :x]
         return self.BETA * b, self.BETA * g
@@ -203,8 +204,9 @@ class Side:
         old = self.mass[rows, slot]  # 0 in a free slot
         place = np.where(dying, self.place[rows, slot], u[0] * self.patterns)
         bins = self._bins(place)
-        s = g[rows, bins, bins]
-        slope = self._slope(rows, b, g)[np.arange(len(rows)), bins] + old * s
+        own = g[rows, bins]
+        s = own[np.arange(len(rows)), bins]
+        slope = b[rows, bins] - (own * self.matrix[rows]).sum(axis=1) + old * s
         # Without the other side's pattern or information only the prior speaks.
         informed = s > EPSILON
         safe = np.where(informed, s, 1.0)
