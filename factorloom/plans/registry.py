@@ -427,4 +427,4 @@ def marker_tree_order(spark: SparkSession, sf: str) -> DataFrame:
     return plots.tree_order(inputs.d(spark, sf))
 
 
-from . import chains, files, scalars  # noqa: E402, F401  (they register their queries)
+from . import chains, facts, files, scalars  # noqa: E402, F401  (they register their queries)
