@@ -19,6 +19,7 @@ Scale: map-only; the model is broadcast and refused above ``MAX_MODEL_BYTES``.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -179,9 +180,14 @@ def build_tokenizer(model: Model):
     return tokenizer
 
 
+#: Threads of a worker's batch encoding: a task has one core, and threads that wait for work burn others'.
+THREADS = 2
+
+
 @lru_cache(maxsize=2)
 def load(raw: bytes):
     """The rebuilt tokenizer and the model's own library, kept by the process."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library first encodes a batch
     import sentencepiece
 
     model = parse_model(raw)
