@@ -239,7 +239,9 @@ class Encoder:
             if k == BYTE and int(p[1:-1], 16) < 128:
                 self.surface[i] = chr(int(p[1:-1], 16))
                 free.add(i)
-        self.free = frozenset(free) if model.add_prefix else frozenset()
+        self.free = np.zeros(len(model.pieces), bool)
+        if model.add_prefix:
+            self.free[list(free)] = True
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
@@ -262,7 +264,7 @@ class Encoder:
                 self.kept += 200 + 4 * len(w) + len(x)  # both objects' headers and the entry
         for i, row in enumerate(words):
             if plain[i]:
-                out[i] = np.frombuffer(b"".join([known[w] for w in row]), "<i4")
+                out[i] = np.frombuffer(b"".join(map(known.__getitem__, row)), "<i4")
         for w in long:
             del known[w]
         return out
@@ -280,15 +282,15 @@ class Encoder:
             for a, b in zip(ends, ends[1:], strict=False):
                 yield raw[a:b]
 
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        """The texts of ids; rows with other than normal pieces go to the library."""
-        surface, free = self.surface, self.free
-        out = ["".join([surface[i] for i in row]) if free.issuperset(row) else None for row in ids]
-        odd = [k for k, t in enumerate(out) if t is None]
-        for k, t in zip(odd, self.whole.decode_batch([ids[k] for k in odd], skip_special_tokens=False), strict=True):
+    def decode_batch(self, ids: list[np.ndarray], lists: list[list[int]]) -> list[str]:
+        """The texts of ids, given as arrays and lists; rows with other than normal pieces go to the library."""
+        surface = self.surface.__getitem__
+        free = [bool(self.free[x].all()) for x in ids]
+        out = ["".join(map(surface, row)).removeprefix(" ") if f else "" for f, row in zip(free, lists, strict=True)]
+        odd = [k for k, f in enumerate(free) if not f]
+        for k, t in zip(odd, self.whole.decode_batch([lists[k] for k in odd], skip_special_tokens=False), strict=True):
             out[k] = t
-        rest = set(odd)
-        return [t if k in rest or t[:1] != " " else t[1:] for k, t in enumerate(out)]
+        return out
 
 
 ENCODED = "doc_id long, ids array<int>, parity boolean, decoded string"
@@ -306,7 +308,7 @@ def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     """What :func:`encode` gives, as counts and digests of the ids (little-endian 32-bit) and the decoded text."""
 
     def describe(ids: np.ndarray, same: bool, back: str, is_byte: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), int(is_byte[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), same
+        return len(ids), hashlib.sha256(ids).hexdigest(), int(np.count_nonzero(is_byte[ids])), hashlib.sha256(back.encode()).hexdigest(), same
 
     return _run(docs, model_path, id_col, text_col, DIGEST, describe, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()])
 
@@ -324,7 +326,7 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: s
             texts = batch.column(1).to_pylist()
             ids = encoder.encode_batch(texts)
             lists = [x.tolist() for x in ids]
-            decoded = encoder.decode_batch(lists)
+            decoded = encoder.decode_batch(ids, lists)
             same = [a == b for a, b in zip(lists, own.encode(texts, num_threads=1), strict=True)]
             same = [s and a == b for s, a, b in zip(same, decoded, own.decode(lists, num_threads=1), strict=True)]
             columns = zip(*(describe(*row, is_byte) for row in zip(ids, same, decoded, strict=True)), strict=True)
