@@ -30,6 +30,23 @@ def ship_package(spark: SparkSession) -> None:
     sc._factorloom_shipped = True
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, which both hold it.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes per Arrow batch to ``BATCH_BYTES``, if they are more.
+
+    Batches are cut by rows otherwise, and 10,000 long texts are more than a task should hold.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, str(1 << 31))
+    digits = "".join(c for c in held if c.isdigit())
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held.lower().rstrip("b")[-1:], 1)
+    if int(digits or 0) * unit > BATCH_BYTES or held.startswith("-"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 

@@ -65,3 +65,14 @@ def test_the_entry_is_imported_without_a_session(tmp_path):
     code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_batches_are_bounded_and_never_raised(spark):
+    from factorloom import runtime
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for held, want in (("64m", str(8 << 20)), ("67108864b", str(8 << 20)), ("1g", str(8 << 20)), ("-1", str(8 << 20)), ("1m", "1m"), ("4096", "4096")):
+        spark.conf.set(key, held)
+        runtime.bound_batches(spark)
+        assert spark.conf.get(key) in (want, f"{want}b", "1048576b")
+    spark.conf.unset(key)
