@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, shared_checkpoint_dir, ship_package
+from .. import runtime
+from ..runtime import checkpointed, shared_checkpoint_dir
 
 __all__ = ["checkpointed", "documents", "input_bytes", "parts_for", "shared_checkpoint_dir", "ship_package", "small_batches", "text_bytes"]
 
@@ -17,6 +18,12 @@ __all__ = ["checkpointed", "documents", "input_bytes", "parts_for", "shared_chec
 _UNKNOWN_BYTES = 1 << 50
 
 
+def ship_package(spark: SparkSession) -> None:
+    """The package for the Python workers, and batches of bounded bytes for its texts."""
+    runtime.ship_package(spark)
+    runtime.bound_batches(spark)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; only ever used to choose a number of parts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
