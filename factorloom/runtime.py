@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,10 +41,13 @@ def bound_batches(spark: SparkSession) -> None:
     Batches are cut by rows otherwise, and 10,000 long texts are more than a task should hold.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, str(1 << 31))
+    try:
+        held = spark.conf.get(key)
+    except PySparkException:  # a version without the setting
+        return
     digits = "".join(c for c in held if c.isdigit())
     unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held.lower().rstrip("b")[-1:], 1)
-    if int(digits or 0) * unit > BATCH_BYTES or held.startswith("-"):
+    if int(digits or 0) * unit > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
