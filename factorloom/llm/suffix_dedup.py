@@ -52,6 +52,8 @@ from .suffix_groups import suffix_array
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 1 << 20
+#: Tasks of a step at most; a task takes its blocks or shards one by one.
+MOST_TASKS = 200_000
 SHARD_BYTES = 2 << 20
 #: Stretches of one anchor sorted together: about 1.4 million symbols, some 300 MB as lists.
 HOT = 1 << 13
@@ -470,7 +472,7 @@ def _plan(docs: DataFrame, length: int, hot: int, blocks: int | None, shards: in
     ship_package(docs.sparkSession)
     blocks = blocks or parts_for(docs, BLOCK_BYTES)
     shards = shards or parts_for(docs, SHARD_BYTES)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 16)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks // 4, MOST_TASKS))
     turn = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
     own = F.pmod(F.xxhash64("doc_id", turn), F.lit(blocks)).cast("int")
     dealt = docs.withColumn("__turn", turn).withColumn("__block", own).repartition(parts, "__block")
