@@ -195,8 +195,8 @@ def _clustered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CLUSTERED = """, c AS (SELECT CASE WHEN k = 2 THEN 1 ELSE 0 END AS cluster, '1.' || CAST(k + 1 AS VARCHAR) AS pattern, j AS idx, mean AS value FROM p),
-m AS (SELECT *, avg(value) OVER (PARTITION BY cluster, idx) AS mean FROM c),
-r AS (SELECT cluster, pattern, round(corr(value, mean), 3) AS r FROM m GROUP BY cluster, pattern)
+cm AS (SELECT *, avg(value) OVER (PARTITION BY cluster, idx) AS mean FROM c),
+r AS (SELECT cluster, pattern, round(corr(value, mean), 3) AS r FROM cm GROUP BY cluster, pattern)
 """
 
 
