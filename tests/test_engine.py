@@ -43,7 +43,7 @@ def test_query_against_sql(spark, db, name):
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     rows = sorted(str(tuple(r[c] for c in names)) for r in got.collect())
-    assert rows == sorted(map(str, db.sql(f"SELECT {', '.join(names)} FROM want").fetchall()))
+    assert rows == sorted(map(str, db.sql("SELECT " + ", ".join(f'"{c}"' for c in names) + " FROM want").fetchall()))
 
 
 def test_a_query_returns_the_whole_reconstruction(spark):
