@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, gif, minhash, packing, pieces, pii, quality, secrets, suffix_dedup, token_counts
-from .common import checkpointed
+from . import conversations, fingerprints, gif, lexical_search, line_dedup, minhash, packing, pieces, pii, quality, secrets, suffix_dedup, token_counts
+from .common import checkpointed, shared_checkpoint_dir
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -58,6 +60,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("quantile", F.round("quantile", 9))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_digests(given, conversations.damaged(given))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_digests(_documents(spark, sf_dir), f"{shared_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 # --- parts of the operators' results that SQL can repeat ------------------------------------
 
 
@@ -129,6 +144,9 @@ QUERIES = {
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
     "copies": copies,
     "packed_pieces": packed_pieces,
     "pii_base_counts": pii_base_counts,
@@ -144,7 +162,70 @@ _LIMIT_TABLE = f"""WITH n AS ({_BYTES}), h AS (SELECT n AS n_tokens, count(*) AS
 c AS (SELECT *, sum(n_docs) OVER down AS docs_at_least, sum(n_docs * n_tokens) OVER down AS tokens_at_least, sum(n_docs) OVER () AS total_docs, sum(n_docs * n_tokens) OVER () AS total_tokens FROM h WINDOW down AS (ORDER BY n_tokens DESC))
 SELECT n_tokens, n_docs, CAST(docs_at_least AS BIGINT) AS docs_at_least, CAST(tokens_at_least AS BIGINT) AS tokens_at_least, CAST(total_docs AS BIGINT) AS total_docs, CAST(total_tokens AS BIGINT) AS total_tokens,
 CAST(total_tokens - tokens_at_least + n_tokens * docs_at_least AS BIGINT) AS truncated_tokens, CAST(docs_at_least - n_docs AS BIGINT) AS docs_truncated, round((total_docs - docs_at_least + n_docs) / total_docs, 9) AS quantile FROM c"""
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _repair_sql() -> str:
+    """The damage's checksum bit by bit, the faults by windows, and the least edits by recursion from each conversation's end."""
+    shift = "(CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, CAST(3988292384 AS BIGINT)) ELSE {0} >> 1 END)"
+    table = "n"
+    steps = []
+    for i in range(8):
+        steps.append(f"c{i + 1} AS (SELECT k, {shift.format(table)} AS n FROM {'c' + str(i) if i else '(SELECT k, k AS n FROM (SELECT unnest(range(256)) AS k))'})")
+    moves = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    names = {"u": "user", "a": "assistant"}
+    least = lambda options: f"list_min([x FOR x IN [{', '.join(options)}] IF x IS NOT NULL])"
+    with_letter = lambda cost, letter, to, line: f"CASE WHEN v[{to + 1}] IS NOT NULL THEN {{'c': v[{to + 1}].c + {cost}, 's': '{letter}' || v[{to + 1}].s, 't': {line} || v[{to + 1}].t}} END"
+    consuming = []
+    for state, to in moves.items():
+        options = [with_letter("2", "D", state, "''")]
+        for label, after in to.items():
+            options.append(f"CASE WHEN NOT must_go AND substr(role, 1, 1) = '{label}' THEN {with_letter('extra', 'K', after, 'chr(10) || role || chr(58) || text')} END")
+            if label in names:
+                options.append(f"CASE WHEN NOT must_go THEN {with_letter('extra + 1', 'R', after, f"chr(10) || '{names[label]}' || chr(58) || text")} END")
+        consuming.append(least(options))
+    inserting = []
+    for state, to in moves.items():
+        options = [f"v[{state + 1}]", *[with_letter("5", "I", after, f"chr(10) || '{names[label]}' || chr(58)") for label, after in to.items() if label in names]]
+        inserting.append(least(options))
+    again = lambda inner: f"list_transform([{inner}], lambda v: [{', '.join(inserting)}])[1]"
+    relaxed = again(again(again("w")))
+    end = "[{'c': 0, 's': '', 't': ''}, NULL, NULL, {'c': 0, 's': '', 't': ''}]"
+    return f"""WITH RECURSIVE {", ".join(steps)},
+crc AS (SELECT list(n ORDER BY k) AS tb FROM c8),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+summed AS (SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(k, '')]), lambda c, b: xor(c >> 8, tb[CAST(xor(c & 255, b) AS BIGINT) + 1])), CAST(4294967295 AS BIGINT)) % 20 AS f FROM keyed, crc),
+after AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM summed WHERE f != 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, trim(text, {_WHITE}) AS body FROM after),
+told AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM told GROUP BY conv_id),
+marked AS (SELECT conv_id, i, role, text, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM told),
+walk AS (SELECT conv_id, n AS i, {again(again(again(end)))} AS v FROM counted
+  UNION ALL SELECT conv_id, i - 1, {relaxed} FROM (SELECT w.conv_id, w.i, [{", ".join(consuming)}] AS w FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i)),
+best AS (SELECT conv_id, v[1] AS b FROM walk WHERE i = 0)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.s, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
+    "op12_line_dedup": f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT r, doc_id, lines, [translate(trim(x, {_WHITE}), '{_UPPER}', '{_LOWER}') FOR x IN lines] AS keys FROM t),
+f AS (SELECT key FROM (SELECT r, unnest(list_distinct(keys)) AS key FROM k) WHERE key != '' GROUP BY key HAVING count(*) >= 10),
+e AS (SELECT r, doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, unnest(keys) AS key FROM k)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM (SELECT e.r, e.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE f.key IS NULL) AS kept FROM e LEFT JOIN f ON e.key = f.key GROUP BY e.r, e.doc_id)""",
+    "op13_lexical_search": f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ts FROM documents),
+d AS (SELECT r, doc_id, len(ts) AS n, ts FROM t WHERE len(ts) > 0), s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term), s),
+m AS (SELECT r, doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM d, s),
+x AS (SELECT q.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m ON m.r = p.r GROUP BY q.item_id, m.r, m.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
     "copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy_of FROM documents",
     "packed_pieces": f"""WITH n AS ({_BYTES}), p AS (SELECT doc_id, n, unnest(generate_series(0, greatest(CAST(floor((n - 1) / 16384) AS BIGINT), 0))) AS piece FROM n)
 SELECT doc_id, piece, piece * 16384 AS start, least(n - piece * 16384, 16384) AS length, true AS fits FROM p""",
