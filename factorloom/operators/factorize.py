@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..model import FACTOR, TRACE, Params, Result
 from ..runtime import checkpointed, ship_package
-from . import consensus, matrix, subsets
+from . import checkpoints, consensus, matrix, subsets
 from .kernel import Cells, Chain
 
 ROWS = "set_id int, kind string, phase string, iter int, axis string, idx long, k int, mean double, sd double, chisq double, atoms_a int, atoms_p int, state binary"
@@ -99,8 +99,9 @@ def run_sets(cell: DataFrame, sets: DataFrame, params: Params, other: int, by: s
     """Stored rows of ``ROWS`` from one chain per set.  ``by`` is the side that sets cut, i or j.
 
     A member without cells takes part as zeros.  With a checkpoint folder the chains stop
-    every ``checkpoint_interval`` iterations, their states are written there, and a later
-    call continues from the last ones.
+    every ``checkpoint_interval`` iterations (or at the end alone, if that is 0) and what they
+    give is written there, under a manifest (:mod:`checkpoints`): a later call of the same
+    run continues from the last stop, or returns what is finished, and any other is refused.
     """
     spark = cell.sparkSession
     ship_package(spark)
@@ -116,38 +117,35 @@ def run_sets(cell: DataFrame, sets: DataFrame, params: Params, other: int, by: s
     else:
         rows = fixed.select("idx", "k", "mean", none.cast("binary").alias("state"))
         if (params.fixed == "A") == (by == "i"):
-            rows = members.join(rows, "idx")
+            # members' columns are in the cells beside it too, so these get names of their own first
+            own = members.select(F.col("set_id").alias("s"), F.col("idx").alias("x"))
+            rows = rows.join(own, F.col("idx") == F.col("x")).select(F.col("s").alias("set_id"), F.col("x").alias("idx"), "k", "mean", "state")
         else:  # every set needs the whole of the other side
             rows = rows.withColumn("set_id", F.explode(F.array(*[F.lit(r["set_id"]) for r in members.select("set_id").distinct().collect()])))  # one row per set
         held = rows.select("set_id", "idx", "k", "mean", "state")
     stops = bool(checkpoint and params.checkpoint_interval)
     task = _chain(params, stage, other, by == "j", uncertainty is not None, stops)
     run = lambda beside: keyed.groupBy("set_id").cogroup(beside.groupBy("set_id")).applyInPandas(task, ROWS)
-    if not stops:
+    if not checkpoint:
         return checkpointed(run(held))
-    number, states = _last_states(spark, checkpoint)
-    while True:
-        place = f"{checkpoint}/{number + 1:06d}"
-        run(held if states is None else states).write.mode("overwrite").parquet(place)
-        number += 1
-        written = spark.read.parquet(place)
-        if not written.where("kind = 'state'").limit(1).count():
-            return written
-        number, states = _last_states(spark, checkpoint)
-
-
-def _last_states(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]:
-    """The number of the last complete checkpoint (Parquet's commit makes it whole) and its states."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return 0, None
-    done = sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if not done:
-        return 0, None
-    written = spark.read.parquet(f"{folder}/{done[-1]:06d}").where("kind = 'state'")
-    return done[-1], written.select("set_id", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("mean"), "state")
+    parts = checkpoints.parts_of(params, stage, cells=cell, uncertainty=uncertainty, sets=members, fixed=None if fixed is None else fixed.select("idx", "k", "mean"))
+    folder = checkpoints.RunFolder(spark, checkpoint, parts)
+    stop, status = folder.last()
+    while status != checkpoints.FINISHED:
+        # a chain's state holds its fixed side, so a run that continues needs nothing else
+        beside = held if status is None else _states(spark.read.schema(ROWS).parquet(folder.place(stop)))
+        stop += 1
+        run(beside).write.mode("overwrite").parquet(folder.place(stop))
+        stopped = spark.read.schema(ROWS).parquet(folder.place(stop)).where("kind = 'state'").limit(1).count()
+        status = checkpoints.STOPPED if stopped else checkpoints.FINISHED
+        folder.commit(stop, status)
+    return spark.read.schema(ROWS).parquet(folder.place(stop))
+
+
+def _states(written: DataFrame) -> DataFrame:
+    """The chains' states of a stop, as rows beside the cells."""
+    none = F.lit(None)
+    return written.where("kind = 'state'").select("set_id", none.cast("long").alias("idx"), none.cast("int").alias("k"), none.cast("double").alias("mean"), "state")
 
 
 def names_of(spark: SparkSession, dims: DataFrame | None, params: Params, n_rows: int, n_cols: int) -> DataFrame:

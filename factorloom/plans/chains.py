@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Params
-from ..operators import factorize, matrix
+from ..operators import checkpoints, factorize, matrix
 from ..runtime import shared_checkpoint_dir
 from . import inputs
 from .base import query, rounded
@@ -60,12 +60,23 @@ def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.groupBy("phase", "iter", "axis").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT j AS idx, CAST(k AS INTEGER) AS k, round(1 + j + CAST(0.5 AS DOUBLE) * k, 6) AS mean, CAST(0 AS DOUBLE) AS sd FROM (SELECT DISTINCT j FROM m) CROSS JOIN generate_series(0, 1) g(k)")
+@query("SELECT run, CAST(iter - 1 AS BIGINT) AS idx, CAST(CASE WHEN k = 0 THEN 0 ELSE 1 END AS INTEGER) AS k, round(avg(disc), 6) AS mean, CAST(0 AS DOUBLE) AS sd FROM lines CROSS JOIN (VALUES ('first'), ('second')) r(run) GROUP BY ALL")
 def kept_side(spark: SparkSession, sf: str) -> DataFrame:
-    """A fixed side comes back as it was given."""
-    given = spark.range(7).select(F.col("id").alias("idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("mean", 1 + F.col("idx") + 0.5 * F.col("k"))
-    out = factorize.factorize(inputs.m(spark, sf), Params(2, n_iterations=_FEW, seed=42, fixed="P"), fixed_patterns=given)
-    return out.sample_factors.select("idx", "k", rounded("mean"), "sd")
+    """A fixed side comes back as it was given, also from the folder of a finished run."""
+    given = inputs.lines(spark, sf).groupBy((F.col("iter") - 1).cast("long").alias("idx"), F.when(F.col("k") == 0, 0).otherwise(1).alias("k")).agg(F.avg("disc").alias("mean"))
+    folder = f"{shared_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    params = Params(2, n_iterations=_FEW, seed=42, fixed="P", checkpoint_interval=50, checkpoint_path=folder)
+    runs = [factorize.factorize(inputs.m(spark, sf), params, fixed_patterns=given).sample_factors.select(F.lit(x).alias("run"), "idx", "k", rounded("mean"), "sd") for x in ("first", "second")]
+    return runs[0].unionByName(runs[1])
+
+
+@query("SELECT CAST(stop AS INTEGER) AS stop, status, (SELECT count(*) FROM m) AS n_cells, (SELECT count(*) FROM (SELECT DISTINCT i FROM m)) AS n_members FROM (VALUES (1, 'stopped'), (2, 'stopped'), (3, 'finished')) v(stop, status)")
+def run_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run's folder says of its stops, and of the table and sets that it belongs to."""
+    folder = f"{shared_checkpoint_dir(spark)}/listed-{uuid.uuid4().hex}"
+    _run(spark, sf, checkpoint_interval=50, checkpoint_path=folder)
+    rows = lambda part: F.split(F.get_json_object("parts", f"$.{part}"), ":")[0].cast("long")
+    return checkpoints.manifest(spark, folder).select("stop", "status", rows("cells").alias("n_cells"), rows("sets").alias("n_members"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS different, true AS enough_updates, true AS timed")
@@ -83,7 +94,7 @@ def resumed_run(spark: SparkSession, sf: str) -> DataFrame:
     """A run that stops at checkpoints and continues from them gives a straight run's factors."""
     folder = f"{shared_checkpoint_dir(spark)}/chain-{uuid.uuid4().hex}"
     one, two = _run(spark, sf), _run(spark, sf, checkpoint_interval=50, checkpoint_path=folder)
-    stops = spark.read.parquet(f"{folder}/*").where("kind = 'state'").count()
+    stops = checkpoints.manifest(spark, folder).where("status = 'stopped'").count()
     return one.factors.exceptAll(two.factors).agg(F.count(F.lit(1)).alias("different")).select("different", F.lit(stops).alias("stops"))
 
 

@@ -325,8 +325,8 @@ def test_two_stage_run_continues_from_its_checkpoints(spark, tmp_path):
     assert key(factorize.factorize(cell, params.with_(checkpoint_interval=13, checkpoint_path=folder))) == straight
     import shutil
 
-    shutil.rmtree(f"{folder}/stage2/000005")  # lost before its last stop
-    shutil.rmtree(f"{folder}/stage2/000004")
+    shutil.rmtree(f"{folder}/stage2/stop-000005")  # lost before its last stop
+    shutil.rmtree(f"{folder}/stage2/stop-000004")
     assert key(factorize.factorize(cell, params.with_(checkpoint_interval=13, checkpoint_path=folder))) == straight
 
 
