@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..model import FACTOR, TRACE, Params, Result
 from ..runtime import checkpointed, ship_package
+from ..sources import matrix_files
 from . import checkpoints, consensus, matrix, subsets
 from .kernel import Cells, Chain
 
@@ -254,6 +255,16 @@ def factorize(
     return Result(factors, trace, params, float(chisq or 0.0), meta)
 
 
+def factorize_file(spark: SparkSession, path: str, params: Params, transpose: bool = False, **kw) -> Result:
+    """Factorise a matrix file; of a subset only its rows or columns are read."""
+    wanted: dict = {}
+    if params.subset_indices is not None and params.subset_dim:
+        side = "rows" if (params.subset_dim == 1) != transpose else "columns"
+        wanted = {side: sorted({x - 1 for x in params.subset_indices})}
+    cell, dims, shape = matrix_files.read_matrix(spark, path, **wanted)
+    return factorize(cell, params, transpose=transpose, dims=dims, shape=shape, **kw)
+
+
 def subsets_all(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.lit(0).alias("set_id"), F.col("id").cast("int").alias("pos"), F.col("id").alias("idx"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Params, Result
 from ..operators import factorize, matrix
 from ..runtime import shared_checkpoint_dir
-from ..sources import matrix_files
+from ..sources import matrix_files, matrix_source, result_source, stores
 from . import inputs
 from .base import query, rounded
 
@@ -105,13 +105,29 @@ def file_information(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "axis string, idx long, name string, n_rows long, n_cols int")
 
 
-_FORMATS = ("m.csv", "a.b/m.tsv", "m.gct", "m.mtx", "m.rds", "m.csv/x", "csv", "m.CSV", "m.h5ad")
+@query("SELECT i, j, round(value, 4) AS value FROM m WHERE i IN (3, 19, 20) AND j IN (1, 6)")
+def part_of_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted rows and columns of a file, which is all that its scan parses."""
+    return _cells(matrix_files.read_matrix(spark, _csv(spark, sf), rows=(20, 3, 19), columns=(1, 6))[0])
 
 
-@query("SELECT path, regexp_extract(path, '^.*[.](csv|tsv|gct|mtx)$', 1) AS format, regexp_matches(path, '^.*[.](csv|tsv|gct|mtx)$') AS supported FROM (VALUES ('m.csv'), ('a.b/m.tsv'), ('m.gct'), ('m.mtx'), ('m.rds'), ('m.csv/x'), ('csv'), ('m.CSV'), ('m.h5ad')) x(path)")
-def format_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(x, matrix_files.file_format(x) if matrix_files.supported(x) else "", matrix_files.supported(x)) for x in _FORMATS]
-    return spark.createDataFrame(rows, "path string, format string, supported boolean")
+@query("SELECT i, j, round(value, 4) AS value, CAST(i AS VARCHAR) || ':' || CAST(j AS VARCHAR) AS place FROM m")
+def ranges_of_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A file in ranges of 100 bytes: rows are numbered from the lines of the ranges before."""
+    path = stores.qualified(spark, _csv(spark, sf))
+    return _cells(matrix_source.load(spark, path, "csv", 100)[0]).withColumn("place", F.concat_ws(":", "i", "j"))
+
+
+@query("SELECT kind, i, j, round(value, 4) AS value FROM m CROSS JOIN (VALUES ('csv'), ('tsv'), ('mtx')) k(kind)")
+def published_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """A matrix written as one publication in each format, and read back."""
+    out = None
+    for kind in ("csv", "tsv", "mtx"):
+        path = _place(spark, f"published.{kind}")
+        matrix_source.save(inputs.m(spark, sf), path)
+        back = _cells(matrix_files.read_matrix(spark, path)[0]).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity * 100, 4) AS whole, round(-l_quantity, 4) AS negative, round(l_discount, 6) AS plain FROM lineitem")
@@ -192,6 +208,14 @@ def parquet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return _factors(matrix_files.read_parquet(spark, path))
 
 
+@query(_RESULT)
+def published_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Factors, names, trace and summary that appeared together."""
+    path = _place(spark, "bundle")
+    result_source.publish(_result(spark, sf), path)
+    return _factors(result_source.published(spark, path))
+
+
 @query("SELECT 3 AS n_patterns, 50000 AS n_iterations, 42 AS seed, 'x,y' AS gene_names, CAST(12.5 AS DOUBLE) AS mean_chisq, 3 AS cut, 2 AS min_ns, 6 AS max_ns, CAST(10 AS INTEGER) AS iter, CAST(2.5 AS DOUBLE) AS chisq")
 def result_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Parameters with their defaults, the statistic and the trace, after both round trips."""
@@ -213,7 +237,7 @@ FROM picked x JOIN m ON m.j = x.idx"""
 )
 def prepared_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The transpose, then columns 7, 3 and 7 of the file as rows, names with them."""
-    cells, dims, shape = matrix_files.read_matrix(spark, _csv(spark, sf))
+    cells, dims, shape = matrix_files.read_matrix(spark, _csv(spark, sf), columns=(2, 6))  # no other is parsed
     cells, named, _, _ = factorize.prepared(cells, Params(1, subset_indices=(7, 3, 7), subset_dim=1), dims, shape, transpose=True)
     name = lambda axis, key, label: named.where(F.col("axis") == axis).select(F.col("idx").alias(key), F.col("name").alias(label))
     return cells.join(name("A", "i", "row_name"), "i").join(name("P", "j", "col_name"), "j").select("i", "j", rounded("value", 4), "row_name", "col_name")

@@ -1,12 +1,14 @@
 """Matrix files as tables of cells, and results as files.
 
-Readers use Spark's own, so any store that Spark reads will do.  A file's lines are
-numbered by the places that Spark's text reader keeps in order within a split (``_lines``).
+Files in a store that Python can open are read by the data source of :mod:`matrix_source`,
+without a shuffle.  For any other that Spark reads, lines are numbered by the places that
+Spark's text reader keeps in order within a split (``_lines``).
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import TRIM, trimmed
 from ..model import Params, Result
 from ..runtime import checkpointed
+from . import matrix_source, stores
 
 FORMATS = ("csv", "tsv", "mtx", "gct")
 
@@ -112,21 +115,32 @@ def read_10x(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tu
                     return f"{folder.rstrip('/')}/{name}{end}"
         raise ValueError(f"{folder} has no {names[0]}")
 
-    cells, shape = read_mtx(spark, find("matrix.mtx"))
+    counts = find("matrix.mtx")
+    whole = stores.qualified(spark, counts)
+    if stores.reachable(whole):
+        cells, _, shape = matrix_source.load(spark, whole, "mtx")
+    else:
+        cells, shape = read_mtx(spark, counts)
     parts = F.split("value", "\t")
     features = _lines(spark, find("features.tsv", "genes.tsv")).select(F.lit("A").alias("axis"), F.col("n").alias("idx"), F.coalesce(F.get(parts, F.lit(1)), parts[0]).alias("name"))
     barcodes = _lines(spark, find("barcodes.tsv")).select(F.lit("P").alias("axis"), F.col("n").alias("idx"), parts[0].alias("name"))
     return cells, features.unionByName(barcodes), shape
 
 
-def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, tuple[int, int] | None]:
-    """(cells, dims, shape) of a file of any supported format."""
+def read_matrix(spark: SparkSession, path: str, rows: Sequence[int] | None = None, columns: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame | None, tuple[int, int] | None]:
+    """(cells, dims, shape) of a file of any supported format; of its wanted rows and columns, if they are given, all else is left unread."""
     kind = file_format(path)
+    whole = stores.qualified(spark, path)
+    if stores.reachable(whole):
+        return matrix_source.load(spark, whole, kind, rows=rows, columns=columns)
+    dims, shape = None, None
     if kind == "mtx":
         cells, shape = read_mtx(spark, path)
-        return cells, None, shape
-    cells, dims = read_delimited(spark, path, "," if kind == "csv" else "\t", 2 if kind == "gct" else 0, 2 if kind == "gct" else None)
-    return cells, dims, None
+    else:
+        cells, dims = read_delimited(spark, path, "," if kind == "csv" else "\t", 2 if kind == "gct" else 0, 2 if kind == "gct" else None)
+    for key, wanted in (("i", rows), ("j", columns)):
+        cells = cells if wanted is None else cells.where(F.col(key).isin(sorted(set(wanted))))
+    return cells, dims, shape
 
 
 def file_info(spark: SparkSession, path: str) -> dict:
