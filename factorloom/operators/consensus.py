@@ -1,107 +1,31 @@
-"""Consensus patterns: correlation, clustering and weighted means.
-
-Correlations and means are aggregates over all rows; only the matrix of patterns by
-patterns, whose side is sets times patterns, is clustered on the driver.
-"""
+"""Consensus patterns: correlation (:mod:`gram`), clustering (:mod:`trees`) and weighted means."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed
+from . import gram, trees
+
 
 def pattern_correlations(patterns: DataFrame) -> DataFrame:
     """a, b, r over rows (pattern, idx, value)."""
-    other = patterns.select("idx", F.col("pattern").alias("b"), F.col("value").alias("other"))
-    return patterns.withColumnRenamed("pattern", "a").join(other, "idx").groupBy("a", "b").agg(F.corr("value", "other").alias("r"))
-
-
-def linkage(distance: np.ndarray, method: str = "complete") -> list[tuple[int, int, float]]:
-    """The joins of a tree over n items: pairs of nodes (items, then n + 0, n + 1, ... for joins) and their height.
-
-    ``method`` says how far apart two clusters are: "complete" (the farthest members) or
-    "average".  Of equally near pairs the one with the least members is joined first.
-    Each row keeps its nearest, and only rows that lose theirs look again.
-    """
-    n = len(distance)
-    d = np.array(distance, float)
-    np.fill_diagonal(d, np.inf)
-    d[np.tril_indices(n)] = np.inf  # each pair once, under its lesser row
-    node, size = list(range(n)), np.ones(n)
-    nearest = d.argmin(axis=1)
-    near = d[np.arange(n), nearest]
-    joins = []
-    for step in range(n - 1):
-        i = int(np.argmin(near))
-        j = int(nearest[i])
-        height = float(near[i])
-        to_i, to_j = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])
-        far = np.maximum(to_i, to_j) if method == "complete" else (size[i] * to_i + size[j] * to_j) / (size[i] + size[j])
-        far[j] = np.inf
-        far[~np.isfinite(to_i)] = np.inf
-        d[i, i + 1 :], d[:i, i] = far[i + 1 :], far[:i]
-        d[j], d[:, j] = np.inf, np.inf
-        near[j] = np.inf
-        size[i] += size[j]
-        joins.append((node[i], node[j], height))
-        node[i] = n + step
-        stale = np.isfinite(near) & ((nearest == i) | (nearest == j))
-        stale[i] = True
-        closer = ~stale & ((d[:, i] < near) | ((d[:, i] == near) & (i < nearest))) & np.isfinite(near)
-        near[closer], nearest[closer] = d[closer, i], i
-        for r in np.flatnonzero(stale):
-            nearest[r] = d[r].argmin()
-            near[r] = d[r, nearest[r]]
-    return joins
-
+    return gram.correlations(patterns.select(F.col("pattern").alias("label"), "idx", "value"))
 
-def complete_linkage(distance: np.ndarray, k: int) -> list[int]:
-    """Cluster numbers, in order of first appearance, of the complete-linkage tree cut into k clusters."""
-    n = len(distance)
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for step, (x, y, _) in enumerate(linkage(distance)[: max(0, n - max(1, k))]):
-        members[n + step] = members.pop(x) + members.pop(y)
-    label = [0] * n
-    for number, own in enumerate(sorted(members.values(), key=min)):
-        for m in own:
-            label[m] = number
-    return label
 
+def cluster(correlations: DataFrame, cut: int, least: int, most: int) -> DataFrame:
+    """pattern, cluster of rows (a, b, r): the complete-linkage tree on 1 - r, cut into clusters of bounded size.
 
-def leaf_order(distance: np.ndarray, method: str = "average") -> list[int]:
-    """The items from left to right under the tree, each join's first cluster on the left."""
-    n = len(distance)
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for step, (x, y, _) in enumerate(linkage(distance, method)):
-        members[n + step] = members.pop(x) + members.pop(y)
-    return [i for own in members.values() for i in own]
-
-
-def cluster(correlation: np.ndarray, cut: int, least: int, most: int) -> list[list[int]]:
-    """Clusters of patterns with ``least`` to ``most`` members where splitting allows.
-
-    The tree on 1 - r is cut into ``cut``; small clusters are dropped; large ones are split
-    in two again and again, and pieces that are too small are dropped.  If both pieces
-    are too small the cluster stays whole.
+    Patterns are numbered by their names, and clusters by their first pattern.
     """
-    if np.isnan(correlation).any():
-        raise ValueError("a pattern is constant, so it has no correlation")
-
-    def parts(own: list[int], k: int) -> list[list[int]]:
-        label = complete_linkage(1 - correlation[np.ix_(own, own)], k)
-        return [[own[i] for i, x in enumerate(label) if x == n] for n in range(max(label) + 1)]
-
-    waiting = [c for c in parts(list(range(len(correlation))), cut) if len(c) >= least]
-    done = []
-    while waiting:
-        own = waiting.pop(0)
-        pieces = [c for c in parts(own, 2) if len(c) >= least] if len(own) > most else []
-        if pieces:
-            waiting += pieces
-        else:
-            done.append(own)
-    return done
+    names = checkpointed(correlations.where("a = b").select(F.col("a").alias("pattern")))
+    # one row per pattern
+    numbered = checkpointed(names.select("pattern", (F.row_number().over(Window.orderBy("pattern")) - 1).cast("long").alias("idx")))
+    ends = [numbered.select(F.col("pattern").alias(end), F.col("idx").alias(to)) for end, to in (("a", "x"), ("b", "y"))]
+    distances = correlations.where("a < b").join(ends[0], "a").join(ends[1], "b").select("x", "y", (1 - F.col("r")).alias("d"))
+    tree = trees.agglomerate(numbered, distances, "complete")
+    return trees.bounded_clusters(checkpointed(tree), cut, least, most).join(numbered, "idx").select("pattern", "cluster")
 
 
 def correlation_to_mean(clustered: DataFrame) -> DataFrame:
@@ -119,14 +43,11 @@ def consensus_patterns(clustered: DataFrame) -> DataFrame:
 
 def match_patterns(spark: SparkSession, patterns: DataFrame, cut: int, least: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(consensus, correlations to the mean, clustered patterns) of rows (pattern, idx, value)."""
-    names = [r["pattern"] for r in patterns.select("pattern").distinct().orderBy("pattern").collect()]
-    place = {n: i for i, n in enumerate(names)}
-    r = np.full((len(names), len(names)), np.nan)
-    for row in pattern_correlations(patterns).collect():  # a row per pair of patterns
-        r[place[row["a"]], place[row["b"]]] = np.nan if row["r"] is None else row["r"]
-    clusters = cluster(r, cut, least, most)
-    if not clusters:
+    found = checkpointed(pattern_correlations(patterns))
+    if patterns.select("pattern").distinct().count() != found.where("a = b").count():
+        raise ValueError("a pattern is constant, so it has no correlation")
+    labels = checkpointed(cluster(found, cut, least, most))
+    if not labels.limit(1).count():
         raise ValueError("no cluster of patterns is large enough; lower min_ns or cut")
-    labels = spark.createDataFrame([(c, names[i]) for c, own in enumerate(clusters) for i in own], "cluster int, pattern string")
-    clustered = patterns.join(F.broadcast(labels), "pattern")
+    clustered = patterns.join(F.broadcast(labels), "pattern")  # a row per pattern
     return consensus_patterns(clustered), correlation_to_mean(clustered), clustered

@@ -276,7 +276,8 @@ def _two_stages(cell: DataFrame, params: Params, n_rows: int, n_cols: int, named
     if params.explicit_sets is not None:
         sets = subsets.explicit_sets(spark, params.explicit_sets, named.where(F.col("axis") == ("A" if genome else "P")))
     elif params.sampling_annotation is not None:
-        sets = subsets.weighted_sets(spark, params.sampling_annotation, params.sampling_weight or {}, params.n_sets, params.seed)
+        annotation = spark.createDataFrame(list(enumerate(params.sampling_annotation)), "idx long, name string")
+        sets = subsets.weighted_sets(annotation, params.sampling_weight or {}, params.n_sets, params.seed)
     else:
         sets = subsets.uniform_sets(spark.range(size).withColumnRenamed("id", "idx"), params.n_sets, params.seed)
     subsets.check_sizes(sets, params.n_patterns)

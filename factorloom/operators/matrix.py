@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import default_sigma, z_score
 from ..runtime import checkpointed
+from . import gram as inner
 
 #: The smaller factor of a product is broadcast up to this many rows of arrays.
 BROADCAST_ROWS = 200_000
@@ -236,9 +237,12 @@ def posterior(samples: DataFrame) -> DataFrame:
 
 
 def correlations(factor: DataFrame) -> DataFrame:
-    """k, l, r: Pearson correlations of the patterns of one factor."""
-    other = factor.select("idx", F.col("k").alias("l"), F.col("mean").alias("other"))
-    return factor.join(other, "idx").groupBy("k", "l").agg(F.corr("mean", "other").alias("r"))
+    """k, l, r: Pearson correlations of the patterns of one factor; null where one doesn't vary."""
+    found = inner.correlations(factor.select(F.col("k").alias("label"), "idx", F.col("mean").alias("value")))
+    patterns = factor.groupBy("k").agg((F.max("mean") == F.min("mean")).alias("flat"))
+    every = patterns.agg(F.sort_array(F.collect_set("k")).alias("all"))  # one row
+    pairs = patterns.join(F.broadcast(every)).select("k", F.explode("all").alias("l"))
+    return pairs.join(found.select(F.col("a").alias("k"), F.col("b").alias("l"), "r"), ["k", "l"], "left")
 
 
 def tabulate(frame: DataFrame, column: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .consensus import leaf_order
+from ..runtime import checkpointed
+from . import gram, trees
 
-#: Genes or samples that can be put in the order of a tree, whose distances are held by the driver.
-MOST_LEAVES = 4096
+#: Genes or samples that can be put in the order of a tree; there is a distance for each pair.
+MOST_LEAVES = 50_000
 
 
 def pattern_lines(p: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -43,34 +43,31 @@ def marker_heat_map(cell: DataFrame, markers: DataFrame) -> DataFrame:
     return scaled.join(genes, "i").join(samples, "j")
 
 
-def tree_order(cell: DataFrame, axis: str = "i") -> DataFrame:
-    """idx, place: rows (or columns, axis "j") in the order of an average-linkage tree.
+def tree_distances(cell: DataFrame, axis: str = "i") -> tuple[DataFrame, DataFrame]:
+    """(leaves, distances): half of one minus the correlation of two rows (or columns, axis "j").
 
-    The distance of two is half of one minus the correlation of their values; one whose
-    values are all equal has correlation 0.  Missing cells are zero.
+    Missing cells are zero; one whose values are all equal has correlation 0.
     """
     other = {"i": "j", "j": "i"}[axis]
-    spark = cell.sparkSession
-    ids = [r[0] for r in cell.select(axis).distinct().orderBy(axis).limit(MOST_LEAVES + 1).collect()]
-    if len(ids) > MOST_LEAVES:
+    cell = checkpointed(cell.select(F.col(axis).alias("label"), F.col(other).alias("idx"), "value"))
+    n = cell.select("idx").distinct().count()
+    leaves = cell.groupBy("label").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    leaves = checkpointed(leaves.select(F.col("label").alias("idx"), "s", (F.col("q") - F.col("s") * F.col("s") / n).alias("v")))
+    if leaves.count() > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
-    n = cell.select(other).distinct().count()
-    sums = cell.groupBy(axis).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    left, right = (cell.select(F.col(axis).alias(x), F.col(other).alias("c"), F.col("value").alias(f"v{x}")) for x in ("x", "y"))
-    cross = left.join(right, "c").where("x < y").groupBy("x", "y").agg(F.sum(F.col("vx") * F.col("vy")).alias("xy"))
-    place = {x: k for k, x in enumerate(ids)}
-    s, q = np.zeros(len(ids)), np.zeros(len(ids))
-    for r in sums.collect():
-        s[place[r[0]]], q[place[r[0]]] = r["s"], r["q"]
-    dot = np.diag(q)
-    for r in cross.collect():  # at most a row per pair of leaves
-        dot[place[r["x"]], place[r["y"]]] = dot[place[r["y"]], place[r["x"]]] = r["xy"]
-    covariance = dot - np.outer(s, s) / n
-    spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
-    whole = np.outer(spread, spread)
-    correlation = np.where(whole > 1e-12, covariance / np.where(whole > 1e-12, whole, 1.0), 0.0)
-    order = leaf_order((1 - np.round(correlation, 12)) / 2)
-    return spark.createDataFrame([(int(ids[i]), k) for k, i in enumerate(order)], "idx long, place int")
+    # a distance for each pair, by nature: the leaves are one array beside every leaf
+    every = leaves.agg(F.collect_list(F.struct("idx", "s", "v")).alias("all"))
+    one = leaves.select(F.col("idx").alias("x"), F.col("s").alias("sx"), F.col("v").alias("vx"))
+    pairs = one.join(F.broadcast(every)).select("x", "sx", "vx", F.explode(F.filter("all", lambda l: l["idx"] > F.col("x"))).alias("l")).select("x", "sx", "vx", F.col("l.idx").alias("y"), F.col("l.s").alias("sy"), F.col("l.v").alias("vy"))
+    met = gram.inner_products(cell).select(F.col("a").alias("x"), F.col("b").alias("y"), "sab")
+    whole = F.sqrt(F.greatest("vx", F.lit(0.0))) * F.sqrt(F.greatest("vy", F.lit(0.0)))
+    r = F.when(whole > 1e-12, (F.coalesce("sab", F.lit(0.0)) - F.col("sx") * F.col("sy") / n) / whole).otherwise(0.0)
+    return leaves.select("idx"), pairs.join(met, ["x", "y"], "left").select("x", "y", ((1 - F.round(r, 12)) / 2).alias("d"))
+
+
+def tree_order(cell: DataFrame, axis: str = "i") -> DataFrame:
+    """idx, place, height: rows (or columns, axis "j") in the order of an average-linkage tree, and the height of the join that each begins the right side of."""
+    return trees.agglomerate(*tree_distances(cell, axis), "average").select("idx", F.col("place").cast("int").alias("place"), "height")
 
 
 def separators(markers: DataFrame) -> DataFrame:

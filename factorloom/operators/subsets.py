@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import digest, uniform
+from ..runtime import checkpointed
 
 SETS = "set_id int, pos int, idx long"
 
@@ -29,16 +30,23 @@ def uniform_sets(ids: DataFrame, n_sets: int, seed: int) -> DataFrame:
     return dealt.select("set_id", (F.row_number().over(Window.partitionBy("set_id").orderBy("idx")) - 1).cast("int").alias("pos"), "idx")
 
 
-def weighted_sets(spark: SparkSession, annotation: Sequence[str], weights: Mapping[str, float], n_sets: int, seed: int) -> DataFrame:
-    """Sets of floor(n / n_sets) ids: groups drawn by weight, ids of a group with replacement.
+def weighted_sets(annotation: DataFrame, weights: Mapping[str, float], n_sets: int, seed: int) -> DataFrame:
+    """Sets of floor(n / n_sets) of the ids of a table (idx, name): groups (names) drawn by weight, ids of a group with replacement.
 
-    Draw t of set s is decided by digests of (seed, s, t), so ids may repeat.
+    Draw t of set s is decided by digests of (seed, s, t), so ids may repeat.  Members of a
+    group are numbered within ranges of ids, whose sizes are summed beside them, so a group
+    that holds most ids is no single task's.
     """
+    spark = annotation.sparkSession
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must not be negative, and some must be positive")
-    labels = spark.createDataFrame(list(enumerate(annotation)), "idx long, name string")
-    of_group = Window.partitionBy("name").orderBy("idx")
-    members = labels.select("name", "idx", (F.row_number().over(of_group) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias("size"))
+    ranged = checkpointed(annotation.select("idx", "name").repartitionByRange("name", "idx").withColumn("part", F.spark_partition_id()))
+    n = ranged.count()
+    # a row for each group and range
+    counts = ranged.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("name", "part", F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("name", "part").orderBy("idx")) - 1
+    members = ranged.withColumn("inside", inside).join(before, ["name", "part"]).select("name", "idx", (F.col("before") + F.col("inside")).cast("long").alias("place"))
     total, upto, bounds = sum(weights.values()), 0.0, []
     for name in sorted(weights):
         bounds.append((name, upto / total, (upto + weights[name]) / total))
@@ -47,12 +55,12 @@ def weighted_sets(spark: SparkSession, annotation: Sequence[str], weights: Mappi
     chosen = None
     for i, (name, _, high) in reversed(list(enumerate(bounds))):
         chosen = F.lit(name) if i >= last else F.when(F.col("u") < high, F.lit(name)).otherwise(chosen)
-    each = max(1, len(annotation) // n_sets)
+    each = max(1, n // n_sets)
     tries = spark.range(n_sets).select(F.col("id").cast("int").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("t"))
     drawn = tries.withColumn("u", uniform(seed, F.col("set_id"), F.col("t"), 0)).select("set_id", "t", chosen.alias("name"), uniform(seed, F.col("set_id"), F.col("t"), 1).alias("v"))
-    sizes = members.select("name", "size").distinct()
+    sizes = counts.groupBy("name").agg(F.sum("n").alias("size"))
     placed = drawn.join(sizes, "name").withColumn("place", F.floor(F.col("v") * F.col("size")))
-    rows = placed.join(members.drop("size"), ["name", "place"])
+    rows = placed.join(members, ["name", "place"])
     return rows.select("set_id", (F.row_number().over(Window.partitionBy("set_id").orderBy("idx", "t")) - 1).cast("int").alias("pos"), "idx")
 
 

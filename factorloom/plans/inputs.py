@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SQL = """
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT CAST(substr(p_brand, 7) AS BIGINT) AS i, p_brand AS name, p_type AS type, l_suppkey AS j, l_quantity AS q, l_discount AS disc, l_linenumber AS iter,
          CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k
   FROM lineitem JOIN part ON l_partkey = p_partkey),

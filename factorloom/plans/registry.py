@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Params
 from ..operators import consensus, factorize, genesets, manova, markers, matrix, plots, subsets
 from ..functions import keyed
-from . import inputs
+from . import inputs, tree_sql
 from .base import ITERATIONS, ORACLE_SQL, QUERIES
 from .base import query as _query
 from .base import rounded as _r
@@ -393,12 +393,19 @@ def set_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"""{_ORA.join([", mk AS (", ")"])}, mine AS (SELECT mk.lp, mk.rank, mk.idx AS i, mk.name, d.j, d.value FROM mk JOIN d ON d.i = mk.idx WHERE is_marker)
-SELECT lp, rank, i, name, j, round(value, 6) AS value, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 5) AS scaled FROM mine WINDOW w AS (PARTITION BY lp, i)"""
+    f"""{_ORA.join([", mk AS (", ")"])}, mine AS (SELECT mk.lp, mk.rank, mk.idx AS i, mk.name, d.j, d.value FROM mk JOIN d ON d.i = mk.idx WHERE is_marker), own AS (SELECT DISTINCT i, j, value FROM mine),
+{tree_sql.tree("tg", *tree_sql.correlation_distances("own", "i"), "average")}, {tree_sql.tree("ts", *tree_sql.correlation_distances("own", "j"), "average")}
+SELECT lp, rank, i, name, j, round(value, 6) AS value, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 5) AS scaled, CAST(tg.place AS INTEGER) AS gene_place, CAST(ts.place AS INTEGER) AS sample_place
+FROM mine JOIN tg ON tg.idx = i JOIN ts ON ts.idx = j WINDOW w AS (PARTITION BY lp, i)"""
 )
 def marker_heat_map(spark: SparkSession, sf: str) -> DataFrame:
     found = markers.pattern_markers(inputs.a(spark, sf), inputs.p(spark, sf))
-    return plots.marker_heat_map(inputs.d(spark, sf), found).select("lp", "rank", "i", "name", "j", _r("value"), _r("scaled", 5))
+    return plots.marker_heat_map(inputs.d(spark, sf), found).select("lp", "rank", "i", "name", "j", _r("value"), _r("scaled", 5), "gene_place", "sample_place")
+
+
+@_query(f", {tree_sql.tree('t', *tree_sql.correlation_distances('d', 'i'), 'average')} SELECT idx, CAST(place AS INTEGER) AS place, round(height, 8) AS height FROM t")
+def marker_tree_order(spark: SparkSession, sf: str) -> DataFrame:
+    return plots.tree_order(inputs.d(spark, sf)).select("idx", "place", _r("height", 8))
 
 
 # --- without an SQL twin: chains ---------------------------------------------------
@@ -422,9 +429,4 @@ def two_stage_factorization(spark: SparkSession, sf: str) -> DataFrame:
     return factorize.factorize(cell, Params(3, n_iterations=ITERATIONS, seed=42, distributed="genome-wide", n_sets=3, min_ns=1)).factors
 
 
-@_query()
-def marker_tree_order(spark: SparkSession, sf: str) -> DataFrame:
-    return plots.tree_order(inputs.d(spark, sf))
-
-
 from . import chains, facts, files, scalars  # noqa: E402, F401  (they register their queries)

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import consensus, kernel, matrix, subsets
-from ..runtime import ship_package
-from . import inputs
+from ..operators import consensus, gram, kernel, matrix, subsets, trees
+from ..runtime import checkpointed, ship_package
+from . import inputs, tree_sql
 from .base import query, rounded
 
 #: Values from a table as the functions' arguments: x in [0, 0.1] and z in [-2.5, 2.5].
@@ -58,10 +58,10 @@ def clock_times(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_size", scalars.clock(F.col("p_size") * 977).alias("clock")).distinct()
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first, CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS second, CASE WHEN k = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS third FROM generate_series(0, 2) g(k)")
+@query("SELECT i, k, " + ", ".join(f"CAST(CASE WHEN k = {n} THEN 1 ELSE 0 END AS DOUBLE) AS {x}" for n, x in enumerate(("first", "second", "third"))) + " FROM a")
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    v = scalars.one_hot(3, F.col("id"))
-    return spark.range(3).select(F.col("id").cast("int").alias("k"), v[0].alias("first"), v[1].alias("second"), v[2].alias("third"))
+    v = scalars.one_hot(3, F.col("k"))
+    return inputs.a(spark, sf).select(F.col("idx").alias("i"), "k", v[0].alias("first"), v[1].alias("second"), v[2].alias("third"))
 
 
 @query(
@@ -94,19 +94,19 @@ def uniform_sets(spark: SparkSession, sf: str) -> DataFrame:
     return subsets.uniform_sets(inputs.d(spark, sf).select(F.col("i").alias("idx")).distinct(), 4, 1)
 
 
-_ANNOTATION = tuple("xyz"[i % 7 % 3] for i in range(60))
 _U = "CAST('0x' || substr(md5('5:' || CAST(set_id AS VARCHAR) || ':' || CAST(t AS VARCHAR) || ':{}'), 1, 13) AS BIGINT) / 4503599627370496.0"
 
 
 @query(
-    f""", lab AS (SELECT i AS idx, substr('xyz', CAST(i % 7 % 3 + 1 AS BIGINT), 1) AS name FROM generate_series(0, 59) g(i)),
-mem AS (SELECT name, idx, row_number() OVER (PARTITION BY name ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY name) AS size FROM lab),
-t AS (SELECT s.set_id, t.t FROM generate_series(0, 2) s(set_id) CROSS JOIN generate_series(0, 19) t(t)),
-dr AS (SELECT set_id, t, CASE WHEN {_U.format(0)} < 0.75 THEN 'x' ELSE 'z' END AS name, {_U.format(1)} AS v FROM t)
+    f""", mem AS (SELECT p_type AS name, p_partkey AS idx, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part),
+t AS (SELECT s.set_id, t.t FROM generate_series(0, 2) s(set_id) CROSS JOIN (SELECT unnest(range(greatest(1, count(*) // 3))) AS t FROM part) t),
+dr AS (SELECT set_id, t, CASE WHEN {_U.format(0)} < 0.25 THEN 'PROMO' WHEN {_U.format(0)} < 1.0 THEN 'SMALL' END AS name, {_U.format(1)} AS v FROM t)
 SELECT CAST(set_id AS INTEGER) AS set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY idx, t) - 1 AS INTEGER) AS pos, idx FROM dr JOIN mem ON mem.name = dr.name AND mem.place = floor(dr.v * mem.size)"""
 )
 def weighted_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return subsets.weighted_sets(spark, _ANNOTATION, {"x": 3.0, "y": 0.0, "z": 1.0}, 3, 5)
+    """Sets of parts, drawn by the weights of their types."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("name"))
+    return subsets.weighted_sets(part, {"SMALL": 3.0, "LARGE": 0.0, "PROMO": 1.0}, 3, 5)
 
 
 @query("SELECT CAST(set_id AS INTEGER) AS set_id, CAST(pos AS INTEGER) AS pos, i AS idx FROM (VALUES (0, 0, 'Brand#4'), (0, 1, 'Brand#2'), (1, 0, 'Brand#9'), (1, 1, 'Brand#4')) x(set_id, pos, name) JOIN (SELECT DISTINCT i, name FROM a) USING (name)")
@@ -117,26 +117,40 @@ def explicit_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- clusters ------------------------------------------------------------------------
 
-#: Two tight groups, a pair and a loner, by the places of their patterns on a line; distances are differences.
-_PLACES = (0.00, 0.03, 0.05, 0.40, 0.41, 0.46, 0.47, 0.90)
+_PATTERNS = """, pat AS (SELECT CAST(iter AS VARCHAR) || '.' || CAST(k AS VARCHAR) AS pattern, idx, mean AS value FROM samples), num AS (SELECT pattern, row_number() OVER (ORDER BY pattern) - 1 AS idx FROM (SELECT DISTINCT pattern FROM pat)),
+cor AS (SELECT p.idx AS x, q.idx AS y, 1 - r AS d FROM (SELECT a.pattern AS a, b.pattern AS b, corr(a.value, b.value) AS r FROM pat a JOIN pat b ON a.idx = b.idx AND a.pattern < b.pattern GROUP BY ALL) JOIN num p ON p.pattern = a JOIN num q ON q.pattern = b),
+""" + tree_sql.tree("tr", "SELECT idx FROM num", "SELECT * FROM cor", "complete")
 
 
-def _clusters(spark: SparkSession, cut: int, least: int, most: int) -> DataFrame:
-    x = np.array(_PLACES)
-    found = consensus.cluster(1 - np.abs(x[:, None] - x[None, :]), cut, least, most)
-    return spark.createDataFrame([(n, i) for n, own in enumerate(found) for i in own], "cluster int, pattern int")
+def _clustered(cut: int, least: int, most: int) -> str:
+    return _PATTERNS + ", " + tree_sql.bounded("bc", "tr", cut, least, most) + " SELECT num.pattern, CAST(cluster AS INTEGER) AS cluster FROM bc JOIN num USING (idx)"
 
 
-@query("SELECT cluster, pattern FROM (SELECT CAST(CASE WHEN x < 0.2 THEN 0 ELSE 1 END AS INTEGER) AS cluster, CAST(pattern AS INTEGER) AS pattern, x FROM (VALUES (0, 0.00), (1, 0.03), (2, 0.05), (3, 0.40), (4, 0.41), (5, 0.46), (6, 0.47), (7, 0.90)) v(pattern, x)) WHERE x < 0.8")
+def _clusters(spark: SparkSession, sf: str, cut: int, least: int, most: int) -> DataFrame:
+    found = inputs.samples(spark, sf).select(F.concat_ws(".", "iter", "k").alias("label"), "idx", F.col("mean").alias("value"))
+    return consensus.cluster(checkpointed(gram.correlations(found)), cut, least, most).select("pattern", "cluster")
+
+
+@query(_clustered(5, 2, 99))
 def clustered_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete linkage on the line: cut at 3 gives the groups below 0.2, below 0.8 and the rest, which is too small."""
-    return _clusters(spark, 3, 2, 9)
+    """Patterns of line numbers and return flags over brands, by complete linkage, without loners."""
+    return _clusters(spark, sf, 5, 2, 99)
 
 
-@query("SELECT CAST(cluster AS INTEGER) AS cluster, CAST(pattern AS INTEGER) AS pattern FROM (VALUES (0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6)) v(cluster, pattern)")
+@query(_clustered(2, 2, 4))
 def split_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The group of four is over the most and splits where its halves are farthest apart."""
-    return _clusters(spark, 3, 2, 3)
+    """Clusters over the most are split where they were joined last."""
+    return _clusters(spark, sf, 2, 2, 4)
+
+
+@query(_PATTERNS + " SELECT idx, place, round(height, 8) AS height FROM tr")
+def pattern_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole tree: order and heights."""
+    found = checkpointed(gram.correlations(inputs.samples(spark, sf).select(F.concat_ws(".", "iter", "k").alias("label"), "idx", F.col("mean").alias("value"))))
+    numbered = found.where("a = b").select(F.col("a").alias("label"), (F.row_number().over(Window.orderBy("a")) - 1).cast("long").alias("n"))
+    ends = [numbered.select(F.col("label").alias(e), F.col("n").alias(to)) for e, to in (("a", "x"), ("b", "y"))]
+    distances = found.where("a < b").join(ends[0], "a").join(ends[1], "b").select("x", "y", (1 - F.col("r")).alias("d"))
+    return trees.agglomerate(numbered.select(F.col("n").alias("idx")), distances).select("idx", "place", rounded("height", 8))
 
 
 # --- the sampler's arithmetic ----------------------------------------------------------

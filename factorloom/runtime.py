@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.errors import PySparkException
@@ -72,3 +73,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder, which outlives any executor."""
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same by a table in the shared checkpoint folder.
+
+    Loops use it: what a checkpointed plan keeps of its origin (estimates and constraints)
+    grows with every round, and a table keeps nothing.
+    """
+    spark = df.sparkSession
+    place = f"{shared_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -179,19 +179,6 @@ def test_manova_against_least_squares(spark):
     assert abs(manova.beta_tail(0.8, 2.5, 3.5) - density[grid > 0.8].sum() / density.sum()) < 1e-6
 
 
-def test_clusters():
-    r = np.eye(6)
-    for group in ((0, 1, 2), (3, 4)):
-        for i in group:
-            for j in group:
-                r[i, j] = 1.0 if i == j else 0.9
-    assert consensus.cluster(r, 3, 2, 6) == [[0, 1, 2], [3, 4]]
-    assert consensus.cluster(r, 3, 1, 2) == [[3, 4], [5], [0, 1], [2]]
-    assert consensus.cluster(r, 3, 3, 2)[0] == [0, 1, 2]
-    with pytest.raises(ValueError):
-        consensus.cluster(np.full((2, 2), np.nan), 2, 1, 3)
-
-
 # --- sets and runs ----------------------------------------------------------------
 
 
@@ -205,7 +192,7 @@ def test_sets(spark):
     a = subsets.uniform_sets(ids, 3, 7).orderBy("set_id", "pos").collect()
     assert [sum(r.set_id == s for r in a) for s in range(3)] == [3, 3, 4] and sorted(r.idx for r in a) == list(range(10))
     assert subsets.uniform_sets(ids.repartition(5), 3, 7).orderBy("set_id", "pos").collect() == a
-    w = subsets.weighted_sets(spark, ["x"] * 6 + ["y"] * 6, {"x": 1, "y": 0}, 2, 1).collect()
+    w = subsets.weighted_sets(spark.createDataFrame(list(enumerate("xxxxxxyyyyyy")), "idx long, name string"), {"x": 1, "y": 0}, 2, 1).collect()
     assert len(w) == 12 and all(r.idx < 6 for r in w)
     e = subsets.explicit_sets(spark, (("b", "a"), ("c",)), spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, name string")).orderBy("set_id", "pos").collect()
     assert [(r.set_id, r.pos, r.idx) for r in e] == [(0, 0, 1), (0, 1, 0), (1, 0, 2)]
