@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from ..functions import special
 from ..functions.keyed import distinct_places
 from ..runtime import checkpointed
 from .matrix import z_scores
@@ -148,11 +147,6 @@ def hypergeometric_tail(overlap: int, drawn: int, good: int, total: int) -> floa
     return min(1.0, math.fsum(math.exp(t) for t in terms))
 
 
-@F.pandas_udf(DoubleType())
-def _tail(overlap: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_tail(*map(int, row)) for row in zip(overlap, drawn, good, total, strict=True)], dtype="float64")
-
-
 def overrepresentation(markers: DataFrame, sets: DataFrame, most: int = 2038) -> DataFrame:
     """lp, gene_set, overlap, size, n_markers, p, padj, neg_log_padj, ratio: markers of each
     pattern in each set, against draws from all rows.  Sets larger than ``most`` are left out."""
@@ -166,7 +160,7 @@ def overrepresentation(markers: DataFrame, sets: DataFrame, most: int = 2038) ->
     hits = own.join(known, "name").groupBy("lp", "gene_set").agg(F.count(F.lit(1)).alias("overlap"))
     pairs = counts.join(F.broadcast(total)).join(sizes)  # a row per pattern, beside one row, against the sets
     tests = pairs.join(hits, ["lp", "gene_set"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
-    scored = adjusted(tests.withColumn("p", _tail("overlap", "n_markers", "size", "total")), by=["lp"])
+    scored = adjusted(tests.withColumn("p", special.hypergeometric_tail(F.col("overlap"), F.col("n_markers"), F.col("size"), F.col("total"))), by=["lp"])
     return scored.select("lp", "gene_set", "overlap", "size", "n_markers", "p", "padj", (-10 * F.log10("padj")).alias("neg_log_padj"), (F.col("overlap") / F.col("size")).alias("ratio"))
 
 

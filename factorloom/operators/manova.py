@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def codes(frame: DataFrame, column: str) -> DataFrame:
@@ -39,11 +37,6 @@ def beta_tail(x: float, a: float, b: float) -> float:
     return 1 - lower(x, a, b) if x < (a + 1) / (a + b + 2) else lower(1 - x, b, a)
 
 
-@F.pandas_udf(DoubleType())
-def _p_value(pillai: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([beta_tail(v, 1.0, (m - 3) / 2) if m > 3 else None for v, m in zip(pillai, n, strict=True)], dtype="float64")
-
-
 def pillai(samples: DataFrame, factor: DataFrame, first: str, second: str) -> DataFrame:
     """k, n, pillai, f, for one predictor (the pattern) and the pair of responses.
 
@@ -63,4 +56,6 @@ def pillai(samples: DataFrame, factor: DataFrame, first: str, second: str) -> Da
 def manova(samples: DataFrame, factor: DataFrame, first: str, second: str) -> DataFrame:
     """Pillai's trace, its F and p for each pattern; the responses are coded from their levels."""
     coded = codes(codes(samples.select("idx", first, second), first), second)
-    return pillai(coded, factor, first, second).withColumn("p", _p_value("pillai", "n"))
+    # the upper tail of a beta distribution whose first parameter is 1 is a power
+    p = F.when(F.col("n") > 3, F.pow(1 - F.col("pillai"), (F.col("n") - 3) / 2))
+    return pillai(coded, factor, first, second).withColumn("p", p)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..model import Params
 from ..operators import checkpoints, factorize, matrix
-from ..runtime import shared_checkpoint_dir
+from ..runtime import checkpointed, shared_checkpoint_dir
+from ..streaming import moments
 from . import inputs
 from .base import query, rounded
 
@@ -134,13 +135,6 @@ def first_pass_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return out.unmatched_patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(iter AS INTEGER) AS iter, round(least(1.0, 2.0 * iter / 50), 6) AS heat FROM generate_series(1, 50) g(iter)")
-def temperatures(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.kernel import heat
-
-    return spark.createDataFrame([(k, round(heat("equilibration", k, 50), 6)) for k in range(1, 51)], "iter int, heat double")
-
-
 _RATE = "0.01 * sqrt(2 / (sum(value) / count(*) FILTER (WHERE value > 0)))"
 
 
@@ -152,3 +146,15 @@ def hyper_parameters(spark: SparkSession, sf: str) -> DataFrame:
     p = Params(2)
     side = Side(25, p.n_patterns, p.alpha_a, float(matrix.moments(inputs.m(spark, sf)).first()["nonzero_mean"]), p.max_gibbs_mass_a)
     return spark.createDataFrame([(round(side.rate, 9), round(side.max_mass, 4), round(side.line_rate, 6))], "rate double, max_mass double, births double")
+
+
+@query("SELECT idx, k, round(mean, 5) AS mean, round(sd, 5) AS sd, coalesce(t.n, 0) AS top FROM (SELECT idx, k, avg(mean) AS mean, stddev_samp(mean) AS sd FROM samples GROUP BY idx, k) LEFT JOIN (SELECT idx, k, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY iter, idx ORDER BY mean DESC, k) AS n FROM samples) WHERE n = 1 GROUP BY idx, k) t USING (idx, k)")
+def streamed_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of samples, folded by a stream that ends after half of them and is started again."""
+    place = f"{shared_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = inputs.samples(spark, sf).groupBy("iter", "idx").agg(F.array(*[F.max(F.when(F.col("k") == k, F.col("mean"))) for k in range(3)]).alias("v"))
+    rows = checkpointed(rows.select(F.col("iter").cast("long").alias("iter"), "idx", "v"))
+    for part in (rows.where("iter <= 3"), rows.where("iter > 3")):
+        part.write.mode("append").parquet(f"{place}/samples")
+        moments.fold(spark, f"{place}/samples", f"{place}/state", f"{place}/stream", 4).awaitTermination()
+    return moments.moments(spark, f"{place}/state").select("idx", "k", rounded("mean", 5), rounded("sd", 5), "top")

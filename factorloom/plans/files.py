@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -246,3 +248,17 @@ def prepared_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT i, j, round(value - 600, 4) AS value FROM m WHERE value - 600 > 0")
 def positive_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(matrix.positive(inputs.m(spark, sf).withColumn("value", F.col("value") - 600)))
+
+
+@query(
+    """SELECT 'A' AS axis, i AS idx, 'Brand#' || CAST(i + 1 AS VARCHAR) AS name, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT i FROM m) CROSS JOIN generate_series(0, 1) g(k)
+UNION ALL SELECT 'P', j, 'L' || CAST(j + 1 AS VARCHAR), CAST(k AS INTEGER) FROM (SELECT DISTINCT j FROM m) CROSS JOIN generate_series(0, 1) g(k)"""
+)
+def command_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The factors that `python -m factorloom` writes for a csv, with the file's names."""
+    from ..__main__ import main
+
+    place = f"{shared_checkpoint_dir(spark)}/command-{uuid.uuid4().hex}"
+    with contextlib.redirect_stdout(io.StringIO()):
+        main([_csv(spark, sf), place, "--patterns", "2", "--iterations", "20", "--normalize"])
+    return matrix_files.read_parquet(spark, place).factors.where("mean >= 0").select("axis", "idx", "name", "k")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, special
 from ..operators import consensus, gram, kernel, matrix, subsets, trees
 from ..runtime import checkpointed, ship_package
 from . import inputs, tree_sql
@@ -21,7 +21,6 @@ _CDF = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(sign(z) * exp((2 *
 
 
 def _arguments(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     x = F.col("l_discount")
     return spark.read.parquet(f"{sf}/lineitem.parquet").select(x.alias("x"), (x * 50 - 2.5).alias("z")).distinct()
 
@@ -29,8 +28,8 @@ def _arguments(spark: SparkSession, sf: str) -> DataFrame:
 @query(f", v AS ({_ARGUMENTS}) SELECT round(z, 6) AS z, round(exp(-z * z / 2) / sqrt(2 * pi()), 9) AS pdf, round({_CDF}, 8) AS cdf, round(z, 6) AS quantile FROM v")
 def normal_functions(spark: SparkSession, sf: str) -> DataFrame:
     z = F.col("z")
-    cdf = scalars.udf(scalars.normal_cdf)(z)
-    out = _arguments(spark, sf).select(z, scalars.udf(scalars.normal_pdf)(z).alias("pdf"), cdf.alias("cdf"), scalars.udf(scalars.normal_quantile)(cdf).alias("quantile"))
+    cdf = special.normal_cdf(z)
+    out = _arguments(spark, sf).select(z, special.normal_pdf(z).alias("pdf"), cdf.alias("cdf"), special.normal_quantile(cdf).alias("quantile"))
     return out.select(rounded("z"), rounded("pdf", 9), rounded("cdf", 8), rounded("quantile"))
 
 
@@ -40,10 +39,10 @@ SELECT round(y, 6) AS y, round(exp(ln(y) - y / 2) / 4, 9) AS pdf, round((SELECT
 )
 def gamma_functions(spark: SparkSession, sf: str) -> DataFrame:
     y = F.col("y")
-    two = lambda f, x: scalars.udf(f)(x, F.lit(2.0), F.lit(2.0))
+    two = lambda f, x: f(x, 2.0, 2.0)
     rows = _arguments(spark, sf).select((F.col("x") * 100 + 0.5).alias("y"))
-    out = rows.select(y, two(scalars.gamma_pdf, y).alias("pdf"), two(scalars.gamma_cdf, y).alias("cdf"), scalars.udf(scalars.lgamma)(y).alias("log_gamma"))
-    return out.select(rounded("y"), rounded("pdf", 9), rounded("cdf", 8), F.round(two(scalars.gamma_quantile, F.col("cdf")), 6).alias("quantile"), rounded("log_gamma", 8))
+    out = rows.select(y, two(special.gamma_pdf, y).alias("pdf"), two(special.gamma_cdf, y).alias("cdf"), special.log_gamma(y).alias("log_gamma"))
+    return out.select(rounded("y"), rounded("pdf", 9), rounded("cdf", 8), F.round(two(special.gamma_quantile, F.col("cdf")), 6).alias("quantile"), rounded("log_gamma", 8))
 
 
 @query("SELECT p_partkey, trim(' \"' || p_name || '\" ', ' \"') AS name, upper(p_name) || '-' || CAST(length(p_name) AS VARCHAR) AS label FROM part")

@@ -1,48 +1,29 @@
-"""Queries of rules that hold or don't: the sampler's invariants and distributions, parameters and results.
+"""Rules that hold or don't: the sampler's invariants and distributions, parameters and results."""
 
-Each gives rows (fact, holds); the SQL twin says which facts there must be, and that all hold.
-"""
-
-from __future__ import annotations
-
-import contextlib
-import io
 import pickle
-import uuid
 import warnings
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..model import Params, build_report
-from ..operators import factorize, kernel
-from ..runtime import ship_package, shared_checkpoint_dir
-from ..sources import matrix_files
-from . import files, inputs
-from .base import query
-
-_SCHEMA = "fact string, holds boolean"
+from factorloom.functions import scalars
+from factorloom.model import Params, build_report
+from factorloom.operators import factorize, kernel
+from factorloom.sources import matrix_files
 
 
-def _sql(*facts: str) -> str:
-    return f"SELECT fact, true AS holds FROM (VALUES {', '.join(f'({x!r})' for x in facts)}) v(fact)"
+def assert_all(facts):
+    assert facts and [name for name, holds in facts.items() if not holds] == []
 
 
-def _in_task(spark: SparkSession, facts: Callable[[], dict[str, bool]]) -> DataFrame:
-    """The facts as one task finds them."""
-    ship_package(spark)
+def test_formats():
+    told = {x: matrix_files.file_format(x) if matrix_files.supported(x) else "" for x in ("m.csv", "a.b/m.tsv", "m.gct", "m.mtx", "m.rds", "m.csv/x", "csv", "m.CSV", "m.h5ad")}
+    assert told == {"m.csv": "csv", "a.b/m.tsv": "tsv", "m.gct": "gct", "m.mtx": "mtx", "m.rds": "", "m.csv/x": "", "csv": "", "m.CSV": "", "m.h5ad": ""}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                found = facts()
-                yield pd.DataFrame({"fact": list(found), "holds": [bool(x) for x in found.values()]})
 
-    return spark.range(0, 1, 1, 1).mapInPandas(run, _SCHEMA)
+def test_temperatures():
+    assert [round(kernel.heat("equilibration", k, 50), 6) for k in range(1, 51)] == [min(1.0, 0.04 * k) if k < 25 else 1.0 for k in range(1, 51)]
+    assert kernel.heat("sampling", 1, 50) == 1.0
 
 
 def _data() -> np.ndarray:
@@ -78,17 +59,8 @@ def _invariants() -> dict[str, bool]:
     return out
 
 
-@query(
-    _sql(
-        *[
-            f"{name}: {fact}"
-            for name in ("dense", "sparse")
-            for fact in ("masses make the elements", "places lie on the line", "free slots are empty", "the statistic falls", "a round proposes at most once in a row", "a resumed chain equals a straight one", "another seed gives another chain")
-        ]
-    )
-)
-def sampler_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    return _in_task(spark, _invariants)
+def test_sampler_invariants():
+    assert_all(_invariants())
 
 
 def _near(x: float, want: float, by: float) -> bool:
@@ -139,22 +111,8 @@ def _proposals() -> dict[str, bool]:
     return out
 
 
-@query(
-    _sql(
-        "births come at alpha times the rate of deaths",
-        "without data masses are exponential",
-        "births are even over the line",
-        "unwelcome atoms die",
-        "rebirths follow the conditional distribution",
-        "exchanges keep the mass of both",
-        "exchanges follow the likelihood",
-        "an exchange in one bin keeps the element",
-        "moves go where the likelihood likes it",
-        "moves stay between the neighbours",
-    )
-)
-def proposal_distributions(spark: SparkSession, sf: str) -> DataFrame:
-    return _in_task(spark, _proposals)
+def test_proposal_distributions():
+    assert_all(_proposals())
 
 
 def _numbers() -> dict[str, bool]:
@@ -173,9 +131,8 @@ def _numbers() -> dict[str, bool]:
     }
 
 
-@query(_sql("uniform", "poisson of a small mean", "poisson of a large mean", "exponential", "one seed, one stream", "sets have streams of their own", "progress ends at 100"))
-def random_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return _in_task(spark, _numbers)
+def test_random_numbers():
+    assert_all(_numbers())
 
 
 def _refused(**settings) -> bool:
@@ -186,13 +143,7 @@ def _refused(**settings) -> bool:
     return False
 
 
-@query(
-    _sql(
-        "defaults", "none is no mode", "patterns are required", "positive counts", "known modes", "known sides", "known snapshot phases", "larger sets than the least", "as many explicit sets as sets",
-        "names or indices, not both", "weights of known groups", "alpha sets both sides", "largest mass sets both sides", "fewer patterns lower the cut", "distributed settings", "annotation", "unknown settings", "text and back", "shown",
-    )
-)
-def parameter_rules(spark: SparkSession, sf: str) -> DataFrame:
+def test_parameter_rules():
     p = Params(5, seed=1)
     ways = p.with_(n_sets=2, explicit_sets=((1,), (2,)))
     unknown = False
@@ -223,19 +174,18 @@ def parameter_rules(spark: SparkSession, sf: str) -> DataFrame:
         "text and back": Params.from_json(ways.to_json()) == ways,
         "shown": "patterns 5" in repr(p) and "seed 1" in repr(p),
     }
-    return spark.createDataFrame(list(facts.items()), _SCHEMA)
+    assert_all(facts)
 
 
-@query(_sql("loadings", "factors", "older names", "statistic", "version", "parameters", "shown", "only distributed runs have sets", "older entries", "overrides", "refuses negative values", "refuses too many patterns", "refuses uncertainty in sparse mode", "report"))
-def result_accessors(spark: SparkSession, sf: str) -> DataFrame:
-    m = inputs.m(spark, sf)
+def test_result_accessors(spark):
+    m = factorize.from_numpy(spark, np.random.default_rng(0).gamma(2, 40, (25, 7)))
     params = Params(2, n_iterations=10, seed=3, output_frequency=0)
     out = factorize.factorize(m, params, n_iterations=12)
     with warnings.catch_warnings(record=True) as told:
         warnings.simplefilter("always")
         nothing = [out.subsets, out.unmatched_patterns, out.clustered_patterns, out.correlation_to_mean]
 
-    def refused(cell: DataFrame, p: Params, **kw) -> bool:
+    def refused(cell, p, **kw):
         try:
             factorize.factorize(cell, p, **kw)
         except ValueError:
@@ -259,22 +209,8 @@ def result_accessors(spark: SparkSession, sf: str) -> DataFrame:
         "refuses uncertainty in sparse mode": refused(m, params.with_(sparse=True), uncertainty=m),
         "report": all(x in build_report() for x in ("factorloom", "spark", "numpy", "arrow")),
     }
-    return spark.createDataFrame([(k, bool(v)) for k, v in facts.items()], _SCHEMA)
+    assert_all(facts)
 
 
-def _ones(spark: SparkSession, n: int) -> DataFrame:
+def _ones(spark, n):
     return spark.range(n).select(F.col("id").alias("idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("mean", 1.0 + F.col("idx") % 3 + F.col("k"))
-
-
-@query(
-    """SELECT 'A' AS axis, i AS idx, 'Brand#' || CAST(i + 1 AS VARCHAR) AS name, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT i FROM m) CROSS JOIN generate_series(0, 1) g(k)
-UNION ALL SELECT 'P', j, 'L' || CAST(j + 1 AS VARCHAR), CAST(k AS INTEGER) FROM (SELECT DISTINCT j FROM m) CROSS JOIN generate_series(0, 1) g(k)"""
-)
-def command_line(spark: SparkSession, sf: str) -> DataFrame:
-    """The factors that `python -m factorloom` writes for a csv, with the file's names."""
-    from ..__main__ import main
-
-    place = f"{shared_checkpoint_dir(spark)}/command-{uuid.uuid4().hex}"
-    with contextlib.redirect_stdout(io.StringIO()):
-        main([files._csv(spark, sf), place, "--patterns", "2", "--iterations", "20", "--normalize"])
-    return matrix_files.read_parquet(spark, place).factors.where("mean >= 0").select("axis", "idx", "name", "k")
