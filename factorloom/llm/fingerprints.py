@@ -49,7 +49,8 @@ LEAF_CHARS = 160
 
 _SECTIONS = r"(?<=\n)(?=\n|#)"
 _PARAGRAPHS = r"(?<=\n)"
-_LEAVES = rf"(?<=[.!?])(?= )|(?<=\G(?s:.){{{LEAF_CHARS}}})"
+#: As far as the next end of a sentence, but at most so many code points.
+_LEAVES = rf"(?s:.){{1,{LEAF_CHARS}}}?(?:(?<=[.!?])(?= )|\z)|(?s:.){{{LEAF_CHARS}}}"
 
 
 def _short(h: Column) -> Column:
@@ -66,7 +67,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _paragraph(text: Column) -> Column:
-    leaves = F.transform(F.split(text, _LEAVES), lambda x: F.sha2(x, 256))
+    cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(_LEAVES), F.lit(0)))
+    leaves = F.transform(cut, lambda x: F.sha2(x, 256))
     return _let(
         leaves,
         lambda hashes: _let(

@@ -94,9 +94,11 @@ def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of op4's rows agree with the model's own library, and decode to their whole text."""
-    same = F.col("decoded_sha256") == F.sha2("text", 256)
-    encoded = op4_sentencepiece(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
-    return encoded.groupBy("parity", same.alias("whole")).agg(F.count(F.lit(1)).alias("n"))
+    texts = _documents(spark, sf_dir).groupBy(F.col("doc_id").alias("d"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("there"))
+    decoded = op4_sentencepiece(spark, sf_dir).groupBy("doc_id", "decoded_sha256", "parity").agg(F.count(F.lit(1)).alias("n"))
+    # by rows of one id and text, so that missing and repeated ids count as they come
+    held = decoded.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("decoded_sha256") == F.col("text_sha256")), "left")
+    return held.groupBy("parity", (F.col("n") <= F.coalesce("there", F.lit(0))).alias("whole")).agg(F.sum("n").alias("n"))
 
 
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
