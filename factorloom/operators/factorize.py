@@ -215,7 +215,7 @@ def factorize(
         params = params.with_(**overrides)
     spark = cell.sparkSession
     cell, named, (n_rows, n_cols), uncertainty = prepared(cell, params, dims, shape, transpose, uncertainty)
-    matrix.check(cell, 1)
+    cell, seen = matrix.loaded(cell)  # checked as it is loaded; all later passes read what was loaded
     if uncertainty is not None:
         matrix.check_uncertainty(uncertainty, params.sparse)
     if (params.fixed != "N") != (fixed_patterns is not None) and not params.distributed:
@@ -223,7 +223,7 @@ def factorize(
     if params.n_patterns >= min(n_rows, n_cols):
         raise ValueError("n_patterns must be less than both dimensions")
     cell = cell.where("value > 0")
-    meta: dict = {"n_genes": n_rows, "n_samples": n_cols}
+    meta: dict = {"n_genes": n_rows, "n_samples": n_cols, "observed": seen}
     if params.distributed:
         rows, meta2, params = _two_stages(cell, params, n_rows, n_cols, named, fixed_patterns, uncertainty)
         meta |= meta2

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance
+from ..runtime import checkpointed
 
 #: Digits that scores keep before ranking, so that the last bits of sums can't order ties.
 DIGITS = 9
@@ -40,9 +41,19 @@ def scores(a: DataFrame, p: DataFrame, lp: Mapping[str, Sequence[float]] | None
 
 
 def ranks(scored: DataFrame) -> DataFrame:
-    """With rank: ascending within a target, the first row of equals first."""
-    by_target = Window.partitionBy("lp").orderBy(F.col("score").asc_nulls_last(), "idx")
-    return scored.withColumn("rank", F.row_number().over(by_target).cast("long"))
+    """With rank: ascending within a target, the first row of equals first.
+
+    Rows are dealt into ranges of (target, score, row) by sampled bounds; a rank is the place
+    in the row's range and the sizes of the target's ranges before it, so no task orders a
+    whole target.
+    """
+    order = [F.col("score").asc_nulls_last(), F.col("idx")]
+    ranged = checkpointed(scored.repartitionByRange("lp", *order).withColumn("part", F.spark_partition_id()))
+    # a row for each target and range
+    sizes = ranged.groupBy("lp", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("lp", "part", F.coalesce(F.sum("n").over(Window.partitionBy("lp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("lp", "part").orderBy(*order)))
+    return inside.join(before, ["lp", "part"]).withColumn("rank", (F.col("before") + F.col("inside")).cast("long")).drop("part", "before", "inside")
 
 
 def pattern_markers(a: DataFrame, p: DataFrame, threshold: str = "all", lp: Mapping[str, Sequence[float]] | None = None, axis: int = 1) -> DataFrame:
@@ -64,8 +75,9 @@ def pattern_markers(a: DataFrame, p: DataFrame, threshold: str = "all", lp: Mapp
         out = ranked.withColumn("is_marker", chosen)
     else:
         least = ranked.withColumn("least", F.min("rank").over(of_row))
-        cut = F.min(F.when(F.col("rank") > F.col("least"), F.col("rank"))).over(Window.partitionBy("lp"))
-        out = least.withColumn("is_marker", (cut.isNull() | (F.col("rank") < cut)) & F.col("score").isNotNull())
+        cuts = least.groupBy("lp").agg(F.min(F.when(F.col("rank") > F.col("least"), F.col("rank"))).alias("cut"))  # one row per target
+        marked = (F.col("cut").isNull() | (F.col("rank") < F.col("cut"))) & F.col("score").isNotNull()
+        out = least.join(F.broadcast(cuts), "lp").withColumn("is_marker", marked)
     return out.select("idx", "name", "lp", "score", "rank", "is_marker")
 
 

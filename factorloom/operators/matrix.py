@@ -7,11 +7,11 @@ array, and the equi-join on k becomes a product inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import default_sigma, z_score
-from ..runtime import checkpointed
+from ..runtime import checkpointed, stored
 from . import gram as inner
 
 #: The smaller factor of a product is broadcast up to this many rows of arrays.
@@ -86,6 +86,32 @@ def check(cell: DataFrame, n_patterns: int) -> dict:
     return row
 
 
+def loaded(cell: DataFrame) -> tuple[DataFrame, dict]:
+    """The cells as a table in the shared folder, and what was observed while they were written.
+
+    Cells are checked by the pass that loads them: missing and negative ones raise.
+    """
+    seen = Observation("cells")
+    value = F.col("value")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    kept = stored(
+        cell.observe(
+            seen,
+            zero(F.sum(F.when(value.isNull() | F.isnan("value"), 1))).cast("long").alias("n_missing"),
+            zero(F.sum(F.when(value < 0, 1))).cast("long").alias("n_negative"),
+            zero(F.sum(F.when(value > 0, 1))).cast("long").alias("n_positive"),
+            F.count(F.lit(1)).alias("n_cells"),
+            F.max("value").alias("largest"),
+            F.sum("value").alias("total"),
+        )
+    )
+    told = seen.get
+    for what in ("missing", "negative"):
+        if told[f"n_{what}"]:
+            raise ValueError(f"{told[f'n_{what}']} {what} values")
+    return kept, told
+
+
 def check_uncertainty(uncertainty: DataFrame, sparse: bool = False) -> dict:
     if sparse:
         raise ValueError("uncertainty can't be given in sparse mode")

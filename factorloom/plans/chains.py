@@ -158,3 +158,11 @@ def streamed_moments(spark: SparkSession, sf: str) -> DataFrame:
         part.write.mode("append").parquet(f"{place}/samples")
         moments.fold(spark, f"{place}/samples", f"{place}/state", f"{place}/stream", 4).awaitTermination()
     return moments.moments(spark, f"{place}/state").select("idx", "k", rounded("mean", 5), rounded("sd", 5), "top")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_negative, count(*) FILTER (WHERE value > 0) AS n_positive, count(*) AS n_cells, round(max(value), 4) AS largest, round(sum(value), 4) AS total FROM m")
+def observed_load(spark: SparkSession, sf: str) -> DataFrame:
+    """What is observed of the cells by the pass that loads them."""
+    _, told = matrix.loaded(inputs.m(spark, sf))
+    names = ("n_missing", "n_negative", "n_positive", "n_cells", "largest", "total")
+    return spark.createDataFrame([tuple(told[n] for n in names)], "n_missing long, n_negative long, n_positive long, n_cells long, largest double, total double").withColumns({"largest": F.round("largest", 4), "total": F.round("total", 4)})

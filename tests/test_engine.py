@@ -393,3 +393,28 @@ def test_the_rest_stands_without_the_optional_subpackage():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any(n.split(".")[-1] == "llm" or ".llm." in f"{n}." for n in names), path
+
+
+# --- loading ---------------------------------------------------------------------
+
+
+def test_cells_are_checked_by_the_pass_that_loads_them(spark):
+    cell = factorize.from_numpy(spark, [[1.0, 0.0], [2.5, 60.0]])
+    kept, told = matrix.loaded(cell)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, cell.collect()))
+    assert (told["n_positive"], told["n_cells"], told["largest"], told["total"]) == (3, 4, 60.0, 63.5)
+    for bad, what in ((-1.0, "1 negative"), (None, "1 missing"), (float("nan"), "1 missing")):
+        with pytest.raises(ValueError, match=what):
+            matrix.loaded(cell.unionByName(spark.createDataFrame([(5, 5, bad)], "i long, j long, value double")))
+    empty, told = matrix.loaded(cell.limit(0))
+    assert empty.count() == 0 and told["n_cells"] == 0
+
+
+def test_ranks_of_a_target_in_many_ranges(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"t{t}", i, None if i % 50 == 7 else float(rng.integers(0, 40))) for t in range(3) for i in range(400)]
+    scored = spark.createDataFrame(rows, "lp string, idx long, score double").repartition(9)
+    made = {(r.lp, r.idx): r["rank"] for r in markers.ranks(scored).collect()}
+    for t in range(3):
+        order = sorted((r for r in rows if r[0] == f"t{t}"), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
+        assert [made[r[0], r[1]] for r in order] == list(range(1, 401))
