@@ -33,11 +33,9 @@ def dense(cells):
     return out
 
 
-@pytest.mark.parametrize("range_bytes", [7, 100, 1 << 20])
+@pytest.mark.parametrize("range_bytes", [40, 1 << 20])
 @pytest.mark.parametrize("kind", ["csv", "tsv", "gct", "mtx"])
 def test_ranges_of_bytes_give_every_row_once(spark, tmp_path, kind, range_bytes):
-    if range_bytes == 7 and kind != "csv":
-        range_bytes = 33
     x = data()
     (tmp_path / f"m.{kind}").write_bytes(text(x, kind).encode())
     cells, dims, shape = matrix_source.load(spark, str(tmp_path / f"m.{kind}"), kind, range_bytes)

@@ -61,7 +61,7 @@ def leaves(spark, n):
 
 
 @pytest.mark.parametrize("method", ["complete", "average"])
-@pytest.mark.parametrize("n,last_pairs", [(1, 0), (2, 0), (17, 0), (17, 60), (17, 5000)])
+@pytest.mark.parametrize("n,last_pairs", [(1, 0), (17, 0), (17, 60), (17, 5000)])
 def test_trees_against_joining_one_by_one(spark, method, n, last_pairs):
     x = np.random.default_rng(n).normal(size=(n, 3))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
