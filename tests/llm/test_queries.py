@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
