@@ -418,3 +418,18 @@ def test_ranks_of_a_target_in_many_ranges(spark):
     for t in range(3):
         order = sorted((r for r in rows if r[0] == f"t{t}"), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
         assert [made[r[0], r[1]] for r in order] == list(range(1, 401))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_statistic_of_a_full_grid_of_large_values(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, p = rng.random((25, 2)) * 5e6, rng.random((7, 2))
+    m = a @ p.T
+    data = m * (1 + 0.01 * rng.standard_normal(m.shape))
+    cell, sides = factorize.from_numpy(spark, data), (factor(spark, a, "g"), factor(spark, p, "s"))
+    want = 100 * ((1 - m / data) ** 2).sum()
+    assert abs(matrix.chi_square(cell, *sides).first()[0] / want - 1) < 1e-9
+    assert abs(matrix.chi_square_sparse(cell, *sides).first()[0] / want - 1) < 1e-9
+    holed = np.where(rng.random(data.shape) < 0.2, 0.0, data)
+    found = matrix.residuals(factorize.from_numpy(spark, holed), *sides).agg(F.sum(F.col("residual") * F.col("residual"))).first()[0]
+    assert abs(matrix.chi_square(factorize.from_numpy(spark, holed), *sides).first()[0] / found - 1) < 1e-9
