@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..runtime import checkpointed, ship_package
 from . import gram, trees
 
-#: Genes or samples that can be put in the order of a tree; there is a distance for each pair.
-MOST_LEAVES = 50_000
+#: Up to so many genes or samples a tree is made from a table of their pairs.
+MOST_PAIRED = 1_000
+#: More are kept as vectors, if they have no more numbers than this.
+MOST_NUMBERS = 4_096
 
 
 def pattern_lines(p: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -53,8 +59,6 @@ def tree_distances(cell: DataFrame, axis: str = "i") -> tuple[DataFrame, DataFra
     n = cell.select("idx").distinct().count()
     leaves = cell.groupBy("label").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     leaves = checkpointed(leaves.select(F.col("label").alias("idx"), "s", (F.col("q") - F.col("s") * F.col("s") / n).alias("v")))
-    if leaves.count() > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
     # a distance for each pair, by nature: the leaves are one array beside every leaf
     every = leaves.agg(F.collect_list(F.struct("idx", "s", "v")).alias("all"))
     one = leaves.select(F.col("idx").alias("x"), F.col("s").alias("sx"), F.col("v").alias("vx"))
@@ -65,9 +69,37 @@ def tree_distances(cell: DataFrame, axis: str = "i") -> tuple[DataFrame, DataFra
     return leaves.select("idx"), pairs.join(met, ["x", "y"], "left").select("x", "y", ((1 - F.round(r, 12)) / 2).alias("d"))
 
 
+def unit_vectors(cell: DataFrame, axis: str, width: int) -> DataFrame:
+    """idx, v: rows (or columns, axis "j") less their means, at norm 1; zeros where all values are equal.  Their inner products are correlations."""
+    ship_package(cell.sparkSession)
+    other = {"i": "j", "j": "i"}[axis]
+    places = cell.select(F.col(other).alias("o")).distinct().select("o", (F.row_number().over(Window.orderBy("o")) - 1).cast("int").alias("at"))  # ``width`` rows
+    rows = cell.join(F.broadcast(places), F.col(other) == F.col("o")).groupBy(F.col(axis).alias("idx")).agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1_000):
+                part = batch.iloc[start : start + 1_000]
+                x = np.zeros((len(part), width))
+                for row, at, value in zip(x, part["at"], part["value"], strict=True):
+                    row[at] = value
+                flat = x.max(axis=1) == x.min(axis=1)
+                x -= x.mean(axis=1, keepdims=True)
+                x /= np.where(flat, 1.0, np.sqrt((x * x).sum(axis=1)))[:, None]
+                x[flat] = 0.0
+                yield pd.DataFrame({"idx": part["idx"].to_numpy(), "v": list(x)})
+
+    return rows.mapInPandas(unit, "idx long, v array<double>")
+
+
 def tree_order(cell: DataFrame, axis: str = "i") -> DataFrame:
     """idx, place, height: rows (or columns, axis "j") in the order of an average-linkage tree, and the height of the join that each begins the right side of."""
-    return trees.agglomerate(*tree_distances(cell, axis), "average").select("idx", F.col("place").cast("int").alias("place"), "height")
+    n_leaves, width = cell.agg(F.countDistinct(axis), F.countDistinct({"i": "j", "j": "i"}[axis])).first()
+    if n_leaves > MOST_PAIRED and width <= MOST_NUMBERS:
+        tree = trees.agglomerate_means(unit_vectors(cell, axis, width), width)
+    else:
+        tree = trees.agglomerate(*tree_distances(cell, axis), "average")
+    return tree.select("idx", F.col("place").cast("int").alias("place"), "height")
 
 
 def separators(markers: DataFrame) -> DataFrame:

@@ -122,3 +122,24 @@ def test_order_of_genes_without_values_in_common(spark):
     cell = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 2, 3.0), (2, 0, 2.0), (2, 1, 4.0), (3, 2, 1.0)], "i long, j long, value double")
     made = plots.tree_order(cell).orderBy("place").collect()
     assert [r.idx for r in made] == [0, 2, 1, 3] and made[1].height == 0.0 and made[3].height == 0.0
+
+
+@pytest.mark.parametrize("last, block", [(1, 7), (30, 64), (1000, 64)])
+def test_trees_of_means_are_those_of_pairs(spark, last, block):
+    rng = np.random.default_rng(5)
+    x = rng.random((60, 8)) * (rng.random((60, 8)) < 0.8)
+    x[40:50] = x[:10]  # copies
+    x[50:53] = x[3]
+    x[53] = 2.5  # no direction
+    cell = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v > 0], "i long, j long, value double")
+    want = {r.idx: (r.place, r.height) for r in trees.agglomerate(*plots.tree_distances(cell), "average").collect()}
+    got = {r.idx: (r.place, r.height) for r in trees.agglomerate_means(plots.unit_vectors(cell, "i", 8), 8, last, block).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == v[1] or abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
+
+
+def test_order_of_many_samples_needs_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(plots, "tree_distances", None)
+    cell = spark.range(60_000).selectExpr("id % 5 AS i", "id div 5 AS j", "CAST(1 + (id div 5 % 30 + 3) * (id % 5 + 1) % 17 AS DOUBLE) AS value")
+    made = plots.tree_order(cell, "j")
+    assert made.count() == 12_000 and made.selectExpr("count(DISTINCT place)", "min(place)", "max(place)").first() == (12_000, 0, 11_999)
