@@ -1,7 +1,9 @@
 import math
 import pickle
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from factorloom.functions import scalars
@@ -239,3 +241,19 @@ def test_sparse_chain_from_cells_makes_no_grid():
     assert (one.a_mean == two.a_mean).all() and (one.p_mean == two.p_mean).all() and one.trace == two.trace
     large = Cells(np.array([7, 2_999_999]), np.array([999_999, 0]), np.array([2.0, 3.0]), (3_000_000, 1_000_000))
     assert Chain(large, params, (1,)).chisq() == 200
+
+
+def test_a_sets_rows_stay_numbers():
+    from factorloom.operators import factorize
+
+    n = 30_000
+    cells = pd.DataFrame({"set_id": 0, "idx": np.repeat(np.arange(4), n), "cross": np.tile(np.arange(n), 4), "value": np.ones(4 * n)})
+    beside = pd.DataFrame({"set_id": [], "idx": [], "k": [], "mean": [], "state": []})
+    task = factorize._chain(Params(3, n_iterations=1, seed=1), 1, n, False, False, False)
+    tracemalloc.start()
+    out = task((0,), cells, beside)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3 * (n + 4) + 5 and list(out.columns) == factorize._NAMES
+    assert peak < 1_500 * n
+    assert out["k"].isna().sum() == 5 and out["mean"].isna().sum() == 2 and out["chisq"].notna().sum() == 2
