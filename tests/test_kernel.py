@@ -257,3 +257,49 @@ def test_a_sets_rows_stay_numbers():
     assert len(out) == 3 * (n + 4) + 5 and list(out.columns) == factorize._NAMES
     assert peak < 1_500 * n
     assert out["k"].isna().sum() == 5 and out["mean"].isna().sum() == 2 and out["chisq"].notna().sum() == 2
+
+
+def test_rounds_in_pieces_give_what_whole_rounds_give(monkeypatch):
+    n, k = 1_001, 3
+    rng = np.random.default_rng(4)
+    v = rng.exponential(1, (25, k))
+    g = np.broadcast_to(v.T @ v, (n, k, k)) * rng.uniform(0, 9, (n, 1, 1))
+    b = (g @ rng.exponential(1, (n, k, 1)))[:, :, 0]
+    b[:50], g[:50] = 0.0, 0.0  # rows without information
+    states = []
+    for together in (64, 2_000):
+        monkeypatch.setattr(kernel, "TOGETHER", together)
+        s, draws = lone_side(n), np.random.default_rng(7)
+        for heat in np.linspace(0.02, 1, 40):
+            s.sweep(draws, 3 * n, b, g, heat)
+        states.append((s.matrix, s.count, s.place, s.mass, s.proposals, draws.random()))
+    assert states[0][1].max() > 4 and all(np.array_equal(x, y) for x, y in zip(*states, strict=True))
+    d, w = rng.exponential(1, (n, 25)), rng.exponential(1, (n, 25))
+    whole = DenseRows(d, w).coefficients(v)
+    monkeypatch.setattr(kernel, "TOGETHER", 64)
+    for rows in (DenseRows(d, w), DenseRows(d.T.copy(), w.T.copy()).transposed()):
+        for x, y in zip(whole, rows.coefficients(v), strict=True):
+            assert np.allclose(x, y, rtol=1e-12, atol=0)
+
+
+def test_a_wide_chain_keeps_the_grid_once_and_its_rounds_small():
+    n = 150_000
+    chain = Chain(np.full((4, n), 2.0), Params(3, n_iterations=5, seed=1), (1,))
+    assert np.shares_memory(chain.data[0].weight, chain.data[1].weight)
+    chain.run(2)
+    b, g = chain.data[1].coefficients(chain.a.matrix)
+    tracemalloc.start()
+    for step in (chain.p.births_and_deaths, chain.p.moves, chain.p.exchanges):
+        step(chain.rng, b, g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * n  # 50 of them are the round's draws
+
+
+@pytest.mark.parametrize("name, x, y", [("_NORMAL", "_GRID", "_CDF"), ("_NORMAL_INVERSE", "_CDF", "_GRID"), ("_GAMMA_INVERSE", "_GAMMA_CDF", "_GAMMA_GRID")])
+def test_interpolation_is_that_of_numpy(name, x, y):
+    x, y = getattr(kernel, x), getattr(kernel, y)
+    rng = np.random.default_rng(2)
+    near = np.concatenate([x, np.nextafter(x, -np.inf), np.nextafter(x, np.inf)])
+    for v in (near, rng.uniform(x[0] - 0.1, x[-1] + 0.1, 200_000), rng.uniform(x[0], x[-1], 200_000) ** 9 / max(1, x[-1]) ** 8, np.full(3, x[-1] + 1), np.array([])):
+        assert np.array_equal(getattr(kernel, name)(v), np.interp(v, x, y))
